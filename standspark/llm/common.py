@@ -76,3 +76,8 @@ def map_texts(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch
                     yield out
 
     return frame.mapInArrow(run, schema)
+
+
+def by_hash(column: str, share: float, seed: int = 17):
+    """True for about ``share`` of the ids, the same ones on every run."""
+    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
+from . import bpe, langid, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.query,
+        "op2_toxicity": toxicity.query,
+        "op5_language_id": langid.query,
         "op7_bpe": bpe.query,
     }
 

@@ -163,3 +163,43 @@ def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def as_signed(keys: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
+
+
+def unique_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one word of each kind, kind of each word)."""
+    _, at, kind = np.unique(words.key, return_index=True, return_inverse=True)
+    return at, kind
+
+
+class Grams:
+    """Byte n-grams of chosen words, each padded on both sides; n is 7 at most, so a gram fits an integer.
+
+    ``left`` zero bytes stand before a word and ``right`` bytes of value 1 after it.
+    """
+
+    def __init__(self, words: Words, at: np.ndarray, left: int, right: int):
+        start, end = words.start[at], words.end[at]
+        size = end - start + left + right
+        self.first = np.concatenate([[0], np.cumsum(size)])
+        total = int(self.first[-1])
+        self.place = np.arange(total) - np.repeat(self.first[:-1], size)  # within the padded word
+        length = np.repeat(end - start, size)
+        inside = (self.place >= left) & (self.place < left + length)
+        self.byte = np.where(self.place < left, 0, 1).astype(np.uint64)
+        source = np.repeat(start, size) + self.place - left
+        self.byte[inside] = words.buf[source[inside]]
+
+    def ending_here(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(gram of n bytes that ends at each place, whether the word reaches so far back)."""
+        gram = self.byte.copy()
+        for j in range(1, n):
+            gram[j:] |= self.byte[:-j] << np.uint64(8 * j)
+        return gram, self.place >= n - 1
+
+
+def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted value in sorted keys; -1 where it isn't there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
