@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, secrets, toxicity
+from . import bpe, jaccard, langid, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.query,
         "op5_language_id": langid.query,
         "op7_bpe": bpe.query,
+        "op10_ngram_jaccard": jaccard.query,
     }
 
 
