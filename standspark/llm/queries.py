@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, jaccard, langid, secrets, topk, toxicity
+from . import bpe, decontaminate, html, jaccard, langid, secrets, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.query,
         "op2_toxicity": toxicity.query,
+        "op3_decontamination": decontaminate.query,
         "op4_exact_topk": topk.query,
         "op5_language_id": langid.query,
         "op6_html_extract": html.query,
