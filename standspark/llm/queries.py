@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, jaccard, langid, secrets, topk, toxicity
+from . import bpe, decontaminate, hmm, html, jaccard, langid, secrets, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": langid.query,
         "op6_html_extract": html.query,
         "op7_bpe": bpe.query,
+        "op8_lm_score": hmm.query,
         "op10_ngram_jaccard": jaccard.query,
     }
 
