@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, hmm, html, jaccard, langid, secrets, topk, toxicity
+from . import bpe, decontaminate, hmm, html, jaccard, langid, secrets, suffixes, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extract": html.query,
         "op7_bpe": bpe.query,
         "op8_lm_score": hmm.query,
+        "op9_suffix_dedup": suffixes.query,
         "op10_ngram_jaccard": jaccard.query,
     }
 
