@@ -1,15 +1,67 @@
-"""Corpus pipeline over ``documents``: each stage works on all that the one before has kept."""
+"""Corpus pipeline over ``documents``: each stage works on all that the one before has kept.
+
+language   documents whose language is rejected (no letter, or unlike every learnt language) go
+near_copy  one document of each group of near copies stays, the one with the smallest id
+benchmark  documents that hold a test item go
+secrets    secrets are replaced by their kind in brackets; n_chars follows
+bpe        whole texts become tokens; the ids, their digest and that of the decoded text are returned
+
+All stages but the last return the columns of ``documents``.  Null ids can't be told apart and go in
+the second stage; null texts have no letter and go in the first.  Extra columns are carried along.
+"""
 
 from __future__ import annotations
 
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from standspark.llm import bpe, common, decontaminate, jaccard, langid, secrets
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), docs["doc_id"] == F.col("_id"), how)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification doesn't reject."""
+    rejected = langid.identify(docs).where("rejected").select("doc_id")
+    return _only(docs, rejected, "left_anti").where("text IS NOT NULL")
+
+
+def near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies."""
+    found = jaccard.similar_components(docs)
+    return _only(docs, found.where("doc_id = component_id"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a test item."""
+    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return _only(docs, found.select("doc_id"), "left_anti")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced."""
+    names = docs.columns
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document."""
+    return bpe.round_trip(docs, bpe.default_path(), keep_ids=True)
+
+
+STAGES = [("language", language), ("near_copy", near_copy), ("benchmark", benchmark), ("secrets", secret_scan), ("bpe", tokens)]
 
-STAGES: list = []
+#: Language models, near copies and tokens have no form in SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again."""
+    docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = common.keep(stage(spark, docs, sf_dir))
     return docs

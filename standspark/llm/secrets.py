@@ -196,6 +196,18 @@ def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return common.map_texts(source, work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
 
 
+def redacted(documents: DataFrame, text_column: str = "text") -> DataFrame:
+    """The table with the secrets of each text replaced by their kind; null texts stay null."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_column)
+            texts = [t and redact(t, base_spans(t) + confirmed_spans(t)) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1_secret_scan over every whole text of ``documents``."""
     return scan(common.table(spark, sf_dir, "documents")).drop("redacted")
