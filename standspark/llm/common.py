@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch of whole texts; with texts of some kilobytes a batch is a few megabytes.
 TEXT_ROWS = 2000
 #: Bytes of text that an operator treats at once; a larger batch is cut, a longer text stands alone.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

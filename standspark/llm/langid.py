@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from . import common, textops
 
 #: Labelled documents of each language that training takes at most (in expectation).
-ROWS_PER_LANG = 700
+ROWS_PER_LANG = 300
 BUCKETS = 1 << 16
 DIM = 16
 SIZES = (1, 2, 3, 4)
-EPOCHS = 6
+EPOCHS = 10
 RATE = 0.5
 #: Share of the sample that is kept for the temperature and the rejection.
 CALIBRATE = 0.25
@@ -42,10 +42,10 @@ def word_buckets(words: textops.Words, at: np.ndarray) -> tuple[np.ndarray, np.n
     """(buckets of all n-grams of the chosen words, word by word; first index of each word)."""
     grams = textops.Grams(words, at, 1, 1)
     parts, owner = [], []
-    word = np.repeat(np.arange(len(at)), np.diff(grams.first))
+    word = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(grams.first))
     for n in SIZES:
         gram, whole = grams.ending_here(n)
-        parts.append((textops.mix(gram[whole] * np.uint64(8) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+        parts.append((textops.mix(gram[whole] * np.uint64(8) + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32))
         owner.append(word[whole])
     bucket, owner = np.concatenate(parts), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
