@@ -20,7 +20,10 @@ from standspark.llm import bpe, common, decontaminate, jaccard, langid, secrets
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), docs["doc_id"] == F.col("_id"), how)
+    name = "_chosen"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(ids.select(F.col("doc_id").alias(name)).distinct(), docs["doc_id"] == F.col(name), how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
