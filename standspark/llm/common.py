@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch of whole texts; with texts of some kilobytes a batch is a few megabytes.
-TEXT_ROWS = 2000
+from ..plans.storage import keep, shared_folder  # noqa: F401
+
 #: Bytes of text that an operator treats at once; a larger batch is cut, a longer text stands alone.
 TEXT_BYTES = 4 << 20
 
@@ -20,31 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="standspark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def keep(frame: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, columnar and compressed."""
-    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
-def cut(frame: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder: it survives the loss of executors."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager)
-
-
 def crc_mod(column: str, mod: int):
     """crc32 of an id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

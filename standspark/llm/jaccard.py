@@ -4,14 +4,15 @@ Size-banded tiles with hashed bitmap signatures, exact over all documents:
 
 1. Documents with one and the same set form a class, shown by its smallest id (any others follow it).
 2. Two sets that are similar enough share one of their first shingles when each set is put in one
-   common order; only those prefixes are joined.  The order puts shingles that occur often last, by
-   counts in a table of fixed size, so that common passages hardly ever stand in a prefix.
+   common order, early enough for what follows to suffice; only those prefixes are joined.  The
+   order puts shingles that occur often last, by counts in a table of fixed size, so that common
+   passages hardly ever stand in a prefix.
 3. Every prefix shingle ties its documents to the smallest of them (a star, as many pairs as rows).
    A pair is verified by intersecting the exact sorted sets.  Links so far give components.
-4. Where a prefix shingle still joins several components, its documents are put into bands of
-   size and those into tiles; tiles whose sizes can be similar are paired.  Within a pair of tiles only documents of
-   different components are compared: the bit counts of their signatures bound the overlap from
-   above, and what passes is verified exactly.  Tiles are of fixed size, so a task is, too.
+4. Where a prefix shingle still joins several components, its documents are put into bands of size
+   and those into tiles of fixed size; tiles whose sizes can be similar are paired.  Only documents of
+   different components are compared, by the sizes and the places of the shingle.
+5. The bit counts of two signatures bound their overlap from above; pairs that pass are verified.
 
 Components are those of all links: pairs that are left out in 4 lie within one component already.
 Sets hold 64-bit hashes of shingles.
@@ -27,15 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, components, textops
+from ..operators.components import connected
+from . import common, sketch, textops
 
 WORDS = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 PERCENT = 80
 #: Buckets of the table of shingle counts; a byte each when sent to the executors.
-ORDER_BUCKETS = 1 << 18
-#: Bits of a signature.
-BITS = 256
+ORDER_BUCKETS = 1 << 22
+#: Bits of a signature for each shingle, and their least and greatest number (powers of two).
+BITS_EACH, BITS_LEAST, BITS_MOST = 4, 256, 1 << 17
+#: Bits of the filters of ids and of shingles: 4 and 16 megabytes.
+ID_BITS, SHINGLE_BITS = 1 << 25, 1 << 27
 #: Documents of a tile.
 TILE = 256
 _U = np.uint64
@@ -58,33 +62,37 @@ def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """Level of each bucket: the logarithm to base 2 of how often its shingles occur, over all documents.
+    """Level of each bucket: twice the logarithm to base 2 of how often its shingles occur, over all documents.
 
-    Each task sends one count per bucket, in blocks of bytes; the blocks are added up in the cluster.
+    Each task sends a byte per bucket (255 for more), in blocks; the blocks are added up in the cluster.
     """
-    block = 1 << 12
+    block = 1 << 16
 
     def count(batches):
-        total = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+        total = np.zeros(ORDER_BUCKETS, dtype=np.uint32)
         for batch in batches:
             for piece in common.pieces(batch):
                 keys, _ = sets_of(common.texts_of(piece))
-                total += np.bincount((keys >> _U(40)).astype(np.int64) % ORDER_BUCKETS, minlength=ORDER_BUCKETS)
+                total += np.bincount(bucket(keys), minlength=ORDER_BUCKETS).astype(np.uint32)
+        total = np.minimum(total, 255).astype(np.uint8)
         full = [i for i in range(ORDER_BUCKETS // block) if total[i * block : (i + 1) * block].any()]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([total[i * block : (i + 1) * block].tobytes() for i in full], pa.binary())], ["block", "counts"])
 
     def add(key, table):
-        total = np.zeros(block, dtype=np.int64)
+        total = np.zeros(block, dtype=np.float64)
         for x in table.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype=np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(x, dtype=np.uint8)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.rint(2 * np.log2(1 + total)).astype(np.uint8).tobytes()], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    total = np.zeros(ORDER_BUCKETS, dtype=np.int64)
+    level = np.zeros(ORDER_BUCKETS, dtype=np.uint8)
     for r in rows:
-        total[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], dtype=np.int64)
-    # Only counts well over the mean tell a common shingle from chance.
-    return np.log2(np.maximum(total / max(total.mean(), 1), 1)).astype(np.uint8)
+        level[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["counts"], dtype=np.uint8)
+    return level
+
+
+def bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _U(40)).astype(np.int64) % ORDER_BUCKETS
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -102,34 +110,61 @@ def classes(docs: DataFrame) -> DataFrame:
     return common.map_texts(docs, work, "doc_id long, n_shingles long, key1 long, key2 long")
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(shingle, doc_id, n): the prefixes of the documents' sets in the common order."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def prefixes(docs: DataFrame, levels, shown, wanted=None) -> DataFrame:
+    """(shingle, doc_id, n, at): prefixes of the sets in the common order, of documents that pass the filter
+    of ids; with ``wanted``, only shingles that pass it, too."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, first = sets_of(common.texts_of(batch))
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        keep = shown.value.maybe(ids)
+        keys, first = sets_of([t if k else b"" for t, k in zip(common.texts_of(batch), keep, strict=True)])
         n = np.diff(first)
         rows = np.repeat(np.arange(len(n)), n)
-        level = shared.value[(keys >> _U(40)).astype(np.int64) % ORDER_BUCKETS]
-        order = np.lexsort((keys, level, rows))
+        order = np.lexsort((keys, levels.value[bucket(keys)], rows))
         place = np.arange(len(keys)) - first[rows]
-        chosen = order[place < prefix_length(n)[rows]]
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(keys[chosen])), pa.array(ids[rows[chosen]]), pa.array(n[rows[chosen]])], ["shingle", "doc_id", "n"])
+        inside = place < prefix_length(n)[rows]
+        chosen, place = order[inside], place[inside]
+        if wanted is not None:
+            hit = wanted.value.maybe(textops.as_signed(keys[chosen]))
+            chosen, place = chosen[hit], place[hit]
+        return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(keys[chosen])), pa.array(ids[rows[chosen]]), pa.array(n[rows[chosen]].astype(np.int32)), pa.array(place.astype(np.int32))], ["shingle", "doc_id", "n", "at"])
+
+    return common.map_texts(docs, work, "shingle long, doc_id long, n int, at int")
 
-    return common.map_texts(docs, work, "shingle long, doc_id long, n long")
 
+def signature_bits(n):
+    """Bits of the signature of a set of n: a power of two, some for each shingle."""
+    return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1) * BITS_EACH)).astype(np.int64), BITS_LEAST, BITS_MOST)
 
-SIGNATURE = [f"s{i}" for i in range(BITS // 64)]
 
+def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """Whether signatures allow enough common shingles: a bit that one has alone costs it a shingle.
+
+    Signatures are powers of two long; the longer is folded onto the shorter.
+    """
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both = int(np.bitwise_count(x & y).sum())
+    bound = min(n_a - int(np.bitwise_count(x).sum()) + both, n_b - int(np.bitwise_count(y).sum()) + both)
+    return bound >= least_overlap(n_a + n_b)
 
-def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures allow enough common shingles."""
-    one = [sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(s).alias(f"{s}_{x}") for s in SIGNATURE)) for x in "ab"]
-    only_a = sum(F.bit_count(F.col(f"{s}_a").bitwiseAND(F.bitwise_not(f"{s}_b"))) for s in SIGNATURE)
-    only_b = sum(F.bit_count(F.col(f"{s}_b").bitwiseAND(F.bitwise_not(f"{s}_a"))) for s in SIGNATURE)
-    overlap = F.least(F.col("n_a") - only_a, F.col("n_b") - only_b)
-    return pairs.join(one[0], "a").join(one[1], "b").where((100 + PERCENT) * overlap >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    one = [marks.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab"]
+    both = pairs.join(one[0], "a").join(one[1], "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def run(batches):
+        for batch in batches:
+            x = [batch.column(c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b")]
+            keep = [i for i, pair in enumerate(zip(*x, strict=True)) if may_be_similar(*pair)]
+            if keep:
+                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,46 +187,114 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s0.., members): sorted shingle keys as bytes, and the bitmap of their hashes."""
+def signatures(docs: DataFrame, chosen) -> DataFrame:
+    """(doc_id, n, signature): bitmap of the hashes of the sets of documents that pass a filter of ids."""
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, first = sets_of(common.texts_of(batch))
-        n = np.diff(first)
-        out, signed = [], textops.as_signed(keys)
-        for lo, hi in zip(first[:-1], first[1:], strict=True):
-            out.append(np.sort(signed[lo:hi]).tobytes())
-        bits = np.zeros((len(n), BITS), dtype=bool)
-        bits[np.repeat(np.arange(len(n)), n), (textops.mix(keys) % _U(BITS)).astype(np.int64)] = True
-        packed = np.packbits(bits, axis=1).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *(pa.array(packed[:, i]) for i in range(len(SIGNATURE))), pa.array(out, pa.binary())], ["doc_id", "n", *SIGNATURE, "members"])
+    def work(ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        n, marks, place = np.diff(first), [], textops.mix(keys)
+        for lo, hi, bits in zip(first[:-1], first[1:], signature_bits(n), strict=True):
+            # Lengths are powers of two, so that folding a signature keeps the low bits of a place.
+            bitmap = np.zeros(bits, dtype=bool)
+            bitmap[(place[lo:hi] % _U(bits)).astype(np.int64)] = True
+            marks.append(np.packbits(bitmap, bitorder="little").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(marks, pa.binary())], ["doc_id", "n", "signature"])
 
-    return common.map_texts(docs, work, "doc_id long, n long, " + "".join(f"{s} long, " for s in SIGNATURE) + "members binary")
+    return _chosen_sets(docs, chosen, work, "doc_id long, n long, signature binary")
 
 
-def overlap_bound(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Upper bound of each pair's common shingles: a bit that one signature has alone costs it a shingle.
+def members(docs: DataFrame, chosen) -> DataFrame:
+    """(doc_id, members): sorted keys of the sets of documents that pass a filter of ids, as bytes."""
 
-    Signatures are rows of 64-bit integers.
+    def work(ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        signed = textops.as_signed(keys)
+        out = [np.sort(signed[lo:hi]).tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out, pa.binary())], ["doc_id", "members"])
+
+    return _chosen_sets(docs, chosen, work, "doc_id long, members binary")
+
+
+def _chosen_sets(docs: DataFrame, chosen, work, schema: str) -> DataFrame:
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        mine = np.flatnonzero(chosen.value.maybe(ids))
+        if not len(mine):
+            return None
+        return work(ids[mine], *sets_of(common.texts_of(batch.take(pa.array(mine)))))
+
+    return common.map_texts(docs, run, schema)
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar; sets are made for documents of these pairs alone."""
+    pairs = common.keep(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    chosen = docs.sparkSession.sparkContext.broadcast(sketch.bloom(ids, ID_BITS))
+    return common.keep(verify(pairs, members(docs, chosen)))
+
+
+def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Whether rows i and j of one shingle may be a link between components.
+
+    At the first shingle that two sets have in the common order, no more than what follows it is common.
     """
-    only_a = np.bitwise_count(sig_a[:, None, :] & ~sig_b[None, :, :]).sum(-1, dtype=np.int64)
-    only_b = np.bitwise_count(sig_b[None, :, :] & ~sig_a[:, None, :]).sum(-1, dtype=np.int64)
-    return np.minimum(n_a[:, None] - only_a, n_b[None, :] - only_b)
+    return (comp[i] != comp[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i] + n[j]))
+
+
+_COLUMNS = ("doc_id", "n", "at", "component_id")
 
 
 def tile_pairs(key, table):
-    """Candidate pairs of two tiles (or within one): different components, possible sizes, bound reached."""
+    """Candidate pairs of two tiles (or within one)."""
     side = table.column("side").to_numpy()
-    ids, n, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "component_id"))
-    sig = np.column_stack([table.column(s).to_numpy() for s in SIGNATURE]).view(np.uint64)
+    ids, n, at, comp = (table.column(c).to_numpy().astype(np.int64) for c in _COLUMNS)
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if [k.as_py() for k in key[1:3]] == [k.as_py() for k in key[3:5]]:
         b = a
-    possible = overlap_bound(sig[a], sig[b], n[a], n[b]) >= least_overlap(n[a][:, None] + n[b][None, :])
-    possible &= comp[a][:, None] != comp[b][None, :]
-    i, j = np.nonzero(possible)
-    low, high = np.minimum(ids[a[i]], ids[b[j]]), np.maximum(ids[a[i]], ids[b[j]])
-    return pa.table({"a": pa.array(low), "b": pa.array(high)})
+    i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+    if b is a:
+        i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
+    ok = _possible(i, j, n, at, comp)
+    x, y = ids[i[ok]], ids[j[ok]]
+    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+
+def small_group_pairs(named: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of shingles with at most TILE documents, many shingles at a time."""
+
+    def pairs(held):
+        table = pa.Table.from_batches(held)
+        shingle = table.column("shingle").to_numpy()
+        ids, n, at, comp = (table.column(c).to_numpy().astype(np.int64) for c in _COLUMNS)
+        ends = np.flatnonzero(np.concatenate([shingle[1:] != shingle[:-1], [True]])) + 1
+        after = ends[np.searchsorted(ends, np.arange(len(ids)), side="right")] - np.arange(len(ids)) - 1
+        found = []
+        for lo in range(0, len(ids), 20_000):
+            own = np.arange(lo, min(lo + 20_000, len(ids)))
+            i = np.repeat(own, after[own])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[own]) - after[own], after[own])
+            ok = _possible(i, j, n, at, comp)
+            x, y = ids[i[ok]], ids[j[ok]]
+            found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
+        both = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle = batch.column("shingle").to_numpy()
+            cut = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
+            if size > 50_000 and len(cut):
+                yield pairs([*held, batch.slice(0, int(cut[-1]))])
+                held, size, batch = [], 0, batch.slice(int(cut[-1]))
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield pairs(held)
+
+    dealt = named.select("shingle", *_COLUMNS).repartition("shingle").sortWithinPartitions("shingle")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def similar_components(documents: DataFrame) -> DataFrame:
@@ -202,28 +305,34 @@ def similar_components(documents: DataFrame) -> DataFrame:
     sized = sized.join(least, ["key1", "key2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     sized = common.keep(sized.distinct())
 
-    # One document of each class goes on.
-    shown = docs.join(sized.where("doc_id = class_id AND n_shingles > 0").select("doc_id"), "doc_id", "left_semi")
-    rows = common.keep(prefixes(shown, shingle_counts(docs)))
-    met = rows.groupBy("shingle").agg(F.min(F.struct("n", "doc_id")).alias("head"), F.max(F.struct("n", "doc_id")).alias("tail")).where("head.doc_id != tail.doc_id")
-    rows = common.keep(rows.join(met.select("shingle", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")), "shingle"))
-    sets = common.keep(members(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-
-    star = rows.where(f"doc_id != head AND 100 * least(n, head_n) >= {PERCENT} * greatest(n, head_n)").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-    links = common.keep(verify(bounded(star, sets), sets))
-    comp = components.smallest_reachable(links)
+    # One document of each class goes on; a filter tells which, and may let copies through, at no harm.
+    spark = docs.sparkSession
+    shown = spark.sparkContext.broadcast(sketch.bloom(sized.where("doc_id = class_id AND n_shingles > 0").select("doc_id"), ID_BITS))
+    levels = spark.sparkContext.broadcast(shingle_counts(docs))
+    met = prefixes(docs, levels, shown).groupBy("shingle").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    wanted = spark.sparkContext.broadcast(sketch.bloom(met.where("lo != hi").select("shingle"), SHINGLE_BITS))
+    rows = common.keep(prefixes(docs, levels, shown, wanted).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").distinct())
+    heads = rows.groupBy("shingle").agg(F.min(F.struct("n", "doc_id", "at")).alias("head"), F.max(F.struct("n", "doc_id")).alias("tail")).where("head.doc_id != tail.doc_id")
+    rows = common.keep(rows.join(heads.select("shingle", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at")), "shingle"))
+    involved = spark.sparkContext.broadcast(sketch.bloom(rows.select("doc_id"), ID_BITS))
+    marks = common.keep(signatures(docs, involved).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"))
+
+    star = rows.where(f"doc_id != head AND least(n - at, head_n - head_at) * {100 + PERCENT} >= {PERCENT} * (n + head_n)").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
+    links = verified(bounded(star, marks), docs)
+    comp = connected(links)
 
     # Shingles that still join several components.
-    named = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
-    open_ = named.groupBy("shingle").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo != hi").select("shingle")
-    named = common.keep(named.join(open_, "shingle", "left_semi"))
-    links = common.keep(links.unionByName(verify(banded_candidates(named, sets), sets)))
-    comp = components.smallest_reachable(links)
+    named = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("shingle", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("component_id"))
+    open_ = named.groupBy("shingle").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("docs")).where("lo != hi").select("shingle", "docs")
+    named = common.keep(named.join(open_, "shingle"))
+    more = small_group_pairs(named.where(f"docs <= {TILE}")).unionByName(banded_candidates(named.where(f"docs > {TILE}"))).distinct()
+    links = common.keep(links.unionByName(verified(bounded(more, marks), docs)))
+    comp = connected(links)
     return sized.join(comp, sized["class_id"] == comp["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
-def banded_candidates(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) from the tiles of each shingle's documents.
+def banded_candidates(named: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) from the tiles of each shingle's documents.
 
     Bands are a factor of 100 / PERCENT of size wide, so that similar documents lie in one band or in
     neighbouring ones; a band of many documents is dealt into tiles of about TILE by their ids.
@@ -240,9 +349,8 @@ def banded_candidates(named: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = own.unionByName(next_)
     sides = pairs.withColumn("side", F.explode(F.expr("CASE WHEN b0 = b1 AND t0 = t1 THEN array(0) ELSE array(0, 1) END")))
     sides = sides.withColumn("band", F.expr("if(side = 0, b0, b1)")).withColumn("tile", F.expr("if(side = 0, t0, t1)"))
-    filled = sides.join(tiled, ["shingle", "band", "tile"]).join(sets.drop("members", "n"), "doc_id")
-    filled = filled.select("shingle", "b0", "t0", "b1", "t1", "side", "doc_id", "n", "component_id", *SIGNATURE)
-    return filled.groupBy("shingle", "b0", "t0", "b1", "t1").applyInArrow(tile_pairs, "a long, b long").distinct()
+    filled = sides.join(tiled, ["shingle", "band", "tile"]).select("shingle", "b0", "t0", "b1", "t1", "side", *_COLUMNS)
+    return filled.groupBy("shingle", "b0", "t0", "b1", "t1").applyInArrow(tile_pairs, "a long, b long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

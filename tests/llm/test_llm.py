@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from standspark.llm import bpe, common, components, decontaminate, hmm, html, jaccard, langid, secrets, sketch, suffixes, textops, topk, toxicity  # noqa: E402
+from standspark.llm import bpe, common, decontaminate, hmm, html, jaccard, langid, secrets, sketch, suffixes, textops, topk, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, at int, score double, shingle string, label int"
 VOCAB = {"en": "the of and to in is that it for with on as are was be by this from".split(), "de": "der die das und ist nicht mit ein für auf im den von zu".split()}
@@ -326,11 +326,6 @@ def test_bloom_has_no_false_negatives(spark):
     assert f.maybe(np.arange(0, 5000, 3)).all() and f.maybe(np.arange(10**6, 10**6 + 5000)).mean() < 0.2
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(3, 2), (2, 9), (9, 12), (5, 5), (7, 6)], "a long, b long")
-    assert {r["node"]: r["component"] for r in components.smallest_reachable(links).collect()} == {2: 2, 3: 2, 9: 2, 12: 2, 6: 6, 7: 6}
-
-
 def test_pipeline_stages(spark, rows, tmp_path):
     item = "what is the zanzor of quibble frandle?\nthe answer is morb tilk"
     data = rows + [(300, rows[20][1] + " " + item, "en"), (301, "secret = abcdefghij and " + " ".join(VOCAB["en"] * 2), "en")]
