@@ -8,7 +8,8 @@ Size-banded tiles with hashed bitmap signatures, exact over all documents:
    order puts shingles that occur often last, by counts in a table of fixed size, so that common
    passages hardly ever stand in a prefix.
 3. Every prefix shingle ties its documents to the smallest of them (a star, as many pairs as rows).
-   A pair is verified by intersecting the exact sorted sets.  Links so far give components.
+   A pair is verified by intersecting the exact sorted sets.  Links so far give components; a few
+   more rounds tie documents of other components to another document of the shingle.
 4. Where a prefix shingle still joins several components, its documents are put into bands of size
    and those into tiles of fixed size; tiles whose sizes can be similar are paired.  Only documents of
    different components are compared, by the sizes and the places of the shingle.
@@ -38,10 +39,12 @@ PERCENT = 80
 ORDER_BUCKETS = 1 << 22
 #: Bits of a signature for each shingle, and their least and greatest number (powers of two).
 BITS_EACH, BITS_LEAST, BITS_MOST = 4, 256, 1 << 17
-#: Bits of the filters of ids and of shingles: 4 and 16 megabytes.
-ID_BITS, SHINGLE_BITS = 1 << 25, 1 << 27
+#: Bits of the filters of ids and of shingles: 4 and 8 megabytes.
+ID_BITS, SHINGLE_BITS = 1 << 25, 1 << 26
 #: Documents of a tile.
 TILE = 256
+#: Rounds in which a shingle's documents are compared with one of them before they are compared in full.
+ROUNDS = 3
 _U = np.uint64
 
 
@@ -187,49 +190,38 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def signatures(docs: DataFrame, chosen) -> DataFrame:
-    """(doc_id, n, signature): bitmap of the hashes of the sets of documents that pass a filter of ids."""
+def sets_and_marks(docs: DataFrame, chosen) -> DataFrame:
+    """(doc_id, n, signature, members) of documents that pass a filter of ids: bitmap of hashes, sorted keys as bytes."""
 
-    def work(ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        n, marks, place = np.diff(first), [], textops.mix(keys)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        mine = np.flatnonzero(chosen.value.maybe(ids))
+        if not len(mine):
+            return None
+        keys, first = sets_of(common.texts_of(batch.take(pa.array(mine))))
+        n, out, marks, signed, place = np.diff(first), [], [], textops.as_signed(keys), textops.mix(keys)
         for lo, hi, bits in zip(first[:-1], first[1:], signature_bits(n), strict=True):
+            out.append(np.sort(signed[lo:hi]).tobytes())
             # Lengths are powers of two, so that folding a signature keeps the low bits of a place.
             bitmap = np.zeros(bits, dtype=bool)
             bitmap[(place[lo:hi] % _U(bits)).astype(np.int64)] = True
             marks.append(np.packbits(bitmap, bitorder="little").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(marks, pa.binary())], ["doc_id", "n", "signature"])
-
-    return _chosen_sets(docs, chosen, work, "doc_id long, n long, signature binary")
+        return pa.RecordBatch.from_arrays([pa.array(ids[mine]), pa.array(n), pa.array(marks, pa.binary()), pa.array(out, pa.binary())], ["doc_id", "n", "signature", "members"])
 
+    return common.map_texts(docs, run, "doc_id long, n long, signature binary, members binary")
 
-def members(docs: DataFrame, chosen) -> DataFrame:
-    """(doc_id, members): sorted keys of the sets of documents that pass a filter of ids, as bytes."""
 
-    def work(ids: np.ndarray, keys: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        signed = textops.as_signed(keys)
-        out = [np.sort(signed[lo:hi]).tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(out, pa.binary())], ["doc_id", "members"])
-
-    return _chosen_sets(docs, chosen, work, "doc_id long, members binary")
-
-
-def _chosen_sets(docs: DataFrame, chosen, work, schema: str) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        mine = np.flatnonzero(chosen.value.maybe(ids))
-        if not len(mine):
-            return None
-        return work(ids[mine], *sets_of(common.texts_of(batch.take(pa.array(mine)))))
-
-    return common.map_texts(docs, run, schema)
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar; only sets of documents in these pairs are moved."""
+    pairs = common.keep(bounded(pairs, sets.select("doc_id", "n", "signature")))
+    chosen = pairs.sparkSession.sparkContext.broadcast(sketch.bloom(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), ID_BITS))
 
+    def run(batches):
+        for batch in batches:
+            hit = chosen.value.maybe(batch.column("doc_id").to_numpy(zero_copy_only=False)) if batch.num_rows else []
+            yield batch.take(pa.array(np.flatnonzero(hit)))
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar; sets are made for documents of these pairs alone."""
-    pairs = common.keep(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    chosen = docs.sparkSession.sparkContext.broadcast(sketch.bloom(ids, ID_BITS))
-    return common.keep(verify(pairs, members(docs, chosen)))
+    return common.keep(verify(pairs, sets.select("doc_id", "members").mapInArrow(run, "doc_id long, members binary")))
 
 
 def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> np.ndarray:
@@ -268,8 +260,8 @@ def small_group_pairs(named: DataFrame) -> DataFrame:
         ends = np.flatnonzero(np.concatenate([shingle[1:] != shingle[:-1], [True]])) + 1
         after = ends[np.searchsorted(ends, np.arange(len(ids)), side="right")] - np.arange(len(ids)) - 1
         found = []
-        for lo in range(0, len(ids), 20_000):
-            own = np.arange(lo, min(lo + 20_000, len(ids)))
+        for lo in range(0, len(ids), 4000):
+            own = np.arange(lo, min(lo + 4000, len(ids)))
             i = np.repeat(own, after[own])
             j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[own]) - after[own], after[own])
             ok = _possible(i, j, n, at, comp)
@@ -309,26 +301,39 @@ def similar_components(documents: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shown = spark.sparkContext.broadcast(sketch.bloom(sized.where("doc_id = class_id AND n_shingles > 0").select("doc_id"), ID_BITS))
     levels = spark.sparkContext.broadcast(shingle_counts(docs))
-    met = prefixes(docs, levels, shown).groupBy("shingle").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    wanted = spark.sparkContext.broadcast(sketch.bloom(met.where("lo != hi").select("shingle"), SHINGLE_BITS))
+    # A document's row gives each of its shingles once, so a shingle counted twice is in two documents.
+    met = prefixes(docs, levels, shown).select("shingle").groupBy("shingle").count().where("count > 1")
+    wanted = spark.sparkContext.broadcast(sketch.bloom(met.select("shingle"), SHINGLE_BITS))
     rows = common.keep(prefixes(docs, levels, shown, wanted).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").distinct())
     heads = rows.groupBy("shingle").agg(F.min(F.struct("n", "doc_id", "at")).alias("head"), F.max(F.struct("n", "doc_id")).alias("tail")).where("head.doc_id != tail.doc_id")
     rows = common.keep(rows.join(heads.select("shingle", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at")), "shingle"))
     involved = spark.sparkContext.broadcast(sketch.bloom(rows.select("doc_id"), ID_BITS))
-    marks = common.keep(signatures(docs, involved).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"))
+    sets = common.keep(sets_and_marks(docs, involved).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"))
 
     star = rows.where(f"doc_id != head AND least(n - at, head_n - head_at) * {100 + PERCENT} >= {PERCENT} * (n + head_n)").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-    links = verified(bounded(star, marks), docs)
+    links = verified(star, sets)
+    # Shingles that still join several components: each round one of a shingle's documents is compared
+    # with those of other components, so that large groups of near copies grow together in few pairs.
+    rows = rows.drop("head", "head_n", "head_at")
+    for turn in range(ROUNDS):
+        rows = still_open(rows.select("shingle", "doc_id", "n", "at"), connected(links))
+        head = rows.groupBy("shingle").agg(F.min_by(F.struct("doc_id", "n", "at", "component_id"), F.xxhash64("doc_id", "shingle", F.lit(turn))).alias("h"))
+        near = F.least(F.col("n") - F.col("at"), F.col("h.n") - F.col("h.at")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("h.n"))
+        met = rows.join(head, "shingle").where((F.col("component_id") != F.col("h.component_id")) & near)
+        links = common.keep(links.unionByName(verified(met.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b")).distinct(), sets)))
+    # What is left is compared in full.
+    rows = still_open(rows.select("shingle", "doc_id", "n", "at"), connected(links))
+    more = small_group_pairs(rows.where(f"docs <= {TILE}")).unionByName(banded_candidates(rows.where(f"docs > {TILE}"))).distinct()
+    links = common.keep(links.unionByName(verified(more, sets)))
     comp = connected(links)
+    return sized.join(comp, sized["class_id"] == comp["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
 
-    # Shingles that still join several components.
+def still_open(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of the shingles whose documents are in several components, with component and number of documents."""
     named = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("shingle", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("component_id"))
     open_ = named.groupBy("shingle").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("docs")).where("lo != hi").select("shingle", "docs")
-    named = common.keep(named.join(open_, "shingle"))
-    more = small_group_pairs(named.where(f"docs <= {TILE}")).unionByName(banded_candidates(named.where(f"docs > {TILE}"))).distinct()
-    links = common.keep(links.unionByName(verified(bounded(more, marks), docs)))
-    comp = connected(links)
-    return sized.join(comp, sized["class_id"] == comp["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    return common.keep(named.join(open_, "shingle"))
 
 
 def banded_candidates(named: DataFrame) -> DataFrame:
