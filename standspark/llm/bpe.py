@@ -337,6 +337,7 @@ def round_trip(documents: DataFrame, path: str, keep_ids: bool = False, id_colum
 
     def setup():
         encoder = _encoder(path)
+        common.held_by("bpe", _encoder.cache_clear)
         decimal = {i: str(i) for i in encoder.v.bytes_of}
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -360,7 +361,7 @@ def round_trip(documents: DataFrame, path: str, keep_ids: bool = False, id_colum
         return work
 
     source = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
-    return common.map_texts(source, None, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, setup=setup)
+    return common.map_texts(source, None, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, setup=setup, owner="bpe")
 
 
 def default_path() -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import keep, shared_folder  # noqa: F401
 
 #: Bytes of text that an operator treats at once; a larger batch is cut, a longer text stands alone.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,25 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
 
 
-def map_texts(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", setup: Callable[[], Callable] | None = None) -> DataFrame:
+#: What operators hold between tasks of one Python worker, and how to let it go.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def held_by(owner: str, release: Callable[[], None]) -> None:
+    _HELD[owner] = release
+
+
+def release_others(owner: str) -> None:
+    """Let go what other operators hold: a worker serves one operator after another."""
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+
+
+def map_texts(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", setup: Callable[[], Callable] | None = None, owner: str = "") -> DataFrame:
     """mapInArrow with batches cut to TEXT_BYTES.  ``setup`` runs once per task and gives the work."""
 
     def run(batches):
+        release_others(owner)
         act = setup() if setup else work
         for batch in batches:
             for piece in pieces(batch, text):
