@@ -118,7 +118,7 @@ class Model:
         score = softmax(logits / self.temperature)
         right = score.argmax(1) == labels
         if right.any():
-            self.least_score = min(float(np.quantile(score.max(1)[right], REJECT_TAIL)), 0.6) * 0.9
+            self.least_score = min(float(np.quantile(score.max(1)[right], REJECT_TAIL)), 0.6) * 0.6
             self.least_known = float(np.quantile(known[right], REJECT_TAIL)) * 0.6
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
