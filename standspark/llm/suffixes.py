@@ -5,10 +5,10 @@ anchors.  Consecutive windows with one anchor form a segment.  Only segments who
 several documents are gathered:
 
 1. Copies of a whole text need no windows: all their bytes go.
-2. Anchors that occur in different documents are found by grouped minima and maxima, and passed on to
-   a second reading as a filter of fixed size (which may let others through, at no harm).
-3. Equal segments are found as wholes: all but the smallest document's are removed at once.
-4. The distinct segments of an anchor come together and their windows are sorted as suffixes, by
+2. Anchors that occur in several documents are found by grouped counts, and passed on to a second
+   reading as a filter of fixed size (which may let others through, at no harm).
+3. Equal segments are found as wholes, by hashes: all but the smallest document's are removed at once.
+4. The bytes of the distinct segments are read again, those of an anchor come together and their windows are sorted as suffixes, by
    deep-shallow sorting: multikey quicksort on eight bytes at a time to a shallow depth, then a blind
    trie for each group that still shares a prefix there.  Equal windows stand together, and those of
    all but the smallest document are removed.  Where an anchor has very many distinct segments (the
@@ -95,6 +95,12 @@ class Segments:
         self.start = self.begin - self.base[self.row]
 
 
+    def bytes(self, which: np.ndarray) -> list[bytes]:
+        """Bytes of chosen segments: their windows with the ends of the last."""
+        data, end = self.buf.tobytes(), self.begin[which] + self.windows[which] + LENGTH - 1
+        return [data[a:b] for a, b in zip(self.begin[which].tolist(), end.tolist(), strict=True)]
+
+
 class BlindTrie:
     """Orders strings of one length that share a prefix: inner nodes keep the place of a difference only.
 
@@ -213,23 +219,27 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def _anchors(docs: DataFrame, shown) -> DataFrame:
-    """(anchor, doc_id) of the segments of documents that pass the filter of ids."""
+    """(anchor) of the segments of documents that pass the filter of ids: once for each document."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        keep = shown.value.maybe(ids)
-        texts = [t if k else b"" for t, k in zip(common.texts_of(batch), keep, strict=True)]
-        seg = Segments(texts)
-        return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(seg.key)), pa.array(ids[seg.row])], ["anchor", "doc_id"])
+        keep = shown.value.maybe(batch.column("doc_id").to_numpy(zero_copy_only=False))
+        seg = Segments([t if k else b"" for t, k in zip(common.texts_of(batch), keep, strict=True)])
+        keys, _ = textops.distinct_by_row(seg.key, seg.row)
+        return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(keys))], ["anchor"])
 
-    return common.map_texts(docs, work, "anchor long, doc_id long")
+    return common.map_texts(docs, work, "anchor long")
 
 
-SEGMENT = "anchor long, doc_id long, start long, windows int, c1 long, c2 long, bytes binary"
+def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Key of a segment by its document and start; keys may coincide."""
+    return (doc.astype(np.int64) << 24) ^ start.astype(np.int64)
 
 
 def _segments(docs: DataFrame, shown, wanted) -> DataFrame:
-    """Segments whose anchor passes the filter, with a hash of their bytes and the bytes themselves."""
+    """(anchor, doc_id, start, windows, content) of segments whose anchor passes the filter.
+
+    ``content`` is a hash of the segment's bytes; with the anchor's it makes 128 bits.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -238,13 +248,39 @@ def _segments(docs: DataFrame, shown, wanted) -> DataFrame:
         hit = np.flatnonzero(wanted.value.maybe(textops.as_signed(seg.key)))
         if not len(hit):
             return None
-        data = seg.buf.tobytes()
-        end = seg.begin[hit] + seg.windows[hit] + LENGTH - 1
-        parts = [data[a:b] for a, b in zip(seg.begin[hit].tolist(), end.tolist(), strict=True)]
-        keys = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), dtype=np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(seg.key[hit])), pa.array(ids[seg.row[hit]]), pa.array(seg.start[hit]), pa.array(seg.windows[hit].astype(np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(parts, pa.binary())], ["anchor", "doc_id", "start", "windows", "c1", "c2", "bytes"])
+        content = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=8).digest() for p in seg.bytes(hit)), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(seg.key[hit])), pa.array(ids[seg.row[hit]]), pa.array(seg.start[hit].astype(np.int32)), pa.array(seg.windows[hit].astype(np.int32)), pa.array(content)], ["anchor", "doc_id", "start", "windows", "content"])
+
+    return common.map_texts(docs, work, "anchor long, doc_id long, start int, windows int, content long")
+
+
+def _texts_of_segments(docs: DataFrame, shown, wanted, hot) -> DataFrame:
+    """(key, doc_id, start, bytes) of segments whose place passes a filter; the key is the anchor.
+
+    A hot anchor's windows are rows of their own, under a hash of their bytes.  Whether an anchor is
+    hot is told by a filter of anchors: the same for all its segments, so equal windows share a key.
+    """
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        keep = shown.value.maybe(ids)
+        seg = Segments([t if k else b"" for t, k in zip(common.texts_of(batch), keep, strict=True)])
+        hit = np.flatnonzero(wanted.value.maybe(_place(ids[seg.row], seg.start)))
+        if not len(hit):
+            return None
+        key, doc = textops.as_signed(seg.key[hit]), ids[seg.row[hit]]
+        start, data = seg.start[hit].astype(np.int64), seg.bytes(hit)
+        single = hot.value.maybe(key)
+        cold = np.flatnonzero(~single)
+        out = [(key[cold], doc[cold], start[cold], [data[i] for i in cold])]
+        for i in np.flatnonzero(single):
+            n = len(data[i]) - LENGTH + 1
+            windows = [data[i][w : w + LENGTH] for w in range(n)]
+            keys = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in windows), dtype=np.int64)
+            out.append((keys, np.full(n, doc[i]), start[i] + np.arange(n), windows))
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([o[c] for o in out])) for c in range(3)), pa.array([w for o in out for w in o[3]], pa.binary())], ["key", "doc_id", "start", "bytes"])
 
-    return common.map_texts(docs, work, SEGMENT)
+    return common.map_texts(docs, work, "key long, doc_id long, start long, bytes binary")
 
 
 def _sorted_windows(rows: DataFrame) -> DataFrame:
@@ -293,12 +329,6 @@ def _sorted_windows(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, start long, windows long")
 
 
-def _one_window(rows: DataFrame) -> DataFrame:
-    """Windows as rows of their own, under a hash of their bytes."""
-    one = rows.select("doc_id", F.explode(F.expr(f"transform(sequence(0, windows - 1), i -> struct(start + i AS start, substring(bytes, i + 1, {LENGTH}) AS bytes))")).alias("w"))
-    return one.select(F.xxhash64("w.bytes").alias("key"), "doc_id", "w.start", "w.bytes")
-
-
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, windows to remove as (start, number) pairs), (doc_id of copies, which lose all bytes))."""
     spark = docs.sparkSession
@@ -308,35 +338,40 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = marked.where("copy").select("doc_id")
     shown = spark.sparkContext.broadcast(sketch.bloom(marked.where("NOT copy").select("doc_id"), ID_BITS))
 
-    seen = _anchors(docs, shown).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    several = common.keep(seen.where("lo != hi").select("anchor"))
+    # A document's row gives each of its anchors once, so an anchor counted twice is in two documents
+    # (or in a repeated row, which the next reading lets go).
+    several = _anchors(docs, shown).groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = spark.sparkContext.broadcast(sketch.bloom(several, ANCHOR_BITS))
     found = common.keep(_segments(docs, shown, wanted))
 
-    same = ["anchor", "c1", "c2"]
+    same = ["anchor", "content"]
     kinds = common.keep(found.groupBy(*same).agg(F.min("doc_id").alias("least")))
-    busy = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    told = found.drop("bytes").join(kinds, same).select("doc_id", "start", "windows", (F.col("doc_id") > F.col("least")).alias("gone"))
-    gone = told.where("gone").select("doc_id", "start", F.col("windows").cast("long").alias("windows"))
-    # Of equal segments only the smallest document's goes on; anchors with one kind of segment are done.
-    rest = kinds.join(busy.where("kinds > 1"), "anchor").select(*same, "least", (F.col("kinds") > HOT).alias("hot"))
-    rest = common.keep(found.join(rest, same).where("doc_id = least").select("anchor", "doc_id", "start", "windows", "bytes", "hot"))
-    cold = _sorted_windows(rest.where("NOT hot").select(F.col("anchor").alias("key"), "doc_id", "start", "bytes"))
-    hot = _sorted_windows(_one_window(rest.where("hot")))
-    every = gone.unionByName(cold).unionByName(hot)
-    return every.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("removed")), copies
+    busy = common.keep(kinds.groupBy("anchor").count().where("count > 1"))
+    kinds = kinds.join(busy, "anchor", "left").select(*same, "least", F.col("count").isNotNull().alias("open"))
+    told = common.keep(found.join(kinds, same).select("doc_id", "start", "windows", (F.col("doc_id") > F.col("least")).alias("gone"), "open"))
+    gone = told.where("gone").select("doc_id", "start", "windows")
+    # Of equal segments only the smallest document's go on, and only where the anchor has other segments.
+    # Their bytes are read from the texts; a segment that passes the filter by chance does no harm.
+    rest = told.where("open AND NOT gone").select(F.shiftleft("doc_id", 24).bitwiseXOR(F.col("start").cast("long")).alias("place"))
+    places = spark.sparkContext.broadcast(sketch.bloom(rest, ANCHOR_BITS))
+    hot = spark.sparkContext.broadcast(sketch.bloom(busy.where(F.col("count") > HOT).select("anchor"), ID_BITS))
+    sorted_ = _sorted_windows(_texts_of_segments(docs, shown, places, hot))
+    run = F.struct(F.col("start").cast("int").alias("start"), F.col("windows").cast("int").alias("windows"))
+    every = gone.select("doc_id", run.alias("run")).unionByName(sorted_.select("doc_id", run.alias("run")))
+    return every.groupBy("doc_id").agg(F.collect_list("run").alias("removed")), copies
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     removed, copies = removals(docs)
-    what = common.keep(removed.unionByName(copies.select("doc_id", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("windows"))).alias("removed"))).groupBy("doc_id").agg(F.flatten(F.collect_list("removed")).alias("removed")))
-    joined = docs.join(what, "doc_id", "left").select("doc_id", "text", F.col("removed.start").alias("start"), F.col("removed.windows").alias("windows"))
+    what = common.keep(removed.unionByName(copies.select("doc_id", F.array(F.struct(F.lit(0).alias("start"), F.lit(-1).alias("windows"))).alias("removed"))).groupBy("doc_id").agg(F.flatten(F.collect_list("removed")).alias("removed")))
+    # Documents that lose nothing are told by a filter and stay where they are; the others meet their removals.
+    touched = docs.sparkSession.sparkContext.broadcast(sketch.bloom(what.select("doc_id"), ID_BITS))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def rest(batch: pa.RecordBatch, start: list, windows: list) -> pa.RecordBatch:
         out = []
-        for text, start, windows in zip(common.texts_of(batch), batch.column("start").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+        for text, start, windows in zip(common.texts_of(batch), start, windows, strict=True):
             cover = np.zeros(len(text) + 1, dtype=np.int64)
             if start:
                 start, windows = np.array(start), np.array(windows)
@@ -349,7 +384,20 @@ def dedup(documents: DataFrame) -> DataFrame:
             out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return common.map_texts(joined, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    def split(which: bool):
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            hit = touched.value.maybe(batch.column("doc_id").to_numpy(zero_copy_only=False)) == which
+            mine = batch.take(pa.array(np.flatnonzero(hit)))
+            if not which and mine.num_rows:
+                return rest(mine, [None] * mine.num_rows, [None] * mine.num_rows)
+            return mine
+
+        return work
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    whole = common.map_texts(docs, split(False), schema)
+    moved = common.map_texts(docs, split(True), "doc_id long, text string").join(what, "doc_id", "left").select("doc_id", "text", F.col("removed.start").alias("start"), F.col("removed.windows").alias("windows"))
+    return whole.unionByName(common.map_texts(moved, lambda b: rest(b, b.column("start").to_pylist(), b.column("windows").to_pylist()), schema))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
