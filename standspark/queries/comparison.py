@@ -251,7 +251,7 @@ def _(s, d):
     return I.rank_test(observations(s, d), "qty", F.col("flag") == "A")
 
 
-@query("pair_regression", f"WITH {_PAIR}, c AS (SELECT fd - avg(fd) OVER (PARTITION BY grp) AS y, dist - avg(dist) OVER (PARTITION BY grp) AS x FROM pr) SELECT sum(x * y) / sum(x * x) AS dist, (sum(y * y) - sum(x * y) ** 2 / sum(x * x)) / count(*) AS residual_variance, count(*) AS n FROM c", "dist residual_variance", 4)
+@query("pair_regression", f"WITH {_PAIR}, c AS (SELECT fd - avg(fd) OVER (PARTITION BY grp) AS y, dist - avg(dist) OVER (PARTITION BY grp) AS x FROM pr) SELECT sum(x * y) / sum(x * x) AS dist, (sum(y * y) - sum(x * y) ** 2 / sum(x * x)) / count(*) AS residual_variance, count(*) AS n FROM c HAVING count(*) > 0", "dist residual_variance", 4)
 def _(s, d):
     return I.pair_regression(_pairs(s, d), "fd", {"dist": F.col("dist")}, "grp")
 
