@@ -5,7 +5,9 @@ as long as the longest item and passages overlap by half, so each occurrence of
 one.  Impacts are divided by the item's score for its own text: 1 means that all its terms are there.
 Postings lie in blocks of similar items with the largest impact of each term per block; a passage is
 scored in those blocks alone whose bound reaches the threshold, so that all items above it are found.
-A pair is reported when the item's question (5-word shingles) and answer (words) are in the document.
+A pair is reported when the item's question (5-word shingles) and answer (words) are in the document;
+of an item whose answer has a few words only, nearly all shingles of the whole item are enough.
+Words are compared case-folded in Unicode, without the marks at their edges (see plain()).
 
 The index has a proven bound, INDEX_WORDS words; larger benchmarks are searched one part after another.
 
@@ -16,6 +18,7 @@ stands in the benchmark twice is reported once per id.  Extra columns are not re
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,16 @@ INDEX_WORDS = 400_000
 #: Least share of the question's shingles, and of the answer's words, in the document.
 QUESTION, ANSWER = 0.8, 0.8
 SHINGLE = 5
+#: Least share of a whole item's shingles that is enough where the answer has at most FEW words.
+WHOLE, FEW = 0.9, 5
+#: Marks at the edge of a word, and spaces that textops doesn't part words at.
+_EDGE = re.compile(r"[^\S\x20\x09-\x0D]|[^\w\s]++(?!\w)|(?<!\S)[^\w\s]+")
+
+
+def plain(text: bytes) -> bytes:
+    """A text with its words case-folded and composed, and a space in place of marks at their edges and of underlines."""
+    folded = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.decode(errors="replace")).casefold())
+    return _EDGE.sub(" ", folded.replace("_", " ")).encode()
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -50,9 +63,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         items = [(i, t) for i, t in items if t and not t.isspace()]
-        words = textops.Words([t.encode() for _, t in items])
+        words = textops.Words([plain(t.encode()) for _, t in items])
         items = [x for x, n in zip(items, words.count, strict=True) if n]
-        words = textops.Words([t.encode() for _, t in items])
+        words = textops.Words([plain(t.encode()) for _, t in items])
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         self.longest = int(words.count.max(initial=1))
         self.terms, term = np.unique(words.key, return_inverse=True)
@@ -80,15 +93,15 @@ class Index:
             table[row, place[doc][mine] % BLOCK] = impact[mine]
             self.postings.append((terms, table))
         parts = [split_item(t) for _, t in items]
-        question, answer = (textops.Words([p[j].encode() for p in parts]) for j in (0, 1))
-        key, row = textops.distinct_by_row(*textops.shingles(question, SHINGLE))
-        self.question = [key[lo:hi] for lo, hi in zip(*self._bounds(row, n), strict=True)]
+        question, answer = (textops.Words([plain(p[j].encode()) for p in parts]) for j in (0, 1))
+        self.question, self.whole = self._shingles(question, n), self._shingles(words, n)
         self.answer = [np.unique(answer.key[lo:hi]) for lo, hi in zip(answer.first[:-1], answer.first[1:], strict=True)]
 
     @staticmethod
-    def _bounds(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def _shingles(words: textops.Words, n: int) -> list[np.ndarray]:
+        key, row = textops.distinct_by_row(*textops.shingles(words, SHINGLE))
         at = np.searchsorted(row, np.arange(n + 1))
-        return at[:-1], at[1:]
+        return [key[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
 
     def search(self, words: textops.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, best score) of all pairs of a text and an item with a passage above the threshold."""
@@ -138,8 +151,10 @@ class Index:
         keep[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
         return row[keep], item[keep], score[keep]
 
-    def verify(self, text: bytes, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of each item's question shingles and answer words in a text; 1 for an item without that part."""
+    def verify(self, text: bytes, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares of each item's question shingles and answer words in a plain() text, 1 for an item without
+        that part; and whether the text holds the item.
+        """
         words = textops.Words([text])
         own = np.sort(words.key)
         runs = {}
@@ -147,7 +162,7 @@ class Index:
         def share(wanted: np.ndarray, there: np.ndarray) -> float:
             return float((textops.find(there, wanted) >= 0).mean()) if len(wanted) else 1.0
 
-        out = np.zeros((len(items), 2))
+        out, held = np.zeros((len(items), 2)), np.zeros(len(items), dtype=bool)
         for j, i in enumerate(items):
             if SHINGLE not in runs:
                 runs[SHINGLE] = np.sort(textops.shingles(words, SHINGLE)[0])
@@ -158,7 +173,10 @@ class Index:
                     if size not in runs:
                         runs[size] = np.sort(_plain(words, size))
                     out[j, 0] = max(out[j, 0], share(q, runs[size]))
-        return out[:, 0], out[:, 1]
+            held[j] = out[j, 0] >= QUESTION and out[j, 1] >= ANSWER
+            if not held[j] and (out[j, 1] >= ANSWER or len(self.answer[i]) <= FEW):
+                held[j] = share(self.whole[i], runs[SHINGLE]) >= WHOLE
+        return out[:, 0], out[:, 1], held
 
 
 def _plain(words: textops.Words, size: int) -> np.ndarray:
@@ -180,13 +198,13 @@ def _search(documents: DataFrame, index: Index) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        index, texts = shared.value, common.texts_of(batch)
+        index, texts = shared.value, [plain(t) for t in common.texts_of(batch)]
         row, item, score = index.search(textops.Words(texts))
         out = []
         for r in np.unique(row):
             mine = np.flatnonzero(row == r)
-            q, a = index.verify(texts[r], item[mine])
-            for j in np.flatnonzero((q >= QUESTION) & (a >= ANSWER)):
+            q, a, held = index.verify(texts[r], item[mine])
+            for j in np.flatnonzero(held):
                 out.append((int(r), int(index.ids[item[mine[j]]]), float(score[mine[j]]), float(q[j]), float(a[j])))
         if not out:
             return None

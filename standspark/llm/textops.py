@@ -126,7 +126,7 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     n = len(key)
     total = np.zeros(n, dtype=np.uint64)
     for j in range(size):
-        total[: n - j] += mix(key[j:] * mult[j])
+        total[: max(n - j, 0)] += mix(key[j:] * mult[j])
     runs = np.maximum(count - size + 1, 0)
     rows = np.repeat(np.arange(words.n_rows), runs)
     at = np.arange(len(rows)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(first[:-1], runs)

@@ -176,6 +176,17 @@ def test_decontamination(spark, rows):
     assert decontaminate.contaminated(make(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_ignores_case_and_marks(spark):
+    tail = "which river crosses the old bridge of the northern quarter near the mill"
+    items = [(1, f"{tail}? Er."), (2, "Qué nación eligió la canción número cien de la colección según el jurado?\nLa acción"), (3, f"{tail[::-1]} and one two three four five? vier rote alte Steine")]
+    long = " ".join(f"w{k}" for k in range(50))
+    items += [(4, f"{long}? one two three four"), (5, f"{long.replace('w', 'v')}? one two three four five six seven")]
+    texts = [f"before {items[0][1]}!! after", f"«{items[1][1].upper()}»", f"({items[2][1].replace(' ', chr(160) + ' ')})...", f"{long} one two three five", long.replace("w", "v")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(make(spark, [(k + 1, t, "en") for k, t in enumerate(texts)]), bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
 def test_block_scores_equal_brute_force():
     random.seed(9)
     items = [(k, " ".join(random.choice("abcdefghij") * random.randint(1, 2) for _ in range(random.randint(3, 20)))) for k in range(60)]
