@@ -63,3 +63,17 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DI
         return f
 
     return put
+
+
+def whole(name: str, cut: str = "", digits: int = DIGITS):
+    """Register ``name`` over whole tables as ``name``_all; its SQL is that of ``name`` without the cut."""
+
+    def put(f):
+        QUERIES[f"{name}_all"] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
+        if cut:
+            if cut not in SQL[name]:
+                raise ValueError(f"{name}: its SQL has no {cut!r}")
+            SQL[f"{name}_all"] = SQL[name].replace(cut, "")
+        return f
+
+    return put

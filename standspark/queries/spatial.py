@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import merging as M
 from ..operators import segment as S
 from ..operators import units as U
-from .base import observations, plots, query, raster, read
+from .base import observations, plots, query, raster, read, whole
 
 _TOUCH = "t AS (SELECT a.label AS la, b.label AS lb, a.v AS va, b.v AS vb, a.kind AS ka, b.kind AS kb, a.y * 100 + a.x AS ia, b.y * 100 + b.x AS ib FROM raster a JOIN raster b ON (b.y = a.y AND b.x = a.x + 1) OR (b.x = a.x AND b.y = a.y + 1))"
 _ADJ = f"{_TOUCH}, adj AS (SELECT least(la, lb) AS label_i, greatest(la, lb) AS label_j, count(*) AS n_shared FROM t WHERE la <> lb GROUP BY ALL)"
@@ -158,7 +158,16 @@ def _(s, d):
 
 @query("interval_join", "WITH i AS (SELECT c_custkey AS id, c_acctbal AS lo, c_acctbal + 40 AS hi FROM customer WHERE c_custkey % 20 = 1) SELECT s_suppkey, count(*) AS n FROM supplier JOIN i ON s_acctbal >= lo AND s_acctbal < hi GROUP BY s_suppkey")
 def _(s, d):
-    i = read(s, d, "customer").where("c_custkey % 20 = 1").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 40).alias("hi"))
+    return _in_intervals(s, d, read(s, d, "customer").where("c_custkey % 20 = 1"))
+
+
+@whole("interval_join", " WHERE c_custkey % 20 = 1")
+def _(s, d):
+    return _in_intervals(s, d, read(s, d, "customer"))
+
+
+def _in_intervals(s, d, customers):
+    i = customers.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("lo"), (F.col("c_acctbal") + 40).alias("hi"))
     return J.ranges(read(s, d, "supplier").select("s_suppkey", "s_acctbal"), i, "s_acctbal", "lo", "hi", 40.0).groupBy("s_suppkey").agg(F.count("*").alias("n"))
 
 
@@ -222,8 +231,16 @@ def _(s, d):
 
 @query("elbow_knee", "WITH p AS (SELECT CAST(s_suppkey AS INTEGER) + 2 AS k, 100.0 / (s_suppkey + 1) AS wcss FROM supplier WHERE s_suppkey < 11), n AS (SELECT *, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS u, (wcss - min(wcss) OVER ()) / (max(wcss) OVER () - min(wcss) OVER ()) AS v FROM p), e AS (SELECT *, first_value(v) OVER (ORDER BY k) AS v0, last_value(v) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v1 FROM n), dd AS (SELECT k, CAST(wcss AS DOUBLE) AS wcss, abs((v1 - v0) * u - v + v0) / sqrt(1 + (v1 - v0) ** 2) AS distance FROM e) SELECT *, row_number() OVER (ORDER BY round(distance, 12) DESC, k) = 1 AS is_knee FROM dd", "wcss distance")
 def _(s, d):
-    p = read(s, d, "supplier").where("s_suppkey < 11").select((F.col("s_suppkey").cast("int") + 2).alias("k"), (100.0 / (F.col("s_suppkey") + 1)).alias("wcss"))
-    return U.knee(p)
+    return _knee(read(s, d, "supplier").where("s_suppkey < 11"))
+
+
+@whole("elbow_knee", " WHERE s_suppkey < 11")
+def _(s, d):
+    return _knee(read(s, d, "supplier"))
+
+
+def _knee(suppliers):
+    return U.knee(suppliers.select((F.col("s_suppkey").cast("int") + 2).alias("k"), (100.0 / (F.col("s_suppkey") + 1)).alias("wcss")))
 
 
 @query("elbow_sweep")
@@ -260,6 +277,11 @@ def _(s, d):
     return U.silhouette(_vec(s, d).where("vec_id < 300"), "vec_id", "label", ["a", "b"])
 
 
+@whole("silhouette", " WHERE vec_id < 300")
+def _(s, d):
+    return U.silhouette(_vec(s, d), "vec_id", "label", ["a", "b"])
+
+
 @query("principal_components")
 def _(s, d):
     return U.principal_components(_vec(s, d), ["a", "b"], 2).select("vec_id", F.round(F.abs(F.col("components")[0]), 5).alias("c0"))

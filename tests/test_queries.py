@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from standspark.queries import QUERIES, SQL
 
@@ -42,3 +43,41 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert len(QUERIES[name](spark, FOLDER).columns) > 0
+
+
+def orders(spark, folder, keys):
+    """A raster of its own: keys 100 * y + x with kinds in a pattern."""
+    rows = [(k, 1.5 * k, k * k % 11, pd.Timestamp("2020-01-05").date()) for k in keys]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_custkey long, o_orderdate date").write.parquet(f"{folder}/orders.parquet")
+
+
+def test_boundary_match_reads_every_row(spark, tmp_path):
+    from standspark.operators import compare
+    from standspark.queries.base import raster
+
+    orders(spark, tmp_path, range(39000, 42000))
+    r = raster(spark, str(tmp_path)).withColumn("other", F.expr("(y DIV 9) * 100 + x DIV 8"))
+    expected = plain(compare.boundary_match(r, "label", "other", 1).toPandas())
+    assert plain(QUERIES["boundary_match"](spark, str(tmp_path)).toPandas()) == expected
+
+
+def test_torus_shifts_the_whole_raster(spark, tmp_path):
+    grid = {(k // 100, k % 100): k * k % 11 % 7 for y in range(3) for x in range(12) if (k := 100 * y + x) != 7}
+    orders(spark, tmp_path, [100 * y + x for y, x in grid])
+    share = {}
+    for dy in range(3):
+        for dx in range(12):
+            met = [grid[p] == kind for (y, x), kind in grid.items() if (p := ((y + dy) % 3, (x + dx) % 12)) in grid]
+            share[dy, dx] = sum(met) / len(met)
+    seen = share.pop((0, 0))
+    got = QUERIES["exhaustive_torus_all"](spark, str(tmp_path)).first()
+    assert (got["observed"], got["n_greater"], got["n_less"], got["n_equal"]) == (seen, 0, sum(s < seen - 1e-9 for s in share.values()), sum(abs(s - seen) <= 1e-9 for s in share.values()))
+
+
+@pytest.mark.parametrize("name", "silhouette permanova bray_curtis interval_join holm elbow_knee".split())
+def test_whole_table_equals_sql_beyond_the_cut(spark, name):
+    con, folder = duckdb.connect(), FOLDER.replace("sf0.001", "sf0.01")
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got, cut, expected = QUERIES[f"{name}_all"](spark, folder).toPandas(), QUERIES[name](spark, folder).toPandas(), con.sql(SQL[f"{name}_all"]).df()
+    assert same_kind(plain(got)) == same_kind(plain(expected)) != same_kind(plain(cut))
