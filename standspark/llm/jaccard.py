@@ -7,15 +7,22 @@ Size-banded tiles with hashed bitmap signatures, exact over all documents:
    common order, early enough for what follows to suffice; only those prefixes are joined.  The
    order puts shingles that occur often last, by counts in a table of fixed size, so that common
    passages hardly ever stand in a prefix.
-3. Every prefix shingle ties its documents to the smallest of them (a star, as many pairs as rows).
+3. All links (similar_documents): a prefix shingle's documents are put into bands of size and those into
+   tiles of fixed size; tiles whose sizes can be similar are paired.  All pairs are compared by the sizes
+   and the places of the shingle, then by signatures, whose bit counts bound the overlap from above, and
+   those that pass by their exact sets.  Pairs are dealt into cells, so that a set moves once a cell.
+
+Where components alone are wanted (similar_components), fewer pairs are enough:
+
+4. Every prefix shingle ties its documents to the smallest of them (a star, as many pairs as rows).
    A pair is verified by intersecting the exact sorted sets.  Links so far give components; a few
    more rounds tie documents of other components to another document of the shingle.
-4. Where a prefix shingle still joins several components, its documents are put into bands of size
+5. Where a prefix shingle still joins several components, its documents are put into bands of size
    and those into tiles of fixed size; tiles whose sizes can be similar are paired.  Only documents of
    different components are compared, by the sizes and the places of the shingle.
-5. The bit counts of two signatures bound their overlap from above; pairs that pass are verified.
+6. The bit counts of two signatures bound their overlap from above; pairs that pass are verified.
 
-Components are those of all links: pairs that are left out in 4 lie within one component already.
+Components are those of all links: pairs that are left out in 5 lie within one component already.
 Sets hold 64-bit hashes of shingles.
 
 Defined results: a null text is empty; a document without words has an empty set, links with nothing
@@ -24,6 +31,8 @@ and is its own component; rows with a null id are left out; extra columns are no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +54,8 @@ ID_BITS, SHINGLE_BITS = 1 << 25, 1 << 26
 TILE = 256
 #: Rounds in which a shingle's documents are compared with one of them before they are compared in full.
 ROUNDS = 3
+#: Pairs of a cell, on average.
+CELL_PAIRS = 2048
 _U = np.uint64
 
 
@@ -289,8 +300,57 @@ def small_group_pairs(named: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_components(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
+def _similar_sets(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
+    if len(x) > len(y):
+        x, y = y, x
+    overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * overlap >= PERCENT * (len(x) + len(y) - overlap)
+
+
+def in_cells(pairs: DataFrame, facts: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) that pass ``test`` of (n, fact) of both; ``facts`` has (doc_id, n, fact).
+
+    Cells are squares of hashed ids, so many that each holds about CELL_PAIRS pairs: a document's fact goes
+    to the cells of its pairs, of which a large group of copies needs far fewer than it has pairs.
+    """
+    side = max(1, math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
+    dealt = pairs.withColumn("cell", cell("a") * side + cell("b"))
+    needs = dealt.select(F.col("cell").alias("of"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(facts, "doc_id")
+
+    def run(key, own, there):
+        at = {d: k for k, d in enumerate(there.column("doc_id").to_pylist())}
+        n, fact = there.column("n").to_pylist(), there.column("fact").to_pylist()
+        keep = []
+        for k, (a, b) in enumerate(zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True)):
+            i, j = at.get(a), at.get(b)
+            if i is not None and j is not None and test(fact[i], fact[j], n[i], n[j]):
+                keep.append(k)
+        return own.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return common.keep(dealt.groupBy("cell").cogroup(needs.groupBy("of")).applyInArrow(run, "a long, b long"))
+
+
+def all_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Every pair (a < b) of documents whose sets are similar, whatever component they are in."""
+    sizes = rows.groupBy("shingle").agg(F.count("*").alias("docs"))
+    named = common.keep(rows.select("shingle", "doc_id", "n", "at", F.col("doc_id").alias("component_id")).join(sizes, "shingle"))
+    pairs = common.keep(small_group_pairs(named.where(f"docs <= {TILE}")).unionByName(banded_candidates(named.where(f"docs > {TILE}"))).distinct())
+    pairs = in_cells(pairs, sets.select("doc_id", "n", F.col("signature").alias("fact")), may_be_similar)
+    return in_cells(pairs, sets.select("doc_id", "n", F.col("members").alias("fact")), lambda x, y, n, m: _similar_sets(x, y))
+
+
+def similar_documents(documents: DataFrame) -> DataFrame:
+    """similar_components() with n_links: how many different sets are similar to the document's own."""
+    sized, rows, sets = _prepared(documents)
+    links = all_links(rows, sets)
+    linked = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return _named(sized, links).join(linked, "class_id", "left").select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _prepared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with size and class, prefix rows that a shingle ties to others with its head, sets of these)."""
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = common.keep(classes(docs))
     least = sized.where("key1 IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
@@ -309,7 +369,17 @@ def similar_components(documents: DataFrame) -> DataFrame:
     rows = common.keep(rows.join(heads.select("shingle", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at")), "shingle"))
     involved = spark.sparkContext.broadcast(sketch.bloom(rows.select("doc_id"), ID_BITS))
     sets = common.keep(sets_and_marks(docs, involved).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"))
+    return sized, rows, sets
 
+
+def _named(sized: DataFrame, links: DataFrame) -> DataFrame:
+    comp = connected(links)
+    return sized.join(comp, sized["class_id"] == comp["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+
+def similar_components(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
+    sized, rows, sets = _prepared(documents)
     star = rows.where(f"doc_id != head AND least(n - at, head_n - head_at) * {100 + PERCENT} >= {PERCENT} * (n + head_n)").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
     links = verified(star, sets)
     # Shingles that still join several components: each round one of a shingle's documents is compared
@@ -324,9 +394,7 @@ def similar_components(documents: DataFrame) -> DataFrame:
     # What is left is compared in full.
     rows = still_open(rows.select("shingle", "doc_id", "n", "at"), connected(links))
     more = small_group_pairs(rows.where(f"docs <= {TILE}")).unionByName(banded_candidates(rows.where(f"docs > {TILE}"))).distinct()
-    links = common.keep(links.unionByName(verified(more, sets)))
-    comp = connected(links)
-    return sized.join(comp, sized["class_id"] == comp["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    return _named(sized, common.keep(links.unionByName(verified(more, sets))))
 
 
 def still_open(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -360,4 +428,4 @@ def banded_candidates(named: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10_ngram_jaccard over every whole text of ``documents``."""
-    return similar_components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+    return similar_documents(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")

@@ -317,6 +317,27 @@ def test_jaccard_tiles_lose_nothing(spark, monkeypatch):
     assert got == brute.jaccard_components([(i, t) for i, t, _ in data])
 
 
+@pytest.mark.parametrize("tile", [3, 256])
+def test_jaccard_counts_every_link(spark, rows, monkeypatch, tile):
+    """Links within components, too: near copies of one text, exact copies among them."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "CELL_PAIRS", 50)
+    random.seed(13)
+    data = list(rows)
+    for i in range(1000, 1060):
+        w = [f"m{k}" for k in range(60)]
+        for k in random.sample(range(60), random.choice([0, 1, 1, 2])):
+            w[k] = f"v{random.randrange(3)}"
+        data.append((i, " ".join(w), "en"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"], r["n_links"]) for r in jaccard.similar_documents(make(spark, data)).collect()}
+    sets = {i: frozenset(brute.shingle_set(t)) for i, t, _ in data}
+    components, kinds = brute.jaccard_components([(i, t) for i, t, _ in data]), set(sets.values())
+    links = {s: sum(100 * len(s & o) >= 80 * len(s | o) for o in kinds if o != s and o and s) for s in kinds}
+    least = {s: min(i for i in sets if sets[i] == s) for s in kinds}
+    assert got == {i: (*components[i], least[s] if s else i, links[s]) for i, s in sets.items()}
+    assert jaccard.similar_documents(empty(spark)).count() == 0
+
+
 def test_signature_bound_is_above(spark):
     rng = np.random.default_rng(2)
     for n, m, c in ((50, 60, 45), (700, 650, 600), (3, 3, 3), (5000, 4500, 4400)):
