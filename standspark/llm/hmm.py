@@ -3,7 +3,7 @@
 Words fall into classes: the TOP_WORDS most frequent ones have a class each, the others one by their
 last bytes, the end of a text has its own.  A hidden Markov model emits classes; a class emits its
 words by smoothed counts over the whole training corpus.  Baum-Welch runs over all training
-documents: each task adds up expected counts, which are summed across partitions.  Scoring is the
+documents, each as one whole sequence: each task adds up expected counts, which are summed across partitions.  Scoring is the
 exact forward recursion, scaled at every token, over whole texts.
 
 Counts of all words come from one grouped sum and reach the documents by a join: each block of
@@ -16,6 +16,8 @@ without training documents all base scores are 0; rows with the same id are scor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,8 +34,10 @@ TAILS = 255
 CLASSES = TOP_WORDS + TAILS + 1
 END = CLASSES - 1
 ITERATIONS = 5
-#: Tokens that Baum-Welch treats as one sequence; longer documents give several.
-SEGMENT = 32
+#: Tokens that Baum-Welch goes through one by one; what a longer document's pieces hand on is exact.
+PIECE = 512
+#: Tokens whose forward vectors Baum-Welch holds at once; a longer document stands alone.
+HELD_TOKENS = 1 << 20
 #: Documents of a block; their places must fit 16 bits.
 BLOCK_DOCS = 8192
 #: Distinct words that a task holds before it passes their counts on.
@@ -212,27 +216,34 @@ class Model:
         return cls(np.full(STATES, 1 / STATES), move, emit / emit.sum(1, keepdims=True))
 
     def expected(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of one E-step over segments of the sequences: start, visits, moves, emissions."""
+        """Expected counts of one E-step over the whole sequences: start, visits, moves, emissions.
+
+        A longer sequence lies in pieces of PIECE tokens that are treated side by side.  The product of a
+        piece's matrices carries the forward vector over it and the backward vector back, so that counts
+        are those of the whole sequence, moves from piece to piece among them.
+        """
         lengths = np.array([len(s) for s in sequences])
         flat = np.concatenate(sequences).astype(np.int64)
-        parts = -(-lengths // SEGMENT)
+        parts = -(-lengths // PIECE)
         seq = np.repeat(np.arange(len(sequences)), parts)
         nth = np.arange(len(seq)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = (np.cumsum(lengths) - lengths)[seq] + nth * SEGMENT
-        size = np.minimum(SEGMENT, lengths[seq] - nth * SEGMENT)
+        start = (np.cumsum(lengths) - lengths)[seq] + nth * PIECE
+        size = np.minimum(PIECE, lengths[seq] - nth * PIECE)
         order = np.argsort(-size, kind="stable")
-        start, size, nth = start[order], size[order], nth[order]
-        live = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")  # segments longer than t
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        start, size, nth, many = start[order], size[order], nth[order], (parts[seq] > 1)[order]
+        live = np.searchsorted(-size, -np.arange(size.max(initial=0)), side="left")  # pieces longer than t
         emit_t = np.ascontiguousarray(self.emit.T.astype(np.float32))
         move = self.move.astype(np.float32)
-        visits_at_start = np.where((nth == 0)[:, None], self.start, self.occupied()).astype(np.float32)
+        before_piece, beta = self._borders(flat, start, size, many, parts, place, emit_t, move, self.start.astype(np.float32))
+        at_start = np.where((nth == 0)[:, None], self.start.astype(np.float32), before_piece @ move)
         alphas = []
         for t, n in enumerate(live):
             seen = emit_t[flat[start[:n] + t]]
-            a = (visits_at_start[:n] if t == 0 else alphas[-1][:n] @ move) * seen
+            a = (at_start if t == 0 else alphas[-1][:n] @ move) * seen
             alphas.append(a / np.maximum(a.sum(1, keepdims=True), 1e-30))
         moves, emissions = np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        beta = np.ones((len(size), STATES), dtype=np.float32)
         first = np.zeros(STATES)
         for t in range(len(live) - 1, -1, -1):
             n = live[t]
@@ -241,23 +252,46 @@ class Model:
             cls = flat[start[:n] + t]
             for k in range(STATES):
                 emissions[:, k] += np.bincount(cls, gamma[:, k], CLASSES)
-            if t == 0:
-                first = gamma[nth[:n] == 0].sum(0, dtype=float)
-                break
             ahead = emit_t[cls] * beta[:n]
-            before = alphas[t - 1][:n]
+            if t == 0:
+                first = gamma[nth == 0].sum(0, dtype=float)
+                ahead, before = ahead[nth > 0], before_piece[nth > 0]
+            else:
+                before = alphas[t - 1][:n]
             scale = np.maximum(((before @ move) * ahead).sum(1, keepdims=True), 1e-30)
             moves += self.move * (before.T @ (ahead / scale))
-            back = ahead @ move.T
-            beta[:n] = back / np.maximum(back.sum(1, keepdims=True), 1e-30)
+            if t:
+                back = ahead @ move.T
+                beta[:n] = back / np.maximum(back.sum(1, keepdims=True), 1e-30)
         return np.concatenate([first, moves.ravel(), emissions.T.ravel()])
 
-    def occupied(self) -> np.ndarray:
-        """Stationary share of each state."""
-        p = np.full(STATES, 1 / STATES)
-        for _ in range(200):
-            p = p @ self.move
-        return p / p.sum()
+    @staticmethod
+    def _borders(flat, start, size, many, parts, place, emit_t, move, start_vector) -> tuple[np.ndarray, np.ndarray]:
+        """For each piece: forward vector at the token before it (0 for a first one), backward vector at its last token."""
+        before, beta = np.zeros((len(size), STATES), dtype=np.float32), np.ones((len(size), STATES), dtype=np.float32)
+        own = np.flatnonzero(many)  # pieces in order of size, longest first
+        if not len(own):
+            return before, beta
+        row = np.full(len(size), -1)
+        row[own] = np.arange(len(own))
+        product = np.broadcast_to(np.eye(STATES, dtype=np.float32), (len(own), STATES, STATES)).copy()
+        for t in range(size[own[0]]):
+            n = int(np.searchsorted(-size[own], -t, side="left"))
+            x = product[:n] if t == 0 else (product[:n].reshape(-1, STATES) @ move).reshape(n, STATES, STATES)
+            x = x * emit_t[flat[start[own[:n]] + t]][:, None, :]
+            product[:n] = x / np.maximum(x.sum((1, 2), keepdims=True), 1e-30)
+        unit = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1e-30)
+        first, longest = np.cumsum(parts) - parts, int(parts.max())
+        for k in range(1, longest):
+            here = place[first[parts > k] + k]
+            last = place[first[parts > k] + k - 1]
+            enter = start_vector if k == 1 else before[last] @ move
+            before[here] = unit(np.einsum("ni,nij->nj", np.broadcast_to(enter, (len(here), STATES)), product[row[last]]))
+        for k in range(longest - 1, 0, -1):
+            here = place[first[parts > k] + k]
+            last = place[first[parts > k] + k - 1]
+            beta[last] = unit(np.einsum("nij,nj->ni", product[row[here]], beta[here]) @ move.T)
+        return before, beta
 
     @classmethod
     def maximised(cls, counts: np.ndarray, class_count: np.ndarray) -> "Model":
@@ -296,6 +330,19 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint16) for x in batch.column("classes").to_pylist()]
 
 
+def _held_at_once(sequences: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The sequences in runs of about HELD_TOKENS tokens."""
+    run, size = [], 0
+    for s in sequences:
+        if run and size + len(s) > HELD_TOKENS:
+            yield run
+            run, size = [], 0
+        run.append(s)
+        size += len(s)
+    if run:
+        yield run
+
+
 def train(documents: DataFrame, lex: Lexicon) -> Model:
     """Baum-Welch over the encoded training documents."""
     spark = documents.sparkSession
@@ -314,8 +361,8 @@ def train(documents: DataFrame, lex: Lexicon) -> Model:
         def step(batches, shared=shared):
             total = None
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    own = shared.value.expected(_sequences(batch.slice(at, 1000)))
+                for part in _held_at_once(_sequences(batch)):
+                    own = shared.value.expected(part)
                     total = own if total is None else total + own
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])

@@ -272,6 +272,31 @@ def test_forward_equals_enumeration():
     assert better.log10_likelihood(seqs).sum() > m.log10_likelihood(seqs).sum()
 
 
+@pytest.mark.parametrize("piece", [4, 512])
+def test_expected_counts_are_those_of_whole_sequences(monkeypatch, piece):
+    monkeypatch.setattr(hmm, "PIECE", piece, raising=False)
+    rng = np.random.default_rng(3)
+    draw = lambda *shape: (lambda x: x / x.sum(-1, keepdims=True))(rng.random(shape) ** 3)
+    m = hmm.Model(draw(hmm.STATES), draw(hmm.STATES, hmm.STATES) * 0.2 + 0.8 * np.eye(hmm.STATES), draw(hmm.STATES, hmm.CLASSES))
+    seqs = [rng.integers(0, hmm.CLASSES, n).astype(np.uint16) for n in (1, 3, 4, 5, 8, 33, 100, 700, 1500)]
+    first, moves, emissions = np.zeros(hmm.STATES), np.zeros((hmm.STATES, hmm.STATES)), np.zeros((hmm.STATES, hmm.CLASSES))
+    for s in seqs:
+        e, b = m.emit[:, s].T, [np.ones(hmm.STATES)]
+        a = [m.start * e[0]]
+        for t in range(1, len(s)):
+            a.append((a[-1] / a[-1].sum() @ m.move) * e[t])
+            b.append((m.move @ (e[-t] * b[-1])) / (m.move @ (e[-t] * b[-1])).sum())
+        b.reverse()
+        for t in range(len(s)):
+            gamma = a[t] * b[t] / (a[t] @ b[t])
+            emissions[:, s[t]] += gamma
+            first += gamma * (t == 0)
+            if t:
+                xi = a[t - 1][:, None] * m.move * (e[t] * b[t])
+                moves += xi / xi.sum()
+    assert m.expected(seqs) == pytest.approx(np.concatenate([first, moves.ravel(), emissions.ravel()]), rel=1e-3, abs=1e-3)
+
+
 @pytest.mark.parametrize("hot", [1, 500])
 def test_suffix_dedup(spark, rows, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", hot)
