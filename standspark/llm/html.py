@@ -4,7 +4,8 @@ A page is read as a row of tokens: words, which score positive, and tags, which
 weights are log-odds from labelled pages (those that mark their article), by kind of token: a word by
 the block it stands in, a tag by its name.  One linear scan finds the contiguous region with the
 largest sum; the blocks it covers are the main text.  Elements that never hold main text (menus,
-forms, scripts, adverts and so on, by element, role or class) score as tags and are left out of it.
+forms, scripts, adverts and so on, by element, role or whole name of a class or id) score as tags and
+are left out of it; body, main, article and what they stand in never are.
 
 Defined results: a null or empty page, or one without words, has an empty text; unclosed and stray
 tags are tolerated; a page is read whole.  Extra columns are not read.
@@ -26,7 +27,7 @@ from . import common
 #: Pages that the weights are taken from at most (in expectation).
 LABELLED_PAGES = 400
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is not markup.
 RAW = frozenset(["script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
@@ -35,6 +36,8 @@ INLINE = frozenset(["a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data
 NEVER = frozenset(["nav", "footer", "aside", "form", "script", "style", "noscript", "template", "button", "select", "option", "textarea", "iframe", "svg", "canvas", "object", "head", "title", "menu", "dialog"])
 NEVER_ROLE = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "toolbar", "form"])
 NEVER_WORD = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "subscription", "comment", "comments", "respond", "replies", "disqus", "related", "share", "sharing", "social", "toolbar", "masthead", "pagination", "pager", "skip", "login", "signup"])
+#: Elements that hold main text whatever they are called, and so do those around them.
+MAIN = frozenset(["body", "main", "article"])
 #: Weights where no page is labelled.
 DEFAULT = {"word": 1.0, "tag": -3.0}
 
@@ -50,26 +53,38 @@ class Token:
 
 def never_main(name: str, attributes: str, inside_main: bool) -> bool:
     """Whether an element never holds main text."""
+    if name in MAIN:
+        return False
     if name in NEVER or name == "header" and not inside_main:
         return True
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in NEVER_ROLE:
             return True
-        if key in ("class", "id") and not NEVER_WORD.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if key in ("class", "id") and not NEVER_WORD.isdisjoint(value.split()):
             return True
     return False
 
 
 class Page:
-    """Tokens and blocks of a page.  ``marked`` are the blocks in an element that marks the article."""
+    """Tokens and blocks of a page.  ``marked`` are the blocks in an element that marks the article.
 
-    def __init__(self, text: str):
+    ``around`` are numbers of start tags around an element of MAIN; a page that excludes one of them at
+    first is read again with their numbers.
+    """
+
+    def __init__(self, text: str, around: frozenset[int] = frozenset()):
+        self._read(text, around)
+        if found := self.around - around:
+            self._read(text, around | found)
+
+    def _read(self, text: str, around: frozenset[int]) -> None:
+        self.kept, self.around, self.started = around, set(), 0
         self.tokens: list[Token] = []
         self.blocks: list[list[str]] = [[]]
         self.out: list[bool] = [False]
         self.marked: set[int] = set()
-        self.open: list[tuple[str, bool, bool]] = []  # name, never main text, marks the article
+        self.open: list[tuple[str, bool, bool, int]] = []  # name, never main text, marks the article, number
         self.held_out = self.held_mark = 0
         at = 0
         for m in _TAG.finditer(text):
@@ -100,7 +115,7 @@ class Page:
             self.out[b] = out
             if self.held_mark:
                 self.marked.add(b)
-            kind = "word:" + next((n for n, _, _ in reversed(self.open) if n not in INLINE), "")
+            kind = "word:" + next((n for n, *_ in reversed(self.open) if n not in INLINE), "")
             self.tokens += [Token(kind, b, out) for _ in raw.split()]
 
     def _tag(self, name: str, closing: bool, attributes: str) -> None:
@@ -113,22 +128,26 @@ class Page:
         self.tokens.append(Token(f"tag:{name}", len(self.blocks) - 1, self.held_out > 0))
         if not closing and name not in VOID and not attributes.rstrip().endswith("/"):
             if name == "p" or name == "li":
-                if any(n == name for n, _, _ in self.open) and self._nearest_block() == name:
+                if any(n == name for n, *_ in self.open) and self._nearest_block() == name:
                     self._close(name)
             marks = name == "article"
-            never = never_main(name, attributes, any(n in ("article", "main") for n, _, _ in self.open))
-            self.open.append((name, never, marks))
+            never = never_main(name, attributes, any(n in ("article", "main") for n, *_ in self.open))
+            never = never and self.started not in self.kept
+            if name in MAIN:
+                self.around.update(number for _, out, _, number in self.open if out)
+            self.open.append((name, never, marks, self.started))
+            self.started += 1
             self.held_out += never
             self.held_mark += marks
 
     def _nearest_block(self) -> str:
-        return next((n for n, _, _ in reversed(self.open) if n not in INLINE), "")
+        return next((n for n, *_ in reversed(self.open) if n not in INLINE), "")
 
     def _close(self, name: str) -> None:
         """Close the nearest open element of the name, and what is open in it; a stray end tag does nothing."""
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
-                for _, never, marks in self.open[i:]:
+                for _, never, marks, _ in self.open[i:]:
                     self.held_out -= never
                     self.held_mark -= marks
                 del self.open[i:]

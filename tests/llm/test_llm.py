@@ -242,6 +242,20 @@ def test_html(spark):
     assert html.extract(table).count() == len(data) and html.extract(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<body><div style='overflow:hidden'>{}</div></body>", "<body class='has-sidebar'>{}</body>", "<body class='menu'>{}</body>", "<div class='content no-sidebar'>{}</div>", "<div id='post-with-comments'>{}</div>",
+    "<div data-hidden='hidden' title='class=ad'>{}</div>", "<html class='modal'><body>{}</body></html>", "<form class='menu'><main id='share' hidden>{}</main></form>", "<div class='social'><div id='nav'><article class='related'>{}</article></div></div>",
+])
+def test_html_keeps_pages_of_any_style(page):
+    body = "<p>First words of the text go on.</p><p>Second ones as well.</p>"
+    assert html.main_text(page.format(body), {"tag:p": -0.1}) == "First words of the text go on.\nSecond ones as well."
+
+
+def test_html_excludes_by_attributes_of_their_name():
+    for mark in ("hidden", "hidden=''", "CLASS='x Ads'", "id=comments", "role='navigation'", "aria-hidden = \"true\""):
+        assert html.main_text(f"<p>Text that stays here.</p><div {mark}>gone</div><p>And more of it.</p>", {"tag:div": -0.1, "tag:p": -0.1}) == "Text that stays here.\nAnd more of it."
+
+
 def test_lm_scores(spark, rows):
     train = common.crc_mod("doc_id", 5) != 1
     got = {r["doc_id"]: r for r in hmm.score(make(spark, rows), train).collect()}
