@@ -38,10 +38,12 @@ ITERATIONS = 5
 PIECE = 512
 #: Tokens whose forward vectors Baum-Welch holds at once; a longer document stands alone.
 HELD_TOKENS = 1 << 20
+#: Sums that a task holds before it passes them on.
+HELD_SUMS = 1 << 20
 #: Documents of a block; their places must fit 16 bits.
 BLOCK_DOCS = 8192
 #: Distinct words that a task holds before it passes their counts on.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 1 << 17
 _U = np.uint64
 
 
@@ -138,12 +140,10 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
         held, place = [], 0
 
         def words_of_block():
-            key, doc, tf = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, key))
-            key, doc, tf = key[order], doc[order], tf[order]
-            pair = np.empty(len(key), dtype=[("d", "<u2"), ("n", "<u2")])
-            # A count over 16 bits stands in several entries.
-            pair["d"], pair["n"] = doc, np.minimum(tf, 65535)
+            key, pair = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(key, kind="stable")  # documents come in order already
+            key, pair = key[order], pair[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             offsets = pa.py_buffer(np.concatenate([first, [len(key)]]).astype(np.int32) * 4)
             places = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(pair.tobytes())])
@@ -178,16 +178,17 @@ def encode(docs: DataFrame, lex: Lexicon) -> DataFrame:
                         first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
                         tf = np.diff(np.concatenate([first, [len(key)]]))
                         key, doc = key[first], doc[first]
-                        while (tf > 65535).any():
-                            big = tf > 65535
-                            held.append((key[big], doc[big] + place, np.full(int(big.sum()), 65535)))
-                            tf = np.where(big, tf - 65535, tf)
-                        held.append((key, doc + place, tf))
+                        # A count over 16 bits stands in several entries.
+                        times = -(-tf // 65535)
+                        pair = np.empty(int(times.sum()), dtype=[("d", "<u2"), ("n", "<u2")])
+                        pair["d"], pair["n"] = np.repeat(doc + place, times), 65535
+                        pair["n"][np.cumsum(times) - 1] = tf - 65535 * (times - 1)
+                        held.append((np.repeat(key, times), pair))
                     place += n
                     if place == BLOCK_DOCS:
                         if held:
                             yield words_of_block()
-                        held, place, number = [], 0, number + 1
+                        place, number = 0, number + 1
         if held:
             yield words_of_block()
 
@@ -409,7 +410,7 @@ def tail_sums(encoded: DataFrame, counts: DataFrame) -> DataFrame:
             for lo, hi in zip(cut, [*cut[1:], len(owner)], strict=True):
                 held.setdefault(int(owner[lo]), []).append((doc[lo:hi], value[lo:hi], known[lo:hi]))
             size += len(owner)
-            if size > 4_000_000:
+            if size > HELD_SUMS:
                 yield flush()
                 size = 0
         if held:
