@@ -12,8 +12,14 @@ when it crosses q, by len(a), and only if b begins at q in one of the runs.  The
 a later rank, and its right part has the former left part on its left spine.  The longest chain of
 such merges, weighted by the lengths of their left parts, bounds how far q can move.
 
-Defined results: a null text is empty and has no tokens; the special token's string in a text is one
-token, as in the library the vocabulary comes from.
+All tokens come from the transducer.  A pre-token is a stream of its own, since no merge crosses its
+border: one that ends within the first window is emitted there, and many such streams are run side by
+side.  What the transducer gave for a short run of text between two borders is remembered in a table
+of bounded bytes.  Texts pass in pieces, tokens in typed arrays, and digests follow them.
+
+Defined results: a null or empty text has no tokens; the special token's string in a text is one
+token, as in the library the vocabulary comes from; every row is encoded, repeated ones and null ids
+too; an empty table gives none; extra columns are not read; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -24,8 +30,8 @@ import hashlib
 import heapq
 import json
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Entries of the word memo of one Python worker; it is emptied when full, so memory stays bounded.
-MEMO_WORDS = 400_000
-#: Longest word in the memo; longer words go through the transducer's window.
-MEMO_LENGTH = 64
-#: Characters of a text that the pre-tokeniser sees at once.
+#: Bytes that a worker's table of remembered runs may take; it is emptied when full.
+MEMO_BYTES = 32 << 20
+#: What an entry takes beside its characters and its tokens.
+ENTRY_BYTES = 150
+#: Characters of text whose tokens are made at once.
 PIECE = 1 << 20
+#: Bytes of a window up to which windows are merged side by side.
+SIDE_BY_SIDE = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,6 +57,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Strings:
+    """Byte strings by number, laid end to end: many are put together in a few array operations."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        self.size = np.array([len(x) for x in strings], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+
+    def join(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the strings of these numbers, end to end; the place behind each)."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return gathered(self.flat, self.first[numbers], size, ends), ends
+
+
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """flat[first:first + size] of all, end to end."""
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(first - ends + size, size) + np.arange(total)]
+
+
 class Vocabulary:
     """Merge ranks, token bytes and the lookahead of a byte-level BPE file."""
 
@@ -67,6 +96,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.lookahead = sufficient_lookahead(self.merges, self.bytes_of)
+        self.text = Strings([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)])
+        self.decimal = Strings([b",%d" % i for i in range(max(self.bytes_of) + 1)])
 
 
 def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], bytes_of: dict[int, bytes]) -> int:
@@ -89,34 +120,59 @@ def sufficient_lookahead(merges: dict[tuple[int, int], tuple[int, int]], bytes_o
 
 
 class ManyWindows:
-    """Final windows of many short words at once: one merge of each word in every numpy step."""
+    """Final windows of many short streams at once: one merge of each window in every numpy step."""
+
+    SLOTS = 1 << 19
 
     def __init__(self, merges: dict[tuple[int, int], tuple[int, int]], byte_id: list[int]):
-        keys = np.array([a << 20 | b for a, b in merges], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.rank = np.array([r for r, _ in merges.values()], dtype=np.int32)[order]
-        self.made = np.zeros(len(merges), dtype=np.int32)
-        self.made[self.rank] = np.array([m for _, m in merges.values()], dtype=np.int32)[order]
+        # Open addressing: a pair's slot, or the next free one.
+        self.keys = np.full(self.SLOTS, -1, dtype=np.int64)
+        self.rank = np.full(self.SLOTS, len(merges), dtype=np.int32)
+        self.made = np.zeros(len(merges) + 1, dtype=np.int32)
+        left = np.array([a << 20 | b for a, b in merges], dtype=np.int64)
+        rank = np.array([r for r, _ in merges.values()], dtype=np.int32)
+        self.made[rank] = [m for _, m in merges.values()]
+        slot = self._slot(left)
+        while len(left):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = left[free]
+            won = self.keys[slot] == left
+            self.rank[slot[won]] = rank[won]
+            left, rank, slot = left[~won], rank[~won], (slot[~won] + 1) % self.SLOTS
         self.byte_id = np.array(byte_id, dtype=np.int32)
         self.none = np.int32(len(merges))
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(45)).astype(np.int64)
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; ``none`` for pairs that don't merge and where a side is absent (-1)."""
-        key = a.astype(np.int64) << 20 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (b >= 0), self.rank[at], self.none)
-
-    def run(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(words)
+        key = (a.astype(np.int64) << 20 | b).ravel()
+        key[b.ravel() < 0] = -2
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.rank[slot], self.none)
+        open_ = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+            there = self.keys[slot[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.rank[slot[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out.reshape(a.shape)
+
+    def run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens of each word, tokens of all)."""
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for lo in range(0, len(order), 4096):
-            part = order[lo : lo + 4096]
-            for i, ids in zip(part, self._run([words[i] for i in part]), strict=True):
-                out[i] = ids
-        return out
-
-    def _run(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        found = [self._run([words[i] for i in order[lo : lo + 4096]]) for lo in range(0, len(order), 4096)]
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        size, flat = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        return size[place], gathered(flat, (np.cumsum(size) - size)[place], size[place], np.cumsum(size[place]))
+
+    def _run(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.array([len(w) for w in words])
         wide = int(lengths.max(initial=0)) + 1
         ids = np.full((len(words), wide), -1, dtype=np.int32)
@@ -144,7 +200,8 @@ class ManyWindows:
             rank[rows, at] = self.ranks(ids[rows, at], ids[rows, np.minimum(at + 1, wide - 1)])
             has = at > 0
             rank[rows[has], at[has] - 1] = self.ranks(ids[rows[has], at[has] - 1], ids[rows[has], at[has]])
-        return [tuple(r[:n]) for r, n in zip(done.tolist(), (done >= 0).sum(axis=1).tolist(), strict=True)]
+        has = done >= 0
+        return has.sum(axis=1), done[has]
 
 
 def merge_window(ids: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -199,15 +256,24 @@ class Transducer:
         yield from merge_window([self.v.byte_id[b] for b in self.window], self.v.merges)
         self.window = b""
 
-    def run(self, pieces: list[bytes]) -> Iterator[int]:
-        for piece in pieces:
-            yield from self.feed(piece)
-        yield from self.finish()
+    @staticmethod
+    def side_by_side(vocabulary: Vocabulary, many: ManyWindows, streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens of each stream, tokens of all): short final windows are merged at once, others one by one."""
+        size, flat = many.run([x if len(x) <= SIDE_BY_SIDE else b"" for x in streams])
+        long = [i for i, x in enumerate(streams) if len(x) > SIDE_BY_SIDE]
+        if not long:
+            return size, flat
+        own = []
+        for i in long:
+            t = Transducer(vocabulary)
+            own.append(np.fromiter(chain(t.feed(streams[i]), t.finish()), dtype=np.int32))
+        first = np.cumsum(size) - size
+        size[long], first[long] = [len(x) for x in own], len(flat) + np.cumsum([0, *map(len, own[:-1])])
+        return size, gathered(np.concatenate([flat, *own]), first, size, np.cumsum(size))
 
 
-#: Where words are cut.  What counts as white space here contains what the pre-tokeniser takes for it.
-_CUT = re.compile(r" (?=\S)")
-_CUT_BEFORE = re.compile(r"(?= \S)")
+#: Borders of runs.  What counts as white space here contains what the pre-tokeniser takes for it.
+_CUT = re.compile(r"(?= \S)")
 
 
 @functools.cache
@@ -218,110 +284,156 @@ def _pattern() -> regex.Pattern:
 
 
 class Encoder:
-    """Encodes whole texts; memos of words and of pre-tokens live as long as the worker.
+    """Encodes whole texts; the table of remembered runs lives as long as the worker.
 
     A space before a character that isn't white space always begins a pre-token, so texts are cut
-    there into words, most of which are in the memo.  The other words of a piece are made together.
+    there into runs.
     """
 
     def __init__(self, path: str):
         self.v = Vocabulary(path)
         self.many = ManyWindows(self.v.merges, self.v.byte_id)
-        self.words: dict[str, tuple[int, ...]] = {}  # of " " + key
-        self.pretokens: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.v.special)) + ")") if self.v.special else None
-
-    def pieces(self, text: str) -> Iterator[tuple[str, list[str]]]:
-        """(head, words): the text is head + " " + words[0] + " " + words[1] ...; about PIECE characters each."""
-        at = 0
-        while at < len(text):
-            end = at + PIECE
-            if end < len(text):
-                m = _CUT_BEFORE.search(text, end)
-                end = m.start() if m else len(text)
-            head, *words = _CUT.split(text[at:end])
-            yield head, words
-            at = end
-
-    def _pretokens(self, texts: list[str]) -> list[tuple[int, ...]]:
-        """Ids of texts, by way of their pre-tokens."""
-        split = [_pattern().findall(t) for t in texts]
-        lacking = [w for w in {w for words in split for w in words} if w not in self.pretokens]
-        if len(self.pretokens) + len(lacking) > MEMO_WORDS:
-            self.pretokens.clear()
-            lacking = list({w for words in split for w in words})
-        data = [w.encode() for w in lacking]
-        short = [i for i, w in enumerate(data) if len(w) <= MEMO_LENGTH]
-        made = dict(zip(short, self.many.run([data[i] for i in short]), strict=True))
-        own = {}  # long pre-tokens are not kept
-        for i, w in enumerate(lacking):
-            if i in made:
-                self.pretokens[w] = made[i]
-            else:
-                own[w] = tuple(Transducer(self.v).run([data[i]]))
-        get = self.pretokens.__getitem__ if not own else lambda w: own[w] if w in own else self.pretokens[w]
-        return [tuple(chain.from_iterable(map(get, words))) for words in split]
-
-    def prepare(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """A look-up that has all these words; it grows to MEMO_WORDS and the words of one call."""
-        wanted = set(words)
-        lacking = [w for w in wanted if w not in self.words]
-        if len(self.words) + len(lacking) > MEMO_WORDS:
-            self.words = {}
-            lacking = list(wanted)
-        self.words |= zip(lacking, self._pretokens([" " + w for w in lacking]), strict=True)
-        return self.words
-
-    def encode_many(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts."""
-        out: list[list[int]] = [[] for _ in texts]
-        held: list[tuple[list[int], str, list[str]]] = []
+        self._empty()
+
+    def _empty(self) -> None:
+        self.entry: dict[str, int] = {}
+        self.tokens = np.zeros(1 << 16, dtype=np.int32)
+        self.first, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.used = self.bytes = 0
+        self._remember(["", *self.v.special], np.array([0, *(1 for _ in self.v.special)]), np.array([*self.v.special.values()], dtype=np.int32))
+
+    def _remember(self, runs: list[str], size: np.ndarray, tokens: np.ndarray) -> None:
+        at, end = len(self.entry), self.used + int(size.sum())
+        while at + len(runs) > len(self.first):
+            self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
+        while end > len(self.tokens):
+            self.tokens = np.concatenate([self.tokens, self.tokens])
+        self.size[at : at + len(runs)] = size
+        self.first[at : at + len(runs)] = self.used + np.cumsum(size) - size
+        self.tokens[self.used : end] = tokens
+        self.entry.update(zip(runs, range(at, at + len(runs)), strict=True))
+        self.used = end
+        self.bytes += sum(map(len, runs)) + ENTRY_BYTES * len(runs) + 4 * int(size.sum())
+
+    def _learn(self, runs: set[str]) -> None:
+        """Run the transducer over what is not remembered yet: pre-tokens first, then runs of several."""
+        parts = {r: _pattern().findall(r) for r in runs if not r.removeprefix(" ").isalpha()}
+        streams = {r for r in runs if r not in parts}.union(*parts.values()).difference(self.entry)
+        streams = list(streams)
+        self._remember(streams, *Transducer.side_by_side(self.v, self.many, [x.encode() for x in streams]))
+        parts = {r: x for r, x in parts.items() if r not in self.entry}
+        if parts:
+            n = np.fromiter(map(len, parts.values()), dtype=np.int64, count=len(parts))
+            entries = np.fromiter(map(self.entry.__getitem__, chain.from_iterable(parts.values())), dtype=np.int64, count=int(n.sum()))
+            size = self.size[entries]
+            self._remember(list(parts), np.add.reduceat(size, np.cumsum(n) - n), gathered(self.tokens, self.first[entries], size, np.cumsum(size)))
+
+    def _entries(self, runs: list[str]) -> np.ndarray:
+        found = np.fromiter(map(self.entry.get, runs, repeat(-1)), dtype=np.int64, count=len(runs))
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            if self.bytes > MEMO_BYTES:
+                self._empty()
+                lacking = np.arange(len(runs))
+            self._learn({runs[i] for i in lacking})
+            found[lacking] = np.fromiter((self.entry[runs[i]] for i in lacking), dtype=np.int64, count=len(lacking))
+        return found
+
+    def _pieces(self, text: str) -> Iterator[tuple[int, list[str]]]:
+        """(characters, runs) of a text, about PIECE characters at a time."""
+        for part in self.split.split(text) if self.split and any(s in text for s in self.v.special) else [text]:
+            at = 0
+            while at < len(part):
+                end = at + PIECE
+                if end < len(part):
+                    m = _CUT.search(part, end)
+                    end = m.start() if m else len(part)
+                yield min(end, len(part)) - at, [part[at:end]] if part in self.v.special else _CUT.split(part[at:end])
+                at = end
+
+    def _long(self, run: str) -> Iterator[np.ndarray]:
+        """Tokens of a run that is longer than a piece, as they become stable."""
+        for m in _pattern().finditer(run):
+            own, at = Transducer(self.v), m.start()
+            while at < m.end():
+                yield np.fromiter(own.feed(run[at : min(at + PIECE // 16, m.end())].encode()), dtype=np.int32)
+                at += PIECE // 16
+            yield np.fromiter(own.finish(), dtype=np.int32)
+
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+        """(tokens, [(text, first, last)]): tokens of texts in order; a long text's come in several parts."""
+        runs: list[str] = []
+        owners: list[tuple[int, int]] = []  # text, runs up to its end
         size = 0
 
         def emit():
             nonlocal size
-            look = self.prepare(chain.from_iterable(words for _, _, words in held)).__getitem__
-            heads = self._pretokens([head for _, head, _ in held])
-            for (ids, _, words), head in zip(held, heads, strict=True):
-                ids += head
-                ids += chain.from_iterable(map(look, words))
-            held.clear()
+            entries = self._entries(runs)
+            n = self.size[entries]
+            ends = np.cumsum(n)
+            ids = gathered(self.tokens, self.first[entries], n, ends)
+            ends = np.concatenate([[0], ends])
+            cut = [0, *(at for _, at in owners)]
+            spans = [(i, int(ends[lo]), int(ends[hi])) for (i, _), lo, hi in zip(owners, cut[:-1], cut[1:], strict=True)]
+            runs.clear()
+            owners.clear()
             size = 0
-
-        for ids, text in zip(out, texts, strict=True):
-            for part in self.split.split(text) if self.split and any(s in text for s in self.v.special) else [text]:
-                if part in self.v.special:
-                    emit()
-                    ids.append(self.v.special[part])
-                    continue
-                for head, words in self.pieces(part):
-                    held.append((ids, head, words))
-                    size += len(words)
-                    if size > PIECE:
-                        emit()
-        emit()
-        return out
+            return ids, spans
+
+        for i, text in enumerate(texts):
+            for length, own in self._pieces(text):
+                for long, some in groupby(own, lambda x: len(x) > PIECE) if length > PIECE else [(False, own)]:
+                    if long:
+                        yield emit()
+                        for ids in chain.from_iterable(map(self._long, some)):
+                            yield ids, [(i, 0, len(ids))]
+                    else:
+                        runs.extend(some)
+                        owners.append((i, len(runs)))
+                size += length
+                if size >= PIECE:
+                    yield emit()
+        if runs:
+            yield emit()
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_many([text])[0]
+        return [int(t) for ids, _ in self.encode_many([text]) for t in ids]
 
 
 class Decoder:
     """Tokens to text, piece by piece: bytes that don't make up a character yet wait for the next token."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.bytes_of = vocabulary.bytes_of
+        self.strings = vocabulary.text
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
-        return self.state.decode(b"".join(map(self.bytes_of.__getitem__, ids)))
+    def feed(self, ids: list[int] | np.ndarray) -> str:
+        return self.feed_bytes(self.strings.join(np.asarray(ids, dtype=np.int64))[0])
+
+    def feed_bytes(self, data: np.ndarray) -> str:
+        """The same for the bytes of tokens."""
+        return self.state.decode(data.tobytes())
 
     def finish(self) -> str:
         return self.state.decode(b"", final=True)
 
 
-#: Tokens that the decoder takes at once.
-DECODE_IDS = 1 << 16
+class Digests:
+    """Number of tokens, digests of the decimal ids and of the decoded text of one document, as its tokens come."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.n, self.ids, self.text, self.decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(vocabulary)
+
+    def feed(self, n: int, decimal: np.ndarray, text: np.ndarray) -> None:
+        if n:
+            self.ids.update(decimal[self.n == 0 :].tobytes())  # a comma stands before each id but the first
+            self.text.update(self.decoder.feed_bytes(text).encode())
+            self.n += n
+
+    def done(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.finish().encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
 
 
 @functools.cache
@@ -338,24 +450,31 @@ def round_trip(documents: DataFrame, path: str, keep_ids: bool = False, id_colum
     def setup():
         encoder = _encoder(path)
         common.held_by("bpe", _encoder.cache_clear)
-        decimal = {i: str(i) for i in encoder.v.bytes_of}
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, ids_sha, text_sha, all_ids = [], [], [], []
-            for ids in encoder.encode_many([text or "" for text in batch.column("text").to_pylist()]):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                digest, decoder = hashlib.sha256(), Decoder(encoder.v)
-                for at in range(0, len(ids), DECODE_IDS):
-                    digest.update(decoder.feed(ids[at : at + DECODE_IDS]).encode())
-                digest.update(decoder.finish().encode())
-                text_sha.append(digest.hexdigest())
-                if keep_ids:
-                    all_ids.append(ids)
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            out, now, own, kept = [], 0, Digests(encoder.v), [[] for _ in texts]
+            for ids, spans in encoder.encode_many(texts):
+                decimal, decimal_ends = encoder.v.decimal.join(ids)
+                text, text_ends = encoder.v.text.join(ids)
+                decimal_ends, text_ends = np.concatenate([[0], decimal_ends]), np.concatenate([[0], text_ends])
+                for i, lo, hi in spans:
+                    while now < i:
+                        out.append(own.done())
+                        now, own = now + 1, Digests(encoder.v)
+                    own.feed(hi - lo, decimal[decimal_ends[lo] : decimal_ends[hi]], text[text_ends[lo] : text_ends[hi]])
+                    if keep_ids:
+                        kept[i].append(ids[lo:hi])
+            while now < len(texts):
+                out.append(own.done())
+                now, own = now + 1, Digests(encoder.v)
+            n, ids_sha, text_sha = zip(*out, strict=True)
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns, names = [*columns, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, dtype=np.int32), *chain.from_iterable(kept)])
+                columns, names = [*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*names, "ids"]
             return pa.RecordBatch.from_arrays(columns, names)
 
         return work
