@@ -1,21 +1,26 @@
 """Exact top-k search by inner product: ball trees per shard, branch and bound.
 
-Candidates are dealt into shards of about SHARD_ROWS by a hash of their id; a ball tree is built over
-each.  Queries come to every shard in blocks.  A node is entered with those queries of a block alone
-whose bound (inner product with the centre plus norm times radius) reaches their current k-th score;
-the child with the larger bounds goes first, so that its scores prune the other.  The k-th score is
-shared: between the nodes of a tree, and from a pilot shard, searched first, to all others.
-
-Components become integers, floor(1024 * x), so scores are exact.
-
-Defined results: a vector that is null or has a null, NaN or infinite component takes no part, nor
-does a row without an id; vectors of different lengths are not compared; rows that share the query's
-id are its own.  Ties go to the smaller id.  Extra columns are not read.
+Candidates stay where they are: a shard is a run of SHARD_ROWS rows of a task's input, and a ball tree is
+built over each.  Queries go to all tasks in blocks of bounded bytes.  A node is entered with those queries
+of a block alone whose bound (inner product with the centre plus norm times radius) reaches their
+current k-th score; the child with the larger bounds goes first, so that its scores prune the other.
+The k-th score is shared: between the nodes of a tree, from each shard of a task to the next, and from a
+pilot sample of the candidates, searched first, to all tasks.
+
+Components become integers, floor(1024 * x), and scores are sums of 64-bit integers, exact where they fit
+them; floats serve as bounds alone, with more slack than their rounding.
+
+Defined results: a vector that is null or has a null, NaN or infinite component, or none, takes no part, nor
+does a row without an id, nor one with a component whose integer does not fit 64 bits; vectors of different
+lengths are not compared; rows that share the query's id are its own; a query that is repeated with the
+same vector is asked once, one id with several vectors has the best of all of them; a candidate that is
+repeated counts as often.  Ties go to the smaller id.  An empty table gives none.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,36 @@ from . import common
 
 #: Candidates of a shard: a ball tree of this many 64-component vectors takes some megabytes.
 SHARD_ROWS = 8192
-#: Fewest shards, so that small tables use several executors, too.
-MIN_SHARDS = 12
+#: Candidates of the pilot sample (in expectation).
+PILOT_ROWS = 8192
 LEAF = 64
-#: Queries of a block.
-BLOCK = 512
+#: Queries that go down a tree together, and bytes of the queries of a block.
+TOGETHER, BLOCK_BYTES = 512, 8 << 20
+#: Score of a place that nothing has taken yet.
+NONE = np.iinfo(np.int64).min + 1
+
+
+class Best:
+    """The k best scores of a block's queries so far, with their ids."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int):
+        self.query_ids, self.queries, self.floor = query_ids, queries, floor
+        self.rough = queries.astype(np.float64)
+        self.norm = np.sqrt((self.rough**2).sum(1)) * (1 + 1e-12)
+        self.score = np.full((len(queries), k), NONE)
+        self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+    def add(self, active: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        score = self.queries[active] @ vectors.T
+        ids = np.broadcast_to(ids, score.shape)
+        score = np.where(ids == self.query_ids[active][:, None], NONE, score)
+        score, ids = np.concatenate([self.score[active], score], axis=1), np.concatenate([self.id[active], ids], axis=1)
+        top = np.lexsort((ids, -score), axis=-1)[:, : self.score.shape[1]]
+        self.score[active], self.id[active] = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
+
+    def needed(self, active: np.ndarray) -> np.ndarray:
+        """Scores below this are not among the k best."""
+        return np.maximum(self.score[active, -1], self.floor[active]).astype(np.float64)
 
 
 class BallTree:
@@ -39,18 +69,17 @@ class BallTree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids, vectors.astype(np.float64)
+        self.rough = vectors.astype(np.float64)
         self.nodes: list[tuple[np.ndarray, float, int, int, int, int]] = []
         self.root = self._build(0, len(ids))
-        self.ids, self.vectors = ids[self.order], self.vectors[self.order]
+        self.ids, self.vectors = ids[self.order], vectors[self.order]
 
     def _build(self, start: int, stop: int) -> int:
         rows = self.order[start:stop]
-        own = self.vectors[rows]
+        own = self.rough[rows]
         centre = own.mean(0)
         away = ((own - centre) ** 2).sum(1)
-        # A little more than the radius, for the rounding of the centre.
-        radius = math.sqrt(away.max()) * (1 + 1e-12) + 1e-9
+        radius = math.sqrt(away.max())
         at = len(self.nodes)
         self.nodes.append((centre, radius, start, stop, -1, -1))
         if stop - start > LEAF:
@@ -63,118 +92,114 @@ class BallTree:
             self.nodes[at] = (centre, radius, start, stop, left, right)
         return at
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of each query's k best here, -inf where there are fewer; below ``floor`` nothing is needed."""
-        q = queries.astype(np.float64)
-        norm = np.sqrt((q**2).sum(1)) * (1 + 1e-12)
-        best = np.full((len(q), k), -np.inf)
-        best_id = np.full((len(q), k), np.iinfo(np.int64).max)
-        floor = floor.copy()
-
-        def bound(node: int, active: np.ndarray) -> np.ndarray:
-            value = q[active] @ self.nodes[node][0] + norm[active] * self.nodes[node][1]
-            return value + 1e-9 * np.abs(value) + 1e-6
+    def bound(self, best: Best, node: int, active: np.ndarray) -> np.ndarray:
+        """No score below a node is larger; the last terms are more than what is lost to rounding."""
+        centre, radius = self.nodes[node][:2]
+        size = best.norm[active] * (math.sqrt(float(centre @ centre)) + radius)
+        return best.rough[active] @ centre + best.norm[active] * radius + 1e-9 * size + 1
 
+    def search(self, best: Best) -> None:
         def visit(node: int, active: np.ndarray, value: np.ndarray) -> None:
-            keep = value >= np.maximum(best[active, -1], floor[active])
+            keep = value >= best.needed(active)
             active, value = active[keep], value[keep]
             if not len(active):
                 return
             _, _, start, stop, left, right = self.nodes[node]
-            if left >= 0:
-                bounds = [bound(left, active), bound(right, active)]
-                turn = (0, 1) if bounds[0].mean() >= bounds[1].mean() else (1, 0)
-                for t in turn:
-                    visit((left, right)[t], active, bounds[t])
+            if left < 0:
+                best.add(active, self.ids[start:stop], self.vectors[start:stop])
                 return
-            score = q[active] @ self.vectors[start:stop].T
-            ids = np.broadcast_to(self.ids[start:stop], score.shape)
-            score = np.where(ids == query_ids[active][:, None], -np.inf, score)
-            score = np.concatenate([best[active], score], axis=1)
-            ids = np.concatenate([best_id[active], ids], axis=1)
-            top = np.lexsort((ids, -score), axis=-1)[:, :k]
-            best[active], best_id[active] = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
-
-        everyone = np.arange(len(q))
-        visit(self.root, everyone, bound(self.root, everyone))
-        return best, best_id
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
-
-
-def _search(rows: DataFrame, partitions: int, k: int) -> DataFrame:
-    """rows: (shard, is_query, id, vector, floor).  Per query and shard, its k best there."""
-
-    def emit(tree, held):
-        if tree is None:
-            return None
-        ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in held])
-        vectors = np.concatenate([_matrix(b.column("vector")) for b in held])
-        floor = np.concatenate([b.column("floor").to_numpy(zero_copy_only=False) for b in held])
-        score, found = tree.search(ids, vectors, floor, k)
-        has = score > -np.inf
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, has.sum(1))), pa.array(found[has]), pa.array(score[has].astype(np.int64))], ["query_id", "vec_id", "score"])
+            bounds = [self.bound(best, left, active), self.bound(best, right, active)]
+            for turn in (0, 1) if bounds[0].mean() >= bounds[1].mean() else (1, 0):
+                visit((left, right)[turn], active, bounds[turn])
+
+        for lo in range(0, len(best.query_ids), TOGETHER):
+            active = np.arange(lo, min(lo + TOGETHER, len(best.query_ids)))
+            visit(self.root, active, self.bound(best, self.root, active))
+
+
+def _shards(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of runs of rows with equally long vectors."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size: dict[int, int] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, vectors = batch.column("id").to_numpy(zero_copy_only=False), batch.column("vector")
+        flat, offsets = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+        dim, first = np.diff(offsets), offsets[:-1] - offsets[0]
+        for d in np.unique(dim).tolist():
+            rows = np.flatnonzero(dim == d)
+            held.setdefault(d, []).append((ids[rows], flat[first[rows][:, None] + np.arange(d)]))
+            size[d] = size.get(d, 0) + len(rows)
+            if size[d] >= SHARD_ROWS:
+                own = [np.concatenate(x) for x in zip(*held.pop(d), strict=True)]
+                for lo in range(0, size.pop(d), SHARD_ROWS):
+                    yield own[0][lo : lo + SHARD_ROWS], own[1][lo : lo + SHARD_ROWS]
+    for own in held.values():
+        ids, vectors = (np.concatenate(x) for x in zip(*own, strict=True))
+        yield ids, vectors
+
+
+def _search(candidates: DataFrame, block: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """Of each task its k best for every query of a block: (ids, vectors of one length, least scores needed)."""
+    shared = candidates.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
-        shard, parts, tree, held, size = None, [], None, [], 0
-        for batch in batches:
-            label = batch.column("shard").to_numpy(zero_copy_only=False) * 2 + batch.column("is_query").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                now, is_query = divmod(int(label[lo]), 2)
-                piece = batch.slice(lo, hi - lo)
-                if now != shard:
-                    if held and (out := emit(tree, held)) is not None:
-                        yield out
-                    shard, parts, tree, held, size = now, [], None, [], 0
-                if not is_query:
-                    parts.append((piece.column("id").to_numpy(zero_copy_only=False), _matrix(piece.column("vector"))))
-                    continue
-                if tree is None and parts:
-                    tree = BallTree(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-                    parts = []
-                for at in range(0, piece.num_rows, BLOCK):
-                    held.append(piece.slice(at, BLOCK))
-                    size += held[-1].num_rows
-                    if size >= BLOCK:
-                        if (out := emit(tree, held)) is not None:
-                            yield out
-                        held, size = [], 0
-        if held and (out := emit(tree, held)) is not None:
-            yield out
-
-    dealt = rows.repartition(partitions, "shard").sortWithinPartitions("shard", "is_query")
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+        best = {queries.shape[1]: Best(ids, queries, floor, k) for ids, queries, floor in shared.value}
+        for ids, vectors in _shards(batches):
+            if vectors.shape[1] in best:
+                BallTree(ids, vectors).search(best[vectors.shape[1]])
+        for b in best.values():
+            has = (b.score > NONE) & (b.score >= b.floor[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.query_ids, has.sum(1))), pa.array(b.id[has]), pa.array(b.score[has])], ["query_id", "vec_id", "score"])
+
+    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
     """(id, vector) with vector = floor(1024 * component) of every vector that takes part."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.expr("transform(embedding, x -> CAST(x AS double))").alias("v"))
-    rows = rows.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
+    rows = rows.where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) >= 9007199254740992D)")
     return rows.select("id", F.expr("transform(v, x -> CAST(floor(1024 * x) AS long))").alias("vector"))
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(embeddings: DataFrame, is_query, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best among all other rows."""
     vectors = common.keep(integer_vectors(embeddings))
-    shards = max(MIN_SHARDS, math.ceil(vectors.count() / SHARD_ROWS))
-    dealt = vectors.withColumn("dim", F.size("vector"))
-    label = lambda part: F.col("dim").cast("long") * shards + part
-    candidates = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    candidates = candidates.select(label(F.col("part")).alias("shard"), "part", F.lit(0).cast("long").alias("is_query"), "id", "vector", F.lit(float("-inf")).alias("floor"))
-    asked = dealt.where(is_query)
-    pilot = _search(candidates.where("part = 0").drop("part").unionByName(asked.select(label(F.lit(0)).alias("shard"), F.lit(1).cast("long").alias("is_query"), "id", "vector", F.lit(float("-inf")).alias("floor"))), 1 if shards == 1 else shards, k)
-    pilot = common.keep(pilot)
-    # The k-th score of the pilot bounds every other shard's search from below.
-    kth = pilot.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(float("-inf")).alias("floor"))
-    others = asked.join(kth, asked["id"] == kth["query_id"], "left").withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
-    others = others.select(label(F.col("part")).alias("shard"), F.lit(1).cast("long").alias("is_query"), "id", "vector", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    rest = _search(candidates.where("part > 0").drop("part").unionByName(others), shards, k)
-    ranked = pilot.unionByName(rest).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = common.keep(vectors.where(is_query).distinct())
+    n, (many, wide) = vectors.count(), asked.agg(F.count("*"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    pilot = vectors.where(common.by_hash("id", min(1.0, PILOT_ROWS / max(n, 1))))
+    blocks = max(1, math.ceil(8 * wide / BLOCK_BYTES))
+    found = []
+    for number in range(blocks if many else 0):
+        # A block's queries, and a score for each, come to the driver: BLOCK_BYTES on average.
+        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow().combine_chunks()
+        block = [(ids, queries, np.full(len(ids), NONE)) for ids, queries in _together(rows)]
+        if not block:
+            continue
+        # The k-th score of the pilot bounds all other searches from below.
+        kth = _ranked(_search(pilot, block, k), k).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        floor = dict(zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist(), strict=True))
+        block = [(ids, queries, np.array([floor.get(i, NONE) for i in ids.tolist()], dtype=np.int64)) for ids, queries, _ in block]
+        found.append(common.keep(_search(vectors, block, k)))
+    if not found:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return _ranked(whole, k)
+
+
+def _together(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of each length."""
+    dims = sorted({len(v) for v in rows.column("vector").to_pylist()})
+    by = [[(i, v) for i, v in zip(rows.column("id").to_pylist(), rows.column("vector").to_pylist(), strict=True) if len(v) == d] for d in dims]
+    return [(np.array([i for i, _ in own], dtype=np.int64), np.array([v for _, v in own], dtype=np.int64)) for own in by]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
