@@ -5,8 +5,14 @@ Further candidates are reported only after their structure has been confirmed: b
 are decoded and parsed as DER key encodings (nested lengths must fill each other exactly), as
 length-prefixed key blobs, or as signed tokens whose header is a JSON object naming an algorithm.
 
-Defined results: a null or empty text has no spans; several rows with one doc_id are scanned one by
-one; extra columns, whatever their names, are not read.
+A key may begin at any character of a run, so at any alignment, and go on over line ends.  It is tried
+wherever the characters decode to the first bytes that its structure demands (a sequence's tag and
+length; the zero bytes before a short field; the magic of a key file); its own lengths say where it
+ends.  Every three parts joined by dots are tried as a signed token.
+
+Defined results: a null or empty text has no spans; several rows with one doc_id and repeated rows are
+scanned one by one, as is a null id; an empty table gives none; extra columns, whatever their names, are
+not read; spans that begin together stand in the order of KINDS.
 """
 
 from __future__ import annotations
@@ -27,9 +33,14 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-_B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-_SIGNED = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{0,}")
+#: Where a run decodes to 0x30 and a length below 0x80 or of one to four bytes; in hex, too.
+_DER = {"base64": re.compile(r"M(?=[A-I][A-Za-z0-9+/]{2})"), "hex": re.compile(r"3(?=0(?:[0-7][0-9A-Fa-f]|8[1-4]))")}
+#: Where it decodes to a field length below 256, or to the magic openssh-key-v1 and a zero byte.
+_BLOB = {"base64": re.compile(r"AAAA(?=[A-Za-z0-9+/])|b3BlbnNzaC1rZXktdjEA"), "hex": re.compile(r"(?i)000000(?=[0-9a-f]{2})|6f70656e7373682d6b65792d763100")}
+_RUN = {"base64": re.compile(r"[A-Za-z0-9+/]+"), "hex": re.compile(r"[0-9A-Fa-f]+")}
+_PADDING = re.compile(r"={1,2}")
+_WRAP = re.compile(r"[ \t]*\r?\n[ \t]*")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 #: Order of the kinds where spans begin together.
 KINDS = ("assign", "access", "hex", "der", "blob", "signed", "armour")
@@ -101,6 +112,10 @@ def is_key_blob(data: bytes) -> bool:
     return fields >= 2 and at == len(data)
 
 
+#: A field of 5 to 64 bytes that names a key kind.
+_FIRST_FIELD = re.compile(rb"\0\0\0[\x05-\x40](ssh|ecdsa|sk)-")
+
+
 def _decoded(run: str, urlsafe: bool = False) -> bytes:
     run = run.rstrip("=")
     run = run[: len(run) - (len(run) % 4 == 1)]
@@ -112,12 +127,56 @@ def is_signed_token(token: str) -> bool:
     """Header and claims are JSON objects and the header names its algorithm."""
     head, body, _ = token.split(".", 2)
     try:
-        header, claims = json.loads(_decoded(head, True)), json.loads(_decoded(body, True))
+        if not (raw := _decoded(head, True)).lstrip().startswith(b"{"):
+            return False
+        header, claims = json.loads(raw), json.loads(_decoded(body, True))
     except (ValueError, RecursionError):
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
 
 
+def taken(text: str, at: int, most: int | None, code: str) -> tuple[str, int]:
+    """(``most`` characters of the run that begins at ``at``, line ends within it left out; the place behind them)."""
+    parts, size = [], 0
+    while m := _RUN[code].match(text, at, len(text) if most is None else at + most - size):
+        parts.append(m[0])
+        size, at = size + len(m[0]), m.end()
+        wrap = None if size == most else _WRAP.match(text, at)
+        if wrap is None or not _RUN[code].match(text, wrap.end(), wrap.end() + 1):
+            break
+        at = wrap.end()
+    return "".join(parts), at
+
+
+def _bytes(run: str, code: str) -> bytes:
+    return _decoded(run) if code == "base64" else bytes.fromhex(run[: len(run) // 2 * 2])
+
+
+def der_at(text: str, at: int, code: str) -> int | None:
+    """The place behind the DER key that begins at a character; None if there is none."""
+    head = _bytes(taken(text, at, 12, code)[0], code)
+    more = head[1] & 0x7F if head[1] & 0x80 else 0
+    size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+    chars = 2 * size if code == "hex" else -(-4 * size // 3)
+    if at + chars > len(text):
+        return None
+    run, end = taken(text, at, chars, code)
+    if len(run) < chars or not is_der_key(_bytes(run, code)[:size]):
+        return None
+    return m.end() if code == "base64" and chars % 4 and (m := _PADDING.match(text, end)) else end
+
+
+def blob_at(text: str, at: int, code: str) -> int | None:
+    """The place behind the key blob that begins at a character and fills its run; None if there is none."""
+    head = _bytes(taken(text, at, 120 if code == "base64" else 180, code)[0], code)
+    if not head.startswith(b"openssh-key-v1\0") and not _FIRST_FIELD.match(head):
+        return None
+    run, end = taken(text, at, None, code)
+    if not is_key_blob(_bytes(run, code)):
+        return None
+    return m.end() if code == "base64" and (m := _PADDING.match(text, end)) else end
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, leftmost and not overlapping for each kind."""
     found = []
@@ -131,24 +190,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of candidates whose structure has been confirmed."""
     found = []
-    for m in _B64.finditer(text):
-        run = m[0]
-        # DER sequences begin with 0x30 0x8?, key blobs with three zero bytes or their name.
-        if run[0] == "M" or run.startswith(("AAAA", "b3BlbnNzaC1rZXktdjEA")):
-            data = _decoded(run)
-            if is_der_key(data):
-                found.append((m.start(), m.end(), "der"))
-            elif is_key_blob(data):
-                found.append((m.start(), m.end(), "blob"))
-    for m in _HEX.finditer(text):
-        run = m[0][: len(m[0]) // 2 * 2]
-        if run.startswith("30") or run.startswith("000000"):
-            data = bytes.fromhex(run)
-            kind = "der" if is_der_key(data) else "blob" if is_key_blob(data) else None
-            if kind:
-                found.append((m.start(), m.start() + len(run), kind))
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), "signed") for m in _SIGNED.finditer(text) if is_signed_token(m[0])]
+    for kind, starts, ends_at in (("der", _DER, der_at), ("blob", _BLOB, blob_at)):
+        for code, pattern in starts.items():
+            done = 0
+            for m in pattern.finditer(text):
+                if m.start() >= done and (end := ends_at(text, m.start(), code)):
+                    found.append((m.start(), end, kind))
+                    done = end
+    for m in _DOTTED.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(len(parts) - 2):
+            token = ".".join(parts[k : k + 3])
+            if parts[k] and parts[k + 1] and is_signed_token(token):
+                found.append((at, at + len(token), "signed"))
+            at += len(parts[k]) + 1
     if "-----BEGIN " in text:
         for m in _ARMOUR.finditer(text):
             body = "".join(m[2].split())
@@ -157,6 +212,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             except ValueError:
                 continue
             if is_der_key(data) or is_key_blob(data):
+                found = [f for f in found if f[0] < m.start() or f[1] > m.end()]
                 found.append((m.start(), m.end(), "armour"))
     return found
 
@@ -200,7 +256,7 @@ def redacted(documents: DataFrame, text_column: str = "text") -> DataFrame:
     """The table with the secrets of each text replaced by their kind; null texts stay null."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in common.pieces(whole, text_column)):
             at = batch.schema.get_field_index(text_column)
             texts = [t and redact(t, base_spans(t) + confirmed_spans(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
