@@ -74,6 +74,27 @@ def test_secrets(spark, rows):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def test_secrets_at_any_alignment_and_over_lines():
+    import textwrap
+
+    body = b"\x02\x01\x00" + b"\x02\x82\x01\x01" + b"\x7f" * 257 + b"\x02\x03\x01\x00\x01" + b"\x02\x82\x01\x00" + b"\x55" * 256
+    der = b"\x30\x82" + len(body).to_bytes(2, "big") + body
+    run, url = base64.b64encode(der).decode(), lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    for before in ("", "k", "ke", "key/", "key: ", "a\n"):
+        assert secrets.confirmed_spans(before + run + " end") == [(len(before), len(before) + len(run), "der")]
+        assert secrets.confirmed_spans(before + der.hex() + "!") == [(len(before), len(before) + 2 * len(der), "der")]
+    for end in ("\n", "\r\n", "\n  "):
+        wrapped = end.join(textwrap.wrap(run, 64))
+        assert secrets.confirmed_spans("see\n\n" + wrapped + "\nnext words") == [(5, 5 + len(wrapped), "der")]
+    token = url('{ "alg":"HS256"}') + "." + url('{"sub":1}') + ".sig"
+    assert secrets.confirmed_spans(f"v1.{token}.x") == [(3, 3 + len(token), "signed")]
+    blob = base64.b64encode(b"\0\0\0\x07ssh-rsa\0\0\0\x03\1\0\1").decode()
+    assert secrets.confirmed_spans(f"{blob} me") == [(0, len(blob), "blob")]
+    # One wrong length, a cut run and prose report nothing.
+    for text in (base64.b64encode(der[:3] + bytes([der[3] ^ 1]) + der[4:]).decode(), run[:-8], "MAIN MACHINE AAAAB 3045 30820101 e.g. a.b.c www.x.example", "M" * 50_000, "A" * 50_000, "30" * 20_000):
+        assert secrets.confirmed_spans(text) == []
+
+
 def test_key_parsing():
     assert secrets.is_der_key(b"\x30\x06\x02\x01\x00\x30\x01\x00") is False  # nested length doesn't fit
     assert secrets.is_key_blob(b"\0\0\0\x07ssh-rsa\0\0\0\x01\x03") and not secrets.is_key_blob(b"\0\0\0\x07ssh-rsa\0\0\0\x09\x03")
@@ -229,6 +250,26 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), F.col("id") == 0, 10).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 600])
+def test_top_k_is_exact_for_large_components(spark, monkeypatch, block_bytes):
+    """Integers to 2 ** 28, sums far beyond what floats hold; repeated queries and candidates; several blocks and shards."""
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 150)
+    rng = np.random.default_rng(6)
+    whole = rng.integers(-(2**28), 2**28, (600, 6))
+    whole[200:400] = whole[100] + rng.integers(0, 2, (200, 6))  # scores that differ in their last digits
+    data = [(i, (v / 1024).tolist()) for i, v in enumerate(whole)]
+    data += [data[100], data[100], data[7], data[7]]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(table, F.col("id") % 100 == 0, 10).collect())
+    expected = []
+    for q in range(0, 600, 100):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(whole[q], whole[i], strict=True)), i) for i, _ in data if i != q)[:10]
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    assert got == expected
+    assert topk.top_k(table, F.col("id") < 0, 10).count() == 0
+
+
 PAGE = "<html><head><title>T &amp; t</title><script>if (a < b) '</p>'</script></head><body><nav><ul><li><a href='/'>Home page</a></li></ul></nav><div class='cookie notice'>We use cookies here</div><article><h1>Big\n head</h1><p>First &lt;para&gt; <b>bo</b>ld&nbsp;text goes on for some words.<p>Second one<br>with a break and more words</p><aside>See also this</aside><p>Third has words as well</p></article><div id='comments'><p>I like it a lot</p></div><form>Name <input></form><footer>&copy; us</footer></body></html>"
 
 
@@ -236,7 +277,7 @@ def test_html(spark):
     data = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>"), (5, "u", "just words & more"), (6, "u", "<div" * 50), (7, "u", PAGE.replace("article", "main")), (1, "u", PAGE)]
     table = spark.createDataFrame([(*d, "x") for d in data], "page_id long, url string, html string, text string")
     got = {r["page_id"]: r for r in html.extract(table).collect()}
-    body = "Big head\nFirst <para> bold text goes on for some words.\nSecond one with a break and more words\nThird has words as well"
+    body = "Big head\n\nFirst <para> bold text goes on for some words.\n\nSecond one with a break and more words\n\nThird has words as well"
     assert got[1]["text"] == body and got[1]["n_chars"] == len(body) and got[7]["text"] == body
     assert got[2]["text"] == got[3]["text"] == got[4]["text"] == "" and got[5]["text"] == "just words & more"
     assert html.extract(table).count() == len(data) and html.extract(table.limit(0)).count() == 0
@@ -248,12 +289,69 @@ def test_html(spark):
 ])
 def test_html_keeps_pages_of_any_style(page):
     body = "<p>First words of the text go on.</p><p>Second ones as well.</p>"
-    assert html.main_text(page.format(body), {"tag:p": -0.1}) == "First words of the text go on.\nSecond ones as well."
+    assert html.main_text(page.format(body), {"tag:p": -0.1}) == "First words of the text go on.\n\nSecond ones as well."
+
+
+@pytest.mark.parametrize("page", ["<body class='has-sidebar'><article>{}</article></body>", "<article class='post comment-status-open'>{}</article>", "<form><article>{}</article></form>", "<main><article>{}</article><section id='comments'><article class='comment'><p>Reader says this</p></article></section></main>"])
+def test_html_keeps_the_marked_article(page):
+    body = "<p>First words of the text go on.</p><p>Second <span class='ad'>gone</span> ones<br>as well.</p>"
+    for weight in ({}, {"tag:p": -0.1}, {"attr:post": -5.0, "element:form": -9.0}):
+        assert html.main_text(page.format(body), weight) == "First words of the text go on.\n\nSecond ones as well."
+
+
+def test_html_evidence_overrules_priors():
+    """Words of a class that stand in articles on labelled pages are kept, whatever the class is called."""
+    page = "<article><div class='notice'>" + "in the text " * 20 + "</div><div class='box'>" + "and so on " * 40 + "</div></article><div class='strip'>" + "bought words " * 60 + "</div>"
+    inside, outside = html.kinds(html.Page(page))
+    learnt = html.weights(inside, outside)
+    assert learnt["attr:notice"] > html.AGAINST >= learnt["attr:strip"] and html.feature_weight(0, 0, "attr:notice") <= html.AGAINST
+    other = "<div class='strip'>bought words here</div><p>Words of another page.</p>"
+    assert html.main_text(other, learnt) == "Words of another page."
+
+
+def test_html_best_run_is_the_best():
+    rng = random.Random(8)
+    for _ in range(300):
+        x = [rng.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(rng.randrange(1, 14))]
+        spans = [(sum(x[i : j + 1]), -i, -j) for i in range(len(x)) for j in range(i, len(x))]
+        best = max(s[0] for s in spans)
+        found = html.best_run(x)
+        assert (found is None) == (best <= 0)
+        assert found is None or abs(sum(x[found[0] : found[1] + 1]) - best) < 1e-9
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " + "\"'" * 500_000, "<a " * 300_000, "<div>" * 100_000 + "</x>" * 100_000 + "word", "<a ='" * 200_000, "<a b=\"c>d' <e f='>\" " * 50_000, "<!--" * 200_000, "<" * 500_000, "<article>" * 30_000 + "word"):
+        began = time.process_time()
+        html.main_text(page, {})
+        assert time.process_time() - began < 3
+
+
+def test_html_holds_every_given_article():
+    """All given pages against a parser of their one layout."""
+    import html as entities
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    inside, outside = html.Counter(), html.Counter()
+    for p in pages[:100]:
+        i, o = html.kinds(html.Page(p))
+        inside.update(i)
+        outside.update(o)
+    weight = html.weights(inside, outside)
+    for p in pages:
+        parts = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", p, re.S)[1])
+        plain = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts)
+        assert html.main_text(p, weight) == "\n\n".join(x for x in plain if x)
 
 
 def test_html_excludes_by_attributes_of_their_name():
     for mark in ("hidden", "hidden=''", "CLASS='x Ads'", "id=comments", "role='navigation'", "aria-hidden = \"true\""):
-        assert html.main_text(f"<p>Text that stays here.</p><div {mark}>gone</div><p>And more of it.</p>", {"tag:div": -0.1, "tag:p": -0.1}) == "Text that stays here.\nAnd more of it."
+        assert html.main_text(f"<p>Text that stays here.</p><div {mark}>gone</div><p>And more of it.</p>", {"tag:div": -0.1, "tag:p": -0.1}) == "Text that stays here.\n\nAnd more of it."
 
 
 def test_lm_scores(spark, rows):
@@ -360,7 +458,6 @@ def test_jaccard_tiles_lose_nothing(spark, monkeypatch):
 def test_jaccard_counts_every_link(spark, rows, monkeypatch, tile):
     """Links within components, too: near copies of one text, exact copies among them."""
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "CELL_PAIRS", 50)
     random.seed(13)
     data = list(rows)
     for i in range(1000, 1060):
