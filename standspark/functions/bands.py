@@ -86,11 +86,21 @@ def first_of(*columns: str) -> Column:
     return F.coalesce(*columns)
 
 
+def class_flag(column: str, classes: Sequence) -> Column:
+    """1 where the class is one of those named, 0 elsewhere and where it is null."""
+    return F.coalesce(F.col(column).isin(list(classes)), F.lit(False)).cast("int")
+
+
 def threshold_flag(column: str, least: float) -> Column:
     """1 where the value reaches the threshold, 0 elsewhere and where it is null."""
     return F.coalesce(F.col(column) >= least, F.lit(False)).cast("int")
 
 
+def priority_class(latest: str, classes: Sequence[int], water: Column, water_code: int = 80) -> Column:
+    """The latest class where it is one of those named, 0 elsewhere; water lies on top."""
+    return F.when(F.coalesce(water, F.lit(False)), water_code).when(F.col(latest).isin(list(classes)), F.col(latest)).otherwise(0).cast("int")
+
+
 def provenance_key(disagree: str, source: str, reason: str) -> Column:
     return 100 * F.col(disagree) + 10 * F.col(source) + F.col(reason)
 
@@ -143,12 +153,16 @@ def condensed_index(i: str, j: str, n: int) -> Column:
     return n * lo - F.expr(f"CAST(least({i}, {j}) AS BIGINT) * (CAST(least({i}, {j}) AS BIGINT) + 1) DIV 2") + hi - lo - 1
 
 
-def claim_code(stand_a: Column, stand_b: Column, type_a: Column, type_b: Column) -> Column:
-    """Claim of two groupings about a pair: -1 none, 0 same stand, 1 same type, 2 different type, 3 type unknown."""
+def claim_code(stand_a: Column, stand_b: Column, type_a: Column, type_b: Column, super_a: Column | None = None, super_b: Column | None = None) -> Column:
+    """Claim of two groupings about a pair: -1 none, 0 same stand, 1 same type, 2 different type, 3 type unknown.
+
+    Types are numbered anew in each super-group, so across super-groups (or without one) they can't be compared.
+    """
+    apart = F.lit(False) if super_a is None else ~F.coalesce(super_a == super_b, F.lit(False))
     return (
         F.when(stand_a.isNull() | stand_b.isNull(), -1)
         .when(stand_a == stand_b, 0)
-        .when(type_a.isNull() | type_b.isNull(), 3)
+        .when(type_a.isNull() | type_b.isNull() | apart, 3)
         .when(type_a == type_b, 1)
         .otherwise(2)
     )

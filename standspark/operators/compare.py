@@ -123,6 +123,43 @@ def segmentation_accuracy(over: DataFrame) -> DataFrame:
     return used.agg(F.avg(o).alias("over_segmentation"), F.avg(u).alias("under_segmentation"), F.avg(F.sqrt((o * o + u * u) / 2)).alias("distance"), F.count("*").alias("n_pairs"))
 
 
+def matched_units(pixels: DataFrame, reference: str, unit: str, least_share: float = 0.0) -> DataFrame:
+    """(a: reference, b: unit, n, na, nb, over, under, d) of pairs that overlap and match.
+
+    A pair matches if the centre pixel of either lies in the other, or the overlap is more than half of
+    either; its share of the smaller must be over ``least_share``.
+    """
+    over = overlay(pixels, reference, unit)
+
+    def centre(own: str, other: str, name: str):
+        mid = pixels.where(F.col(own).isNotNull()).groupBy(F.col(own).alias("_o")).agg(F.floor(F.avg("y") + 0.5).alias("y"), F.floor(F.avg("x") + 0.5).alias("x"))
+        return mid.join(pixels.where(F.col(other).isNotNull()).select("y", "x", F.col(other).alias(name)), ["y", "x"]).select(F.col("_o"), name)
+
+    in_b = centre(reference, unit, "b").select(F.col("_o").alias("a"), "b", F.lit(True).alias("_p"))
+    in_a = centre(unit, reference, "a").select("a", F.col("_o").alias("b"), F.lit(True).alias("_q"))
+    n, na, nb = F.col("n"), F.col("na"), F.col("nb")
+    used = over.join(in_b, ["a", "b"], "left").join(in_a, ["a", "b"], "left").where((F.col("_p").isNotNull() | F.col("_q").isNotNull() | (2 * n > nb) | (2 * n > na)) & (n / F.least(na, nb) > least_share))
+    o, u = 1 - n / na, 1 - n / nb
+    return used.select("a", "b", "n", "na", "nb", o.alias("over"), u.alias("under"), F.sqrt((o * o + u * u) / 2).alias("d"))
+
+
+def accuracy_summary(pixels: DataFrame, matched: DataFrame, reference: str, unit: str) -> DataFrame:
+    """Means of over, under and d over all pairs, over references, and over references by area; counts.
+
+    A reference without a match counts as over = 1 and has no under and d.
+    """
+    sizes = pixels.where(F.col(reference).isNotNull()).groupBy(F.col(reference).alias("a")).agg(F.count("*").alias("w"))
+    names = ("over", "under", "d")
+    each = sizes.join(matched.groupBy("a").agg(*(F.avg(c).alias(c) for c in names)), "a", "left").withColumn("hit", F.col("over").isNotNull()).withColumn("over", F.coalesce("over", F.lit(1.0)))
+    all_ = matched.agg(*(F.avg(c).alias(c) for c in names), F.count("*").alias("n_pairs"))
+    mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("w")), F.sum(F.when(F.col(c).isNotNull(), F.col("w"))))
+    per = each.agg(*(F.avg(c).alias(f"{c}_per_reference") for c in names), *(mean(c).alias(f"{c}_area_weighted") for c in names), F.count("*").alias("n_references"), F.count_if(~F.col("hit")).alias("n_unmatched_references"))
+    units = pixels.agg(F.count_distinct(unit).alias("n_stands"))
+    out = all_.crossJoin(per).crossJoin(units)  # one row each
+    none = F.col("n_pairs") == 0
+    return out.select(*(F.when(~none, F.col(c)).alias(c) for c in (*names, *(f"{x}_{k}" for x in names for k in ("per_reference", "area_weighted")))), "n_references", "n_stands", "n_pairs", "n_unmatched_references")
+
+
 def change_report(over: DataFrame) -> DataFrame:
     """Units with one and the same outline, and area-weighted IoU of best matches both ways."""
     same = over.agg(F.sum(((F.col("n") == F.col("na")) & (F.col("n") == F.col("nb"))).cast("long")).alias("unchanged"))

@@ -20,6 +20,12 @@ def weighted_mean(value: str, weight: str) -> Column:
     return F.try_divide(F.sum(F.when(both, F.col(value) * F.col(weight))), F.sum(F.when(both, F.col(weight))))
 
 
+def tree_structure(records: DataFrame, plots: DataFrame, plot: str, habit: str, height: str, area: str) -> DataFrame:
+    """Every plot with Lorey's height, trunk area and number of its tree rows; 0 for a plot without a tree."""
+    trees = records.where(F.lower(F.trim(F.col(habit).cast("string"))) == "tree").groupBy(plot).agg(weighted_mean(height, area).alias("tree_height"), F.sum(area).alias("tree_area"), F.count("*").alias("n_tree_rows"))
+    return plots.select(plot).distinct().join(trees, plot, "left").fillna(0, ["tree_height", "tree_area", "n_tree_rows"])
+
+
 def loreys_height(trees: DataFrame, plot: str, height: str, area: str) -> DataFrame:
     return trees.groupBy(plot).agg(weighted_mean(height, area).alias("loreys_height"))
 

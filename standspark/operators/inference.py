@@ -41,8 +41,10 @@ def field_distance(columns: Sequence[str]) -> Column:
     return F.sqrt(sum((F.pow(F.col(f"{c}_a") - F.col(f"{c}_b"), F.lit(2.0)) for c in columns), F.lit(0.0)))
 
 
-def with_claims(pairs: DataFrame, unit: str, type_: str) -> DataFrame:
-    return pairs.withColumn("claim", B.claim_code(*(F.col(f"{c}_{s}") for c in (unit, type_) for s in "ab")))
+def with_claims(pairs: DataFrame, unit: str, type_: str, super_group: str | None = None) -> DataFrame:
+    """Pairs with their claim code; ``super_group`` is a column of both (with suffixes) or one that they share."""
+    of = [super_group] * 2 if super_group in pairs.columns else [f"{super_group}_{s}" for s in "ab"]
+    return pairs.withColumn("claim", B.claim_code(*(F.col(f"{c}_{s}") for c in (unit, type_) for s in "ab"), *(map(F.col, of) if super_group else ())))
 
 
 def pair_contrast(pairs: DataFrame, value: str, upper: Column, strata: Sequence[str]) -> dict[str, DataFrame]:
@@ -92,6 +94,32 @@ def anosim(pairs: DataFrame, distance: str, same: Column, strata: Sequence[str]
     return out.select(*strata, "within", "between", "n_pairs", ((F.col("between") - F.col("within")) / (F.col("n_pairs") / 2)).alias("r"))
 
 
+def pooled_anosim(pairs: DataFrame, distance: str, same: Column, strata: Sequence[str], equal: bool = False) -> DataFrame:
+    """R over strata that have both kinds of pair, weighted by n_within * n_between / n_pairs, or equally."""
+    ranked = pairs.where(F.col(distance).isNotNull() & same.isNotNull()).withColumn("_s", same).withColumn("_r", average_rank(distance, strata))
+    each = ranked.groupBy(*strata).agg(F.avg(F.when(~F.col("_s"), F.col("_r"))).alias("b"), F.avg(F.when(F.col("_s"), F.col("_r"))).alias("w"), F.count_if("_s").alias("nw"), F.count("*").alias("n")).where("nw > 0 AND nw < n")
+    r, weight = (F.col("b") - F.col("w")) / (F.col("n") / 2), F.lit(1.0) if equal else F.col("nw") * (F.col("n") - F.col("nw")) / F.col("n")
+    return each.agg(F.try_divide(F.sum(weight * r), F.sum(weight)).alias("r"), F.count("*").alias("n_strata"))
+
+
+def nested_permanova(plots: DataFrame, pairs: DataFrame, key: str, distance: str, group: str, stratum: str) -> DataFrame:
+    """Pseudo-F and R2 of groups nested in strata: a difference between strata is never one between groups.
+
+    ``pairs`` are those within a stratum, with (key_a, key_b, group_a, group_b, stratum, distance).
+    """
+    used = plots.where(F.col(group).isNotNull() & F.col(stratum).isNotNull())
+    d2 = F.col(distance) * F.col(distance)
+    inside = pairs.where(F.col(f"{group}_a").isNotNull() & F.col(f"{group}_b").isNotNull())
+    n_s, n_c = used.groupBy(stratum).agg(F.count("*").alias("n")), used.groupBy(stratum, F.col(group).alias("_g")).agg(F.count("*").alias("n"))
+    total = n_s.join(inside.groupBy(stratum).agg(F.sum(d2).alias("s")), stratum, "left").agg(F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("sst"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    cell = inside.where(F.col(f"{group}_a") == F.col(f"{group}_b")).groupBy(stratum, F.col(f"{group}_a").alias("_g")).agg(F.sum(d2).alias("s"))
+    within = n_c.join(cell, [stratum, "_g"], "left").agg(F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ssw"), F.count("*").alias("a"))
+    t = total.crossJoin(within)  # one row each
+    ssa, df_a, df_w = F.col("sst") - F.col("ssw"), F.col("a") - F.col("k"), F.col("n") - F.col("a")
+    f = F.when((df_a > 0) & (df_w > 0), F.try_divide(ssa / df_a, F.col("ssw") / df_w))
+    return t.select(f.alias("pseudo_f"), F.try_divide(ssa, F.col("sst")).alias("r2"), df_a.alias("df_among"), df_w.alias("df_within"))
+
+
 def permanova(pairs: DataFrame, distance: str, group: str) -> DataFrame:
     """Pseudo-F and R2 from squared distances of all pairs of plots (group_a, group_b)."""
     d2 = F.col(distance) * F.col(distance)
@@ -108,17 +136,17 @@ def permanova(pairs: DataFrame, distance: str, group: str) -> DataFrame:
 
 
 def bray_curtis(amounts: DataFrame, plot: str, species: str, amount: str) -> DataFrame:
-    """(plot_a < plot_b, distance): sum |a - b| / sum (a + b), from shared species alone.
+    """(plot_a < plot_b, distance): sum |a - b| / sum (a + b) of all pairs.
 
     sum |a - b| = sum a + sum b - 2 sum min(a, b), and only shared species have a minimum over 0, so
-    plots meet by an equi-join on species; pairs that share none have distance 1 and are not listed.
+    minima come from an equi-join on species; a pair of a stated plot set that shares none has distance 1.
     """
     total = amounts.groupBy(plot).agg(F.sum(amount).alias("t"))
     a = amounts.select(F.col(plot).alias("plot_a"), species, F.col(amount).alias("u"))
     b = amounts.select(F.col(plot).alias("plot_b"), species, F.col(amount).alias("v"))
     common = a.join(b, species).where("plot_a < plot_b").groupBy("plot_a", "plot_b").agg(F.sum(F.least("u", "v")).alias("c"))
-    out = common.join(total.toDF("plot_a", "ta"), "plot_a").join(total.toDF("plot_b", "tb"), "plot_b")
-    return out.select("plot_a", "plot_b", (1 - 2 * F.col("c") / (F.col("ta") + F.col("tb"))).alias("distance"))
+    whole = total.toDF("plot_a", "ta").join(total.toDF("plot_b", "tb"), F.col("plot_a") < F.col("plot_b"))
+    return whole.join(common, ["plot_a", "plot_b"], "left").select("plot_a", "plot_b", (1 - F.try_divide(2 * F.coalesce("c", F.lit(0.0)), F.col("ta") + F.col("tb"))).alias("distance"))
 
 
 def null_draws(plots: DataFrame, key: str, columns: Sequence[str], n: int, seed: int, within: str | None = None) -> DataFrame:

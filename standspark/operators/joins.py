@@ -105,6 +105,13 @@ def stack_bands(*tables: DataFrame, on: Sequence[str] = ("y", "x")) -> DataFrame
     return out
 
 
+def suffixed(old: DataFrame, new: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("_old", "_new")) -> DataFrame:
+    """Inner equi-join in which columns of both sides carry a suffix."""
+    both = {c for c in old.columns if c in new.columns and c not in on}
+    side = lambda t, s: t.select(*on, *(F.col(c).alias(c + s if c in both else c) for c in t.columns if c not in on))
+    return side(old, suffixes[0]).join(side(new, suffixes[1]), list(on))
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """Left join with a dictionary; the planner broadcasts it where its size allows."""
     return rows.join(table, key, "left")

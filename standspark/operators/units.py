@@ -107,6 +107,30 @@ def kmeans_starts(units: DataFrame, bands: Sequence[str], k: int, starts: int =
     return best, costs
 
 
+def log10_deskew(units: DataFrame, bands: Sequence[str], protected: Sequence[str] = (), most: float = 1.0) -> DataFrame:
+    """Bands whose skewness is over ``most`` become log10(max(x, 0) + 1), all but the protected ones."""
+    row = units.agg(*(F.skewness(b).alias(b) for b in bands)).first()
+    chosen = [b for b in bands if b not in protected and row[b] is not None and row[b] > most]
+    return units.withColumns({b: F.log10(F.greatest(F.col(b).cast("double"), F.lit(0.0)) + 1) for b in chosen}) if chosen else units
+
+
+def log10_shifted(units: DataFrame, bands: Sequence[str], shift: float = 0.001) -> DataFrame:
+    """Named bands beside their log10(x + shift), as <band>_log; null where that is not above 0."""
+    value = lambda b: F.col(b).cast("double") + shift
+    return units.withColumns({f"{b}_log": F.when(value(b) > 0, F.log10(value(b))) for b in bands})
+
+
+def class_composition(pixels: DataFrame, place: str, cls: str, digits: int = 1) -> DataFrame:
+    """Percent of each class among the classified pixels of each place."""
+    n = pixels.where(F.col(cls).isNotNull()).groupBy(place, cls).agg(F.count("*").alias("n"))
+    return n.select(place, cls, F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(place)), digits).alias("percent"))
+
+
+def cluster_count_score(clustered: DataFrame, k: str, bands: Sequence[str]) -> DataFrame:
+    """For each number of clusters, the mean over bands of their variances in its table."""
+    return clustered.groupBy(k).agg((reduce(lambda a, b: a + b, [F.var_samp(b) for b in bands]) / len(bands)).alias("score"))
+
+
 def nearest_centre(units: DataFrame, bands: Sequence[str], centres: Sequence[Sequence[float]]) -> DataFrame:
     """Index of the nearest centre by squared distance; ties go to the least index."""
     distance = [reduce(lambda a, b: a + b, [F.pow(F.col(b) - float(c), F.lit(2.0)) for b, c in zip(bands, centre, strict=True)]) for centre in centres]

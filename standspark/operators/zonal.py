@@ -134,11 +134,15 @@ def explained_variance(pixels: DataFrame, label: str, bands: Sequence[str]) -> D
 
 
 def r2_detail(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """R2 over groups of two or more, adjusted R2, and the R2 expected of a random grouping."""
+    """R2 over groups of two or more, adjusted R2, and the R2 expected of a random grouping.
+
+    Always one row; without such a group its numbers are 0 and its statistics null.
+    """
     sized = rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("c"), F.sum(value).alias("s"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("c >= 2")
     a = sized.agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.sum(F.col("c") * F.col("v")).alias("ssw"), F.sum("s").alias("s"))
-    both = sized.crossJoin(F.broadcast(a.select("n", "k", "ssw", (F.col("s") / F.col("n")).alias("mu"))))
-    out = both.groupBy("n", "k", "ssw").agg(F.sum(F.col("c") * F.pow(F.col("m") - F.col("mu"), F.lit(2.0))).alias("ssb"))
+    a = a.select(F.coalesce("n", F.lit(0)).alias("n"), "k", "ssw", F.try_divide("s", "n").alias("mu"))
+    between = sized.crossJoin(F.broadcast(a.select("mu"))).agg(F.sum(F.col("c") * F.pow(F.col("m") - F.col("mu"), F.lit(2.0))).alias("ssb"))  # one row of means
+    out = a.crossJoin(between)
     r2 = F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw"))
     return out.select("n", "k", r2.alias("r2"), (1 - (1 - r2) * F.try_divide(F.col("n") - 1, F.col("n") - F.col("k"))).alias("r2_adjusted"), F.try_divide(F.col("k") - 1, F.col("n") - 1).alias("r2_expected"))
 

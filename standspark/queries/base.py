@@ -57,23 +57,11 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = DI
         if sql:
             change = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles.split())
             body = sql if sql.lstrip().upper().startswith("WITH") else f"WITH {INPUTS} {sql}"
-            if sql.lstrip().startswith("WITH"):
+            if sql.lstrip().startswith("WITH RECURSIVE"):
+                body = f"WITH RECURSIVE {INPUTS}, {sql.lstrip()[15:]}"
+            elif sql.lstrip().startswith("WITH"):
                 body = f"WITH {INPUTS}, {sql.lstrip()[4:]}"
             SQL[name] = f"SELECT * {f'REPLACE ({change})' if change else ''} FROM ({body})"
         return f
 
     return put
-
-
-def whole(name: str, cut: str = "", digits: int = DIGITS):
-    """Register ``name`` over whole tables as ``name``_all; its SQL is that of ``name`` without the cut."""
-
-    def put(f):
-        QUERIES[f"{name}_all"] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
-        if cut:
-            if cut not in SQL[name]:
-                raise ValueError(f"{name}: its SQL has no {cut!r}")
-            SQL[f"{name}_all"] = SQL[name].replace(cut, "")
-        return f
-
-    return put

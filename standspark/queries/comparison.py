@@ -8,7 +8,7 @@ from ..functions import bands as B
 from ..operators import compare as C
 from ..operators import fieldtables as T
 from ..operators import inference as I
-from .base import observations, plots, query, raster, read, whole
+from .base import observations, plots, query, raster, read
 
 
 def _two_layers(s, d):
@@ -122,12 +122,6 @@ def _(s, d):
     return C.global_score(raster(s, d).groupBy("kind").agg(F.var_pop("v").alias("wv"), F.avg("m").alias("mi")), "wv", "mi")
 
 
-@query("boundary_match")
-def _(s, d):
-    r = raster(s, d).withColumn("other", F.expr("(y DIV 9) * 100 + x DIV 8"))
-    return C.boundary_match(r, "label", "other", 1)
-
-
 @query("class_correspondence")
 def _(s, d):
     t = C.contingency(raster(s, d).withColumn("o", (F.col("kind") * 3 + 2) % 7), "kind", "o")
@@ -186,15 +180,10 @@ def _(s, d):
     return I.anosim(_pairs(s, d).where("claim >= 0"), "fd", F.col("claim") == 0)
 
 
-_PERM = "pl AS (SELECT plot, grp, h FROM plots WHERE plot < 90), gr AS (SELECT grp, count(*) AS n, sum((h - gm) ** 2) AS w FROM (SELECT *, avg(h) OVER (PARTITION BY grp) AS gm FROM pl) GROUP BY grp), al AS (SELECT count(*) AS n, count(DISTINCT grp) AS k, var_pop(h) * count(*) AS t FROM pl)"
+_PERM = "pl AS (SELECT plot, grp, h FROM plots), gr AS (SELECT grp, count(*) AS n, sum((h - gm) ** 2) AS w FROM (SELECT *, avg(h) OVER (PARTITION BY grp) AS gm FROM pl) GROUP BY grp), al AS (SELECT count(*) AS n, count(DISTINCT grp) AS k, var_pop(h) * count(*) AS t FROM pl)"
 
 
 @query("permanova", f"WITH {_PERM} SELECT ((t - w) / (k - 1)) / (w / (n - k)) AS pseudo_f, 1 - w / t AS r2 FROM al, (SELECT sum(w) AS w FROM gr)", "pseudo_f r2", 5)
-def _(s, d):
-    return _permanova(plots(s, d).where("plot < 90"))
-
-
-@whole("permanova", " WHERE plot < 90", 5)
 def _(s, d):
     return _permanova(plots(s, d))
 
@@ -203,12 +192,7 @@ def _permanova(p):
     return I.permanova(I.plot_pairs(p, "plot", ["h", "grp"]).withColumn("fd", I.field_distance(["h"])), "fd", "grp")
 
 
-@query("bray_curtis", "WITH a AS (SELECT pixel, flag || ln AS sp, sum(qty) AS q FROM obs WHERE pixel < 25 AND ok % 29 = 0 GROUP BY ALL), t AS (SELECT pixel, sum(q) AS t FROM a GROUP BY pixel), c AS (SELECT x.pixel AS plot_a, y.pixel AS plot_b, sum(least(x.q, y.q)) AS c FROM a x JOIN a y ON x.sp = y.sp AND x.pixel < y.pixel GROUP BY ALL) SELECT plot_a, plot_b, 1 - 2 * c / (u.t + v.t) AS distance FROM c JOIN t u ON u.pixel = plot_a JOIN t v ON v.pixel = plot_b", "distance")
-def _(s, d):
-    return _bray_curtis(observations(s, d).where("pixel < 25 AND ok % 29 = 0"))
-
-
-@whole("bray_curtis", " WHERE pixel < 25 AND ok % 29 = 0")
+@query("bray_curtis", "WITH a AS (SELECT pixel, flag || ln AS sp, sum(qty) AS q FROM obs GROUP BY ALL), t AS (SELECT pixel, sum(q) AS t FROM a GROUP BY pixel), c AS (SELECT x.pixel AS plot_a, y.pixel AS plot_b, sum(least(x.q, y.q)) AS c FROM a x JOIN a y ON x.sp = y.sp AND x.pixel < y.pixel GROUP BY ALL) SELECT u.pixel AS plot_a, v.pixel AS plot_b, 1 - 2 * coalesce(c, 0) / (u.t + v.t) AS distance FROM t u JOIN t v ON u.pixel < v.pixel LEFT JOIN c ON c.plot_a = u.pixel AND c.plot_b = v.pixel", "distance")
 def _(s, d):
     return _bray_curtis(observations(s, d))
 
@@ -233,12 +217,7 @@ def _(s, d):
     return I.run_tests(seen, null, 99)
 
 
-@query("holm", "WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) / 5000.0 AS p FROM supplier WHERE s_suppkey < 15), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p) SELECT id, CAST(p AS DOUBLE) AS p, least(1, max(p * (m - k + 1)) OVER (ORDER BY k)) AS p_holm FROM r", "p p_holm")
-def _(s, d):
-    return _holm(read(s, d, "supplier").where("s_suppkey < 15"))
-
-
-@whole("holm", " WHERE s_suppkey < 15")
+@query("holm", "WITH p AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 101) / 5000.0 AS p FROM supplier), r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p) SELECT id, CAST(p AS DOUBLE) AS p, least(1, max(p * (m - k + 1)) OVER (ORDER BY k)) AS p_holm FROM r", "p p_holm")
 def _(s, d):
     return _holm(read(s, d, "supplier"))
 
@@ -280,23 +259,6 @@ def _(s, d):
     return I.pair_regression(_pairs(s, d), "fd", {"dist": F.col("dist")}, "grp")
 
 
-@query("exhaustive_torus", "WITH g AS (SELECT y, x, kind FROM raster WHERE y < 8 AND x < 8), sh AS (SELECT a.i AS dr, b.i AS dc FROM range(8) a(i), range(8) b(i)), t AS (SELECT dr, dc, avg(CASE WHEN p.kind = q.kind THEN 1.0 ELSE 0 END) AS s FROM sh, g p JOIN g q ON TRUE WHERE (q.y - dr + 8) % 8 = p.y AND (q.x - dc + 8) % 8 = p.x GROUP BY dr, dc), o AS (SELECT s AS observed FROM t WHERE dr = 0 AND dc = 0) SELECT observed, CAST(count(CASE WHEN s > observed + 1e-9 THEN 1 END) AS BIGINT) AS n_greater, CAST(count(CASE WHEN s < observed - 1e-9 THEN 1 END) AS BIGINT) AS n_less, CAST(count(CASE WHEN abs(s - observed) <= 1e-9 THEN 1 END) AS BIGINT) AS n_equal FROM t, o WHERE dr > 0 OR dc > 0 GROUP BY observed", "observed")
-def _(s, d):
-    return _torus(raster(s, d).where("y < 8 AND x < 8"), 8, 8)
-
-
-@whole("exhaustive_torus")
-def _(s, d):
-    g = raster(s, d)
-    height, width = g.agg(F.max("y") + 1, F.max("x") + 1).first()
-    return _torus(g, height, width)
-
-
-def _torus(g, height, width):
-    a, b = g.select(F.col("y").alias("row"), F.col("x").alias("col"), F.col("kind").alias("a")), g.select(F.col("y").alias("row"), F.col("x").alias("col"), F.col("kind").alias("b"))
-    return I.exhaustive_torus(a, b, height, width, F.avg((F.col("a") == F.col("b")).cast("double")))
-
-
 @query("one_type_per_unit", "SELECT unit, count(DISTINCT typ) AS n_types FROM plots GROUP BY unit HAVING count(DISTINCT typ) > 1")
 def _(s, d):
     return T.one_type_per_unit(plots(s, d), "unit", "typ")

@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import merging as M
 from ..operators import segment as S
 from ..operators import units as U
-from .base import observations, plots, query, raster, read, whole
+from .base import observations, plots, query, raster, read
 
 _TOUCH = "t AS (SELECT a.label AS la, b.label AS lb, a.v AS va, b.v AS vb, a.kind AS ka, b.kind AS kb, a.y * 100 + a.x AS ia, b.y * 100 + b.x AS ib FROM raster a JOIN raster b ON (b.y = a.y AND b.x = a.x + 1) OR (b.x = a.x AND b.y = a.y + 1))"
 _ADJ = f"{_TOUCH}, adj AS (SELECT least(la, lb) AS label_i, greatest(la, lb) AS label_j, count(*) AS n_shared FROM t WHERE la <> lb GROUP BY ALL)"
@@ -82,21 +82,11 @@ def _land(s, d, connectivity=4):
     return G.pixel_links(raster(s, d), F.col("kind") < 3, F.col("y") * 100 + F.col("x"), connectivity)
 
 
-@query("patches")
-def _(s, d):
-    return K.patches(*_land(s, d)).select("node", "component", "size")
-
-
 @query("patches_8_capped")
 def _(s, d):
     return K.patches(*_land(s, d, 8), cap=256).select("node", "component", F.col("size").cast("long").alias("size"))
 
 
-@query("kept_land")
-def _(s, d):
-    return K.kept_land(*_land(s, d), 20).select("node", "component", "size")
-
-
 RULES = M.Rules({"v": 20000.0, "m": 1.5}, min_area_ha="0.8", max_area_ha="5")
 
 
@@ -156,12 +146,7 @@ def _(s, d):
     return J.points_in_polygons(plots(s, d).select("plot", F.col("px").alias("x"), F.col("py").alias("y")), boxes, "plot", "poly", "ring", 250.0)
 
 
-@query("interval_join", "WITH i AS (SELECT c_custkey AS id, c_acctbal AS lo, c_acctbal + 40 AS hi FROM customer WHERE c_custkey % 20 = 1) SELECT s_suppkey, count(*) AS n FROM supplier JOIN i ON s_acctbal >= lo AND s_acctbal < hi GROUP BY s_suppkey")
-def _(s, d):
-    return _in_intervals(s, d, read(s, d, "customer").where("c_custkey % 20 = 1"))
-
-
-@whole("interval_join", " WHERE c_custkey % 20 = 1")
+@query("interval_join", "WITH i AS (SELECT c_custkey AS id, c_acctbal AS lo, c_acctbal + 40 AS hi FROM customer) SELECT s_suppkey, count(*) AS n FROM supplier JOIN i ON s_acctbal >= lo AND s_acctbal < hi GROUP BY s_suppkey")
 def _(s, d):
     return _in_intervals(s, d, read(s, d, "customer"))
 
@@ -229,12 +214,7 @@ def _(s, d):
     return U.nearest_centre(_units(s, d), ["v", "m"], [(100000.0, 5.0), (150000.0, 7.0), (250000.0, 6.0)]).select("label", "cluster")
 
 
-@query("elbow_knee", "WITH p AS (SELECT CAST(s_suppkey AS INTEGER) + 2 AS k, 100.0 / (s_suppkey + 1) AS wcss FROM supplier WHERE s_suppkey < 11), n AS (SELECT *, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS u, (wcss - min(wcss) OVER ()) / (max(wcss) OVER () - min(wcss) OVER ()) AS v FROM p), e AS (SELECT *, first_value(v) OVER (ORDER BY k) AS v0, last_value(v) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v1 FROM n), dd AS (SELECT k, CAST(wcss AS DOUBLE) AS wcss, abs((v1 - v0) * u - v + v0) / sqrt(1 + (v1 - v0) ** 2) AS distance FROM e) SELECT *, row_number() OVER (ORDER BY round(distance, 12) DESC, k) = 1 AS is_knee FROM dd", "wcss distance")
-def _(s, d):
-    return _knee(read(s, d, "supplier").where("s_suppkey < 11"))
-
-
-@whole("elbow_knee", " WHERE s_suppkey < 11")
+@query("elbow_knee", "WITH p AS (SELECT CAST(s_suppkey AS INTEGER) + 2 AS k, 100.0 / (s_suppkey + 1) AS wcss FROM supplier), n AS (SELECT *, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS u, (wcss - min(wcss) OVER ()) / (max(wcss) OVER () - min(wcss) OVER ()) AS v FROM p), e AS (SELECT *, first_value(v) OVER (ORDER BY k) AS v0, last_value(v) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v1 FROM n), dd AS (SELECT k, CAST(wcss AS DOUBLE) AS wcss, abs((v1 - v0) * u - v + v0) / sqrt(1 + (v1 - v0) ** 2) AS distance FROM e) SELECT *, row_number() OVER (ORDER BY round(distance, 12) DESC, k) = 1 AS is_knee FROM dd", "wcss distance")
 def _(s, d):
     return _knee(read(s, d, "supplier"))
 
@@ -272,12 +252,7 @@ def _(s, d):
     return U.davies_bouldin(_vec(s, d), "label", ["a", "b"])
 
 
-@query("silhouette", f"WITH {_VEC}, f AS (SELECT * FROM e WHERE vec_id < 300), m AS (SELECT p.vec_id, p.label AS c, q.label AS o, avg(sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2)) AS dd FROM f p JOIN f q ON p.vec_id <> q.vec_id GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN c = o THEN dd END) AS i, min(CASE WHEN c <> o THEN dd END) AS x FROM m GROUP BY vec_id) SELECT avg(CASE WHEN i IS NULL THEN 0 ELSE (x - i) / greatest(x, i) END) AS silhouette FROM s", "silhouette")
-def _(s, d):
-    return U.silhouette(_vec(s, d).where("vec_id < 300"), "vec_id", "label", ["a", "b"])
-
-
-@whole("silhouette", " WHERE vec_id < 300")
+@query("silhouette", f"WITH {_VEC}, f AS (SELECT * FROM e), m AS (SELECT p.vec_id, p.label AS c, q.label AS o, avg(sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2)) AS dd FROM f p JOIN f q ON p.vec_id <> q.vec_id GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN c = o THEN dd END) AS i, min(CASE WHEN c <> o THEN dd END) AS x FROM m GROUP BY vec_id) SELECT avg(CASE WHEN i IS NULL THEN 0 ELSE (x - i) / greatest(x, i) END) AS silhouette FROM s", "silhouette")
 def _(s, d):
     return U.silhouette(_vec(s, d), "vec_id", "label", ["a", "b"])
 

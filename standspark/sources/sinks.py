@@ -23,6 +23,13 @@ def full_precision(frame: DataFrame) -> DataFrame:
     return frame.select(*(F.format_string("%.17g", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in frame.dtypes))
 
 
+def layers(pixels: DataFrame, path: str, labels: str, raw: Sequence[str], scaled: Sequence[str], cluster: str) -> list[str]:
+    """Three raster layers as pixel tables: labels as whole numbers, raw bands, scaled bands with the cluster."""
+    whole = pixels.select("y", "x", F.col(labels).cast("int").alias(labels))
+    parts = {"labels": whole, "features": pixels.select("y", "x", *raw), "scaled": pixels.select("y", "x", *scaled, F.col(cluster).cast("int").alias(cluster))}
+    return [parquet(frame, f"{path.rstrip('/')}/{name}") for name, frame in parts.items()]
+
+
 def rows_csv(frame: DataFrame, path: str) -> str:
     """A small result as one CSV file on the driver, doubles with 17 digits."""
     with open(path, "w", newline="", encoding="utf-8") as f:

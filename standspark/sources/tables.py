@@ -90,3 +90,63 @@ def record_of_inputs(images: DataFrame, id_: str, most: int = 100) -> dict:
     row = ids.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h")).first()
     listed = [r["id"] for r in ids.orderBy("id").limit(most).collect()] if row["n"] <= most else None
     return {"n": row["n"], "digest": json.dumps(str(row["h"])), "ids": listed}
+
+
+def settings(path: str, environment: dict[str, str], prefix: str = "") -> dict[str, str]:
+    """Names and values of a settings file (NAME=value, # comments, quotes); the environment's value wins."""
+    out = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            name, sign, value = line.strip().removeprefix("export ").partition("=")
+            if sign and name.strip() and not name.startswith("#"):
+                value = value.strip()
+                quoted = len(value) > 1 and value[0] == value[-1] and value[0] in "\"'"
+                out[name.strip()] = value[1:-1] if quoted else value.partition(" #")[0].strip()
+    return {k: environment.get(k, v) for k, v in out.items() if k.startswith(prefix)}
+
+
+#: TIFF sample formats by (format, bits): unsigned, signed, floating.
+_TIFF_KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+
+
+def tiff_bands(data: bytes):
+    """The bands of a baseline TIFF (strips, no compression, interleaved by pixel) as an array (row, column, band)."""
+    import struct
+
+    import numpy as np
+
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+        raise ValueError("not a TIFF file")
+    at = struct.unpack(order + "I", data[4:8])[0]
+    tags, width = {}, {1: "B", 3: "H", 4: "I"}
+    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        entry = data[at + 2 + 12 * k : at + 14 + 12 * k]
+        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+        if kind in width:
+            size = n * struct.calcsize(width[kind])
+            raw = entry[8 : 8 + size] if size <= 4 else data[(p := struct.unpack(order + "I", entry[8:])[0]) : p + size]
+            tags[tag] = struct.unpack(f"{order}{n}{width[kind]}", raw)
+    if tags.get(259, (1,)) != (1,) or tags.get(284, (1,)) != (1,) or 273 not in tags:
+        raise ValueError("only uncompressed strips, interleaved by pixel, can be read")
+    kind = _TIFF_KINDS[tags.get(339, (1,))[0], tags[258][0]]
+    raw = b"".join(data[a : a + n] for a, n in zip(tags[273], tags[279], strict=True))
+    return np.frombuffer(raw, dtype=order + kind).reshape(tags[257][0], tags[256][0], tags.get(277, (1,))[0])
+
+
+def raster(spark: SparkSession, path: str, bands: Sequence[str]) -> DataFrame:
+    """(path, y, x, bands as doubles) of raster files; a file is one task, so rasters come as tiles."""
+    import numpy as np
+    import pandas as pd
+
+    def explode(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                table = tiff_bands(bytes(content))
+                if table.shape[2] != len(bands):
+                    raise ValueError(f"{name} has {table.shape[2]} bands")
+                y, x = np.indices(table.shape[:2])
+                yield pd.DataFrame({"path": name, "y": y.ravel(), "x": x.ravel(), **{b: table[:, :, k].ravel().astype(float) for k, b in enumerate(bands)}})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(explode, "path string, y long, x long" + "".join(f", {b} double" for b in bands))
