@@ -2,19 +2,58 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import keep
 
+#: Links that a task contracts at once, and that one task may finish; a link takes some 200 bytes there.
+HELD_LINKS, FINISH_LINKS = 1 << 18, 1 << 19
+
+
+def _forest(links: DataFrame, held: int | None) -> DataFrame:
+    """(u, v): each task's links as stars around the least node of what they join; at most about ``held`` at once."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        def stars():
+            pairs = [(x, r) for x in list(root) if (r := find(x)) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            if held is not None and len(root) > held:
+                yield stars()
+        yield stars()
+
+    return links.mapInArrow(run, "u long, v long")
+
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b); nodes without links are absent.
 
-    Large-star and small-star rounds by grouped minima; each round is written to the shared folder, so
-    plans stay short and survive lost executors.  Rounds grow with the logarithm of the diameter.
+    Each task contracts its own links first.  What is left is finished by one task if it has at most
+    FINISH_LINKS links; else by large-star and small-star rounds of grouped minima, each written to the shared
+    folder, so that plans stay short and survive lost executors.  Rounds grow with the logarithm of the
+    diameter.
     """
-    edges = keep(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    own = links.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    edges = keep(_forest(own, HELD_LINKS))
+    if edges.count() <= FINISH_LINKS:
+        return _named(keep(_forest(edges.coalesce(1), None)))
+    edges = keep(edges.distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,6 +66,11 @@ def connected(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+    return _named(edges)
+
+
+def _named(edges: DataFrame) -> DataFrame:
+    """Both ends of stars (u, v) with their component."""
     own = edges.groupBy("u").agg(F.min("v").alias("component"))
     return keep(own.select(F.col("u").alias("node"), "component").unionByName(own.select(F.col("component").alias("node"), "component").distinct()))
 

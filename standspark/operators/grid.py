@@ -89,17 +89,41 @@ def terrain(pixels: DataFrame, dem: str, scale: float) -> DataFrame:
 def distance_transform(pixels: DataFrame, source: Column, scale: float, cap: int) -> DataFrame:
     """Distance of each pixel to the nearest source pixel, at most ``cap`` pixels; null beyond.
 
-    Two passes: each row's nearest source by windows, then the least over rows within the cap.
-    Exact on a full grid.
+    Two passes: each row's nearest source by windows, then along each column the lower envelope of the
+    parabolas that stand on those distances, in time linear in the column.  Exact on a full grid.
     """
+    import numpy as np
+    import pandas as pd
+
+    def envelope(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("y")
+        y = frame["y"].to_numpy(np.int64)
+        foot = np.flatnonzero(frame["g"].notna().to_numpy())
+        if not len(foot):
+            return frame.assign(d2=np.nan)[["y", "x", "d2"]]
+        at, height = y[foot].astype(float), frame["g"].to_numpy()[foot].astype(float) ** 2
+        stack, since = [0], [-np.inf]
+        for k in range(1, len(foot)):
+            while True:
+                j = stack[-1]
+                cross = (height[k] + at[k] ** 2 - height[j] - at[j] ** 2) / (2 * (at[k] - at[j]))
+                if cross > since[-1]:
+                    break
+                stack.pop()
+                since.pop()
+            stack.append(k)
+            since.append(cross)
+        best = np.array(stack)[np.searchsorted(since, y.astype(float), side="right") - 1]
+        return frame.assign(d2=(y - at[best]) ** 2 + height[best])[["y", "x", "d2"]]
+
     w = Window.partitionBy("y").orderBy("x")
     s = pixels.select("y", "x", F.when(source, F.col("x")).alias("_s"))
     left = F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     right = F.first("_s", True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    g = s.select("y", "x", F.least(F.col("x") - left, right - F.col("x")).alias("g")).where(F.col("g") <= cap)
-    sent = g.select(F.col("x"), F.explode(F.sequence(F.col("y") - cap, F.col("y") + cap)).alias("yy"), "y", "g")
-    near = sent.groupBy(F.col("yy").alias("y"), "x").agg(F.min(F.col("g") * F.col("g") + (F.col("y") - F.col("yy")) * (F.col("y") - F.col("yy"))).alias("d2"))
-    return pixels.select("y", "x").join(near, ["y", "x"], "left").select("y", "x", F.when(F.col("d2") <= cap * cap, F.sqrt("d2") * scale).alias("distance"))
+    g = s.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.least(F.col("x") - left, right - F.col("x")).cast("double").alias("g"))
+    near = g.groupBy("x").applyInPandas(lambda f: envelope(f), "y long, x long, d2 double")
+    kinds = dict(pixels.dtypes)
+    return near.select(F.col("y").cast(kinds["y"]).alias("y"), F.col("x").cast(kinds["x"]).alias("x"), F.when(F.col("d2") <= cap * cap, F.sqrt("d2") * scale).alias("distance"))
 
 
 def outline(pixels: DataFrame, label: str) -> DataFrame:

@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the context's checkpoint folder, or one of our own where neither is set."""
+    """spark.checkpoint.dir or the context's checkpoint folder.
+
+    Where neither is set, a folder of this machine serves a session that runs on it alone; on a cluster,
+    executors could not see each other's files there, so the setting is demanded.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or tempfile.mkdtemp(prefix="standspark-")
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="standspark-")
 
 
 def keep(frame: DataFrame) -> DataFrame:

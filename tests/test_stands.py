@@ -51,6 +51,54 @@ def test_pieces_runs_and_split_stands(spark):
     assert joined == {0, 2, 6}
 
 
+@pytest.mark.parametrize("held, finish", [(1 << 18, 1 << 19), (4, 1 << 19), (4, 3), (1 << 18, 0)])
+def test_components_by_every_path(spark, monkeypatch, held, finish):
+    """Chains, stars, rings and single links, contracted by tasks, by one task or in rounds."""
+    import random
+
+    from standspark.operators import components
+
+    monkeypatch.setattr(components, "HELD_LINKS", held)
+    monkeypatch.setattr(components, "FINISH_LINKS", finish)
+    random.seed(4)
+    groups = [list(range(100 * g, 100 * g + n)) for g, n in enumerate([2, 3, 40, 17, 90, 1])]
+    links = [(m[k], m[k + 1]) for m in groups[:3] for k in range(len(m) - 1)] + [(groups[3][0], x) for x in groups[3][1:]] + [(groups[4][k], groups[4][(k * 7 + 7) % 90]) for k in range(90)] + [(groups[4][k], groups[4][k + 1]) for k in range(89)] + [(500, 500)]
+    links = [random.choice([(a, b), (b, a)]) for a, b in links] * 2
+    random.shuffle(links)
+    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {x: m[0] for m in groups[:5] for x in m}
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from standspark.plans import storage
+
+    def session(master, folder=None, checkpoint=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: checkpoint))
+
+    assert storage.shared_folder(session("yarn", "s3a://b/c")) == "s3a://b/c" and storage.shared_folder(session("yarn", None, "hdfs:/x")) == "hdfs:/x"
+    assert "standspark-" in storage.shared_folder(session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_folder(session(master))
+
+
+def test_distances_equal_brute_force(spark):
+    from standspark.operators import grid
+
+    rng = np.random.default_rng(3)
+    for share, cap in ((0.02, 1000), (0.2, 3), (0.0, 5)):
+        mask = rng.random((30, 23)) < share
+        px = spark.createDataFrame([(y, x, bool(mask[y, x])) for y in range(30) for x in range(23)], "y int, x int, m boolean")
+        got = {(r["y"], r["x"]): r["distance"] for r in grid.distance_transform(px, F.col("m"), 10.0, cap).collect()}
+        at = np.argwhere(mask)
+        for (y, x), d in got.items():
+            best = min(((a - y) ** 2 + (b - x) ** 2 for a, b in at), default=None)
+            assert d is None if best is None or best > cap * cap else d == pytest.approx(10 * best**0.5)
+
+
 def test_seeds_cover_every_patch(spark):
     land = spark.createDataFrame([(10 * y + x, y, x) for y, x in [(2, 2), (2, 3), (0, 5), (0, 6)]], "node long, y long, x long")
     parts = spark.createDataFrame([(22, 22), (23, 22), (5, 5), (6, 5)], "node long, component long")
