@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bands as B
+from .ranking import average_ranks, numbered, running
 
 
 def plot_pairs(plots: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -60,20 +61,12 @@ def pair_contrast(pairs: DataFrame, value: str, upper: Column, strata: Sequence[
     return {"strata": each, "pooled": pool([]), "crude": crude} | {f"by_{c}": pool([c]) for c in strata}
 
 
-def average_rank(value: str, by: Sequence[str] = ()) -> Column:
-    """Rank from 1 with ties averaged, within groups.
-
-    Without groups one task orders all rows: for stated pair sets, not for corpora.
-    """
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def mantel(pairs: DataFrame, x: str, y: str, by: Sequence[str] = (), ranks: bool = False) -> DataFrame:
     """Correlation of two distances over complete pairs; null under three pairs or without variation."""
     used = pairs.dropna(subset=[x, y])
     if ranks:
-        used = used.withColumns({x: average_rank(x, by), y: average_rank(y, by)})
+        for c in (x, y):
+            used = average_ranks(used, c, "_rank", by).drop(c).withColumnRenamed("_rank", c)
     ok = (F.count("*") >= 3) & (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
     return used.groupBy(*by).agg(F.when(ok, F.greatest(F.least(F.corr(x, y), F.lit(1.0)), F.lit(-1.0))).alias("r"), F.count("*").alias("n_pairs"))
 
@@ -89,14 +82,14 @@ def partial_mantel(pairs: DataFrame, x: str, y: str, z: str, by: Sequence[str] =
 
 def anosim(pairs: DataFrame, distance: str, same: Column, strata: Sequence[str] = ()) -> DataFrame:
     """(mean rank between - mean rank within) / (pairs / 2) per stratum; null without either kind of pair."""
-    ranked = pairs.where(F.col(distance).isNotNull() & same.isNotNull()).withColumn("_s", same).withColumn("_r", average_rank(distance, strata))
+    ranked = average_ranks(pairs.where(F.col(distance).isNotNull() & same.isNotNull()).withColumn("_s", same).select(*strata, distance, "_s"), distance, "_r", strata)
     out = ranked.groupBy(*strata).agg(F.avg(F.when(~F.col("_s"), F.col("_r"))).alias("between"), F.avg(F.when(F.col("_s"), F.col("_r"))).alias("within"), F.count("*").alias("n_pairs"))
     return out.select(*strata, "within", "between", "n_pairs", ((F.col("between") - F.col("within")) / (F.col("n_pairs") / 2)).alias("r"))
 
 
 def pooled_anosim(pairs: DataFrame, distance: str, same: Column, strata: Sequence[str], equal: bool = False) -> DataFrame:
     """R over strata that have both kinds of pair, weighted by n_within * n_between / n_pairs, or equally."""
-    ranked = pairs.where(F.col(distance).isNotNull() & same.isNotNull()).withColumn("_s", same).withColumn("_r", average_rank(distance, strata))
+    ranked = average_ranks(pairs.where(F.col(distance).isNotNull() & same.isNotNull()).withColumn("_s", same).select(*strata, distance, "_s"), distance, "_r", strata)
     each = ranked.groupBy(*strata).agg(F.avg(F.when(~F.col("_s"), F.col("_r"))).alias("b"), F.avg(F.when(F.col("_s"), F.col("_r"))).alias("w"), F.count_if("_s").alias("nw"), F.count("*").alias("n")).where("nw > 0 AND nw < n")
     r, weight = (F.col("b") - F.col("w")) / (F.col("n") / 2), F.lit(1.0) if equal else F.col("nw") * (F.col("n") - F.col("nw")) / F.col("n")
     return each.agg(F.try_divide(F.sum(weight * r), F.sum(weight)).alias("r"), F.count("*").alias("n_strata"))
@@ -201,12 +194,10 @@ def run_tests(observed: DataFrame, null: DataFrame, n_draws: int, least_valid: f
 
 def holm(tests: DataFrame, p: str, key: str) -> DataFrame:
     """Step-down adjusted p values; a missing one stays missing and isn't counted."""
-    real = tests.where(F.col(p).isNotNull() & ~F.isnan(p))
-    rank = F.row_number().over(Window.orderBy(p, key))
-    m = F.count("*").over(Window.partitionBy())
-    step = real.select(key, (F.col(p) * (m - rank + 1)).alias("_s"), rank.alias("_k"))
-    run = step.select(key, F.least(F.max("_s").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)).alias("p_holm"))
-    return tests.join(run, key, "left")
+    real = numbered(tests.where(F.col(p).isNotNull() & ~F.isnan(p)).select(key, p), [F.col(p), F.col(key)], "_k")
+    step = real.crossJoin(F.broadcast(real.agg(F.count("*").alias("_m")))).withColumn("_s", F.col(p) * (F.col("_m") - F.col("_k") + 1))  # one row
+    run = running(step.select(key, "_k", "_s"), [F.col("_k")], "_s", "_top", "max")
+    return tests.join(run.select(key, F.least("_top", F.lit(1.0)).alias("p_holm")), key, "left")
 
 
 def null_percentile(null: DataFrame, observed: str, value: str, least: int = 100) -> DataFrame:
@@ -233,8 +224,8 @@ def bootstrap_groups(groups: DataFrame, key: str, n: int, seed: int) -> DataFram
 
 def jackknife(sums: DataFrame, top: str, bottom: str) -> DataFrame:
     """Leave-one-out ratio of sums for each group, from totals alone."""
-    w = Window.partitionBy()
-    return sums.withColumn("without", F.try_divide(F.sum(top).over(w) - F.col(top), F.sum(bottom).over(w) - F.col(bottom)))
+    whole = sums.agg(F.sum(top).alias("_top"), F.sum(bottom).alias("_bottom"))
+    return sums.crossJoin(F.broadcast(whole)).withColumn("without", F.try_divide(F.col("_top") - F.col(top), F.col("_bottom") - F.col(bottom))).drop("_top", "_bottom")  # one row
 
 
 def rank_test(rows: DataFrame, value: str, group: Column) -> DataFrame:
@@ -243,7 +234,7 @@ def rank_test(rows: DataFrame, value: str, group: Column) -> DataFrame:
     Ranks come from one row per distinct value, so equal values cost one row.
     """
     n = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(group.cast("long")).alias("a"), F.count("*").alias("c"))
-    r = n.withColumn("mid", F.sum("c").over(Window.orderBy(value)) - (F.col("c") - 1) / 2)
+    r = running(n, [F.col(value)], "c", "_upto").withColumn("mid", F.col("_upto") - (F.col("c") - 1) / 2)
     t = r.agg(F.sum(F.col("a") * F.col("mid")).alias("ra"), F.sum("a").alias("na"), F.sum("c").alias("n"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"))
     na, nb = F.col("na"), F.col("n") - F.col("na")
     u = F.col("ra") - na * (na + 1) / 2

@@ -23,6 +23,30 @@ def numbered(frame: DataFrame, order: Sequence[Column], name: str, first: int =
     return own.join(before, "_range").withColumn(name, F.col("_before") + F.col("_place") + F.lit(first - 1)).drop("_range", "_n", "_before", "_place")
 
 
+def running(frame: DataFrame, order: Sequence[Column], value: str, name: str, kind: str = "sum") -> DataFrame:
+    """The table with the sum (or max) of a column up to each row in the order; name a last key against ties."""
+    total = {"sum": F.sum, "max": F.max}[kind]
+    dealt = keep(frame.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ends = dealt.groupBy("_range").agg(total(value).alias("_t"))
+    before = ends.select("_range", total("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = dealt.withColumn("_own", total(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    both = F.coalesce("_before", F.lit(0)) + F.col("_own") if kind == "sum" else F.greatest("_before", "_own")
+    return own.join(before, "_range").withColumn(name, both).drop("_range", "_before", "_own")
+
+
+def average_ranks(frame: DataFrame, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The table with ranks from 1, ties averaged, within groups or over all rows.
+
+    Over all rows, ranks come from one row for each distinct value, in ranges of them.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        return frame.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2)
+    counts = frame.groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
+    upto = running(counts, [F.col("_value")], "_c", "_upto").select("_value", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
+    return frame.join(upto, frame[value].eqNullSafe(F.col("_value"))).drop("_value")
+
+
 def dense_ids(frame: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
     """The table with 0..k-1 for the distinct combinations of columns in their order; -1 where one is null or NaN."""
     whole = F.lit(True)

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import running
+
 
 def area_by_key(pixels: DataFrame, key: str, area: str) -> DataFrame:
     return pixels.groupBy(key).agg(F.sum(area).alias("area"))
@@ -111,8 +113,7 @@ def geometry_summary(units: DataFrame, area: str, least: float) -> DataFrame:
     Ranks come from one row per distinct area, so no task holds all units.
     """
     n = units.where(F.col(area).isNotNull()).groupBy(area).agg(F.count("*").alias("c"))
-    w = Window.orderBy(area)
-    r = n.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy()))
+    r = running(n, [F.col(area)], "c", "upto").crossJoin(F.broadcast(n.agg(F.sum("c").alias("n"))))  # one row
     start = F.col("upto") - F.col("c")
     at = lambda p: F.max(F.when((start <= F.floor(F.col("n") * p)) & (F.floor(F.col("n") * p) < F.col("upto")), F.col(area)))
     top = F.greatest(F.lit(0), F.col("upto") - F.greatest(start, F.floor(F.col("n") * 0.9))) * F.col(area)
