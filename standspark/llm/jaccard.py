@@ -3,36 +3,31 @@
 Size-banded tiles with hashed bitmap signatures, exact over all documents:
 
 1. Documents with one and the same set form a class, shown by its smallest id (any others follow it).
-2. Two sets that are similar enough share one of their first shingles when each set is put in one
+2. Two sets that are similar enough share SHARED of their first shingles when each set is put in one
    common order, early enough for what follows to suffice; only those prefixes are joined.  The
    order puts shingles that occur often last, by counts in a table of fixed size, so that common
-   passages hardly ever stand in a prefix.
-3. All links (similar_documents): a prefix shingle's documents are put into bands of size and those into
-   tiles of fixed size; tiles whose sizes can be similar are paired.  All pairs are compared by the sizes
-   and the places of the shingle, then by signatures, whose bit counts bound the overlap from above, and
-   those that pass by their exact sets.  Pairs are dealt into cells, so that a set moves once a cell.
-
-Where components alone are wanted (similar_components), fewer pairs are enough:
-
-4. Every prefix shingle ties its documents to the smallest of them (a star, as many pairs as rows).
-   A pair is verified by intersecting the exact sorted sets.  Links so far give components; a few
-   more rounds tie documents of other components to another document of the shingle.
-5. Where a prefix shingle still joins several components, its documents are put into bands of size
-   and those into tiles of fixed size; tiles whose sizes can be similar are paired.  Only documents of
-   different components are compared, by the sizes and the places of the shingle.
-6. The bit counts of two signatures bound their overlap from above; pairs that pass are verified.
-
-Components are those of all links: pairs that are left out in 5 lie within one component already.
+   passages hardly ever stand in a prefix.  Several shared shingles are asked for, because documents
+   that happen to have one phrase in common grow faster in number than similar ones do.
+3. Every document has one tile: its home is the prefix shingle that it shares with most others, a band
+   of size is a factor of 100 / PERCENT wide, and a band is dealt into tiles of about TILE.
+   Near copies have a few tiles between them, however many they are.
+4. Two tiles are compared, once, if prefix shingles stand in both, sizes permitting; those of their
+   documents go there that share enough of them with the other tile.  What moves between tasks is pairs of tiles, never pairs of
+   documents: a group of m near copies makes some (m / documents of a tile) ** 2 of them, each a
+   task's work of bounded size, and a set moves once for each pair of its tile.
+5. Within two tiles the bit counts of signatures bound the overlap of all pairs from above; pairs that
+   pass have their exact sorted sets intersected.  A task hands on each document's number of links and
+   a spanning forest of them, at most a row for each document.
+
 Sets hold 64-bit hashes of shingles.
 
 Defined results: a null text is empty; a document without words has an empty set, links with nothing
-and is its own component; rows with a null id are left out; extra columns are not read.
+and is its own component; rows with a null id are left out; a row that is repeated counts once (ids must
+tell texts apart: an id with two texts has a row for each set, and their links are those of the id);
+ties of class and component go to the smallest id; an empty table gives none; extra columns are not read.
 """
-
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +43,14 @@ PERCENT = 80
 ORDER_BUCKETS = 1 << 22
 #: Bits of a signature for each shingle, and their least and greatest number (powers of two).
 BITS_EACH, BITS_LEAST, BITS_MOST = 4, 256, 1 << 17
-#: Bits of the filters of ids and of shingles: 4 and 8 megabytes.
-ID_BITS, SHINGLE_BITS = 1 << 25, 1 << 26
-#: Documents of a tile.
-TILE = 256
-#: Rounds in which a shingle's documents are compared with one of them before they are compared in full.
-ROUNDS = 3
-#: Pairs of a cell, on average.
-CELL_PAIRS = 2048
+#: Least bits of the filters of ids and of shingles: 1 and 2 megabytes.
+ID_BITS, SHINGLE_BITS = 1 << 23, 1 << 24
+#: Prefix shingles that two similar sets share at least (all that must be common, in small sets).
+SHARED = 4
+#: Shingles of a tile, on average; a task holds two tiles.
+TILE = 1 << 18
+#: Rows of a batch of sets, and documents whose links a task holds before it hands them on.
+SET_ROWS, HELD_DOCS = 64, 1 << 17
 _U = np.uint64
 
 
@@ -65,8 +60,16 @@ def least_overlap(size):
 
 
 def prefix_length(n):
-    """How many shingles of a set of n, in the common order, must be joined."""
-    return n - (PERCENT * n + 99) // 100 + 1
+    """How many shingles of a set of n, in the common order, must be joined.
+
+    Of n and at least (PERCENT n + 99) // 100 common ones, all but so many may come before the k-th common one.
+    """
+    common = (PERCENT * n + 99) // 100
+    return n - common + np.minimum(SHARED, common)
+
+
+#: Shared prefix shingles that a set of n has with any that is similar; the other may be smaller by PERCENT.
+_ENOUGH = f"least({{shared}}, ceil({PERCENT * PERCENT} * n / 10000))"
 
 
 def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,56 +154,6 @@ def signature_bits(n):
     return np.clip(2 ** np.ceil(np.log2(np.maximum(n, 1) * BITS_EACH)).astype(np.int64), BITS_LEAST, BITS_MOST)
 
 
-def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
-    """Whether signatures allow enough common shingles: a bit that one has alone costs it a shingle.
-
-    Signatures are powers of two long; the longer is folded onto the shorter.
-    """
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    both = int(np.bitwise_count(x & y).sum())
-    bound = min(n_a - int(np.bitwise_count(x).sum()) + both, n_b - int(np.bitwise_count(y).sum()) + both)
-    return bound >= least_overlap(n_a + n_b)
-
-
-def bounded(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures allow enough common shingles."""
-    one = [marks.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab"]
-    both = pairs.join(one[0], "a").join(one[1], "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-
-    def run(batches):
-        for batch in batches:
-            x = [batch.column(c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b")]
-            keep = [i for i, pair in enumerate(zip(*x, strict=True)) if may_be_similar(*pair)]
-            if keep:
-                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact sets are similar enough.  ``sets`` has (doc_id, members)."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch, keep = whole.slice(at, 256), []
-                for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                    x, y = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
-                    at_x = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    overlap = int((x[at_x] == y).sum())
-                    if 100 * overlap >= PERCENT * (len(x) + len(y) - overlap):
-                        keep.append(i)
-                if keep:
-                    yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def sets_and_marks(docs: DataFrame, chosen) -> DataFrame:
     """(doc_id, n, signature, members) of documents that pass a filter of ids: bitmap of hashes, sorted keys as bytes."""
 
@@ -222,208 +175,195 @@ def sets_and_marks(docs: DataFrame, chosen) -> DataFrame:
     return common.map_texts(docs, run, "doc_id long, n long, signature binary, members binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar; only sets of documents in these pairs are moved."""
-    pairs = common.keep(bounded(pairs, sets.select("doc_id", "n", "signature")))
-    chosen = pairs.sparkSession.sparkContext.broadcast(sketch.bloom(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), ID_BITS))
-
-    def run(batches):
-        for batch in batches:
-            hit = chosen.value.maybe(batch.column("doc_id").to_numpy(zero_copy_only=False)) if batch.num_rows else []
-            yield batch.take(pa.array(np.flatnonzero(hit)))
+def _fold(marks: list[np.ndarray], words: int) -> np.ndarray:
+    """Signatures of one length: lengths are powers of two, so the longer are folded onto the shorter."""
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) for m in marks])
 
-    return common.keep(verify(pairs, sets.select("doc_id", "members").mapInArrow(run, "doc_id long, members binary")))
 
+def _enough(x: np.ndarray, y: np.ndarray, n_x: int, n_y: np.ndarray) -> np.ndarray:
+    """Whether signatures allow enough common shingles: a bit that one has alone costs it a shingle."""
+    both = np.bitwise_count(x & y).sum(1, dtype=np.int64)
+    bound = both + np.minimum(n_x - np.bitwise_count(x).sum(dtype=np.int64), n_y - np.bitwise_count(y).sum(1, dtype=np.int64))
+    return bound >= least_overlap(n_x + n_y)
 
-def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> np.ndarray:
-    """Whether rows i and j of one shingle may be a link between components.
 
-    At the first shingle that two sets have in the common order, no more than what follows it is common.
+def may_be_similar(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """The same for two documents."""
+    marks = [np.frombuffer(s, dtype=np.uint64) for s in (a, b)]
+    x, y = _fold(marks, min(map(len, marks)))
+    return bool(_enough(x, y[None], n_a, np.array([n_b]))[0])
+
+
+class Tile:
+    """Documents of a tile: ids, sizes, signatures and exact sorted sets."""
+
+    def __init__(self, ids: list[int], n: list[int], signatures: list[bytes], members: list[bytes]):
+        self.ids, self.n = np.array(ids, dtype=np.int64), np.array(n, dtype=np.int64)
+        self.marks = [np.frombuffer(s, dtype=np.uint64) for s in signatures]
+        self.words = min(map(len, self.marks))
+        self.sets = [np.frombuffer(m, dtype=np.int64) for m in members]
+        self.flat = np.concatenate(self.sets)
+
+
+def links(a: Tile, b: Tile):
+    """(index in a, indices in b) of all similar pairs of two tiles; of a tile with itself, each pair once."""
+    words = min(a.words, b.words)
+    x, y = _fold(a.marks, words), _fold(b.marks, words)
+    for i, n in enumerate(a.n):
+        ok = (PERCENT * np.maximum(n, b.n) <= 100 * np.minimum(n, b.n)) & (b.ids != a.ids[i])
+        if a is b:
+            ok[: i + 1] = False
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        at = at[_enough(x[i], y[at], n, b.n[at])]
+        if not len(at):
+            continue
+        own, size = a.sets[i], b.n[at]
+        flat = b.flat if len(at) == len(b.n) else np.concatenate([b.sets[j] for j in at])
+        hit = own[np.minimum(np.searchsorted(own, flat), n - 1)] == flat
+        overlap = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        at = at[100 * overlap >= PERCENT * (n + size - overlap)]
+        if len(at):
+            yield i, at
+
+
+class Forest:
+    """Links of a task: how many each document has, and the smallest document that they reach."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+        self.count: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    def add(self, a: Tile, b: Tile) -> None:
+        count_a, count_b = np.zeros(len(a.n), dtype=np.int64), np.zeros(len(b.n), dtype=np.int64)
+        for i, at in links(a, b):
+            count_a[i] += len(at)
+            count_b[at] += 1
+            x = self.find(int(a.ids[i]))
+            for other in b.ids[at].tolist():
+                if (y := self.find(other)) != x:
+                    self.root[max(x, y)] = x = min(x, y)
+        for tile, count in ((a, count_a), (b, count_b)):
+            for j in np.flatnonzero(count).tolist():
+                self.count[int(tile.ids[j])] = self.count.get(int(tile.ids[j]), 0) + int(count[j])
+
+    def rows(self) -> pa.RecordBatch:
+        ids = list(self.count)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([self.find(i) for i in ids], pa.int64()), pa.array(list(self.count.values()), pa.int64())], ["doc_id", "root", "n"])
+
+
+def tiles_of(rows: DataFrame) -> DataFrame:
+    """(doc_id, tile) from prefix rows with ``docs``, the number of documents of the shingle.
+
+    Documents that share too few shingles with all others together have no tile.
     """
-    return (comp[i] != comp[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i] + n[j]))
-
-
-_COLUMNS = ("doc_id", "n", "at", "component_id")
-
-
-def tile_pairs(key, table):
-    """Candidate pairs of two tiles (or within one)."""
-    side = table.column("side").to_numpy()
-    ids, n, at, comp = (table.column(c).to_numpy().astype(np.int64) for c in _COLUMNS)
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if [k.as_py() for k in key[1:3]] == [k.as_py() for k in key[3:5]]:
-        b = a
-    i, j = np.repeat(a, len(b)), np.tile(b, len(a))
-    if b is a:
-        i, j = i[ids[i] < ids[j]], j[ids[i] < ids[j]]
-    ok = _possible(i, j, n, at, comp)
-    x, y = ids[i[ok]], ids[j[ok]]
-    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
-
-
-def small_group_pairs(named: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of shingles with at most TILE documents, many shingles at a time."""
-
-    def pairs(held):
-        table = pa.Table.from_batches(held)
-        shingle = table.column("shingle").to_numpy()
-        ids, n, at, comp = (table.column(c).to_numpy().astype(np.int64) for c in _COLUMNS)
-        ends = np.flatnonzero(np.concatenate([shingle[1:] != shingle[:-1], [True]])) + 1
-        after = ends[np.searchsorted(ends, np.arange(len(ids)), side="right")] - np.arange(len(ids)) - 1
-        found = []
-        for lo in range(0, len(ids), 4000):
-            own = np.arange(lo, min(lo + 4000, len(ids)))
-            i = np.repeat(own, after[own])
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[own]) - after[own], after[own])
-            ok = _possible(i, j, n, at, comp)
-            x, y = ids[i[ok]], ids[j[ok]]
-            found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    met = rows.groupBy("doc_id", "n").agg(F.max(F.struct("docs", "shingle"))["shingle"].alias("home"), F.count("*").alias("shared"))
+    homes = common.keep(met.where(f"shared >= {_ENOUGH.format(shared=SHARED)}").drop("shared").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int")))
+    bands = common.keep(homes.groupBy("home", "band").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")))
+    number = F.pmod(F.xxhash64("doc_id"), "tiles")
+    return common.keep(homes.join(bands, ["home", "band"]).select("doc_id", F.xxhash64("home", "band", number).alias("tile")))
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shingle = batch.column("shingle").to_numpy()
-            cut = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
-            if size > 50_000 and len(cut):
-                yield pairs([*held, batch.slice(0, int(cut[-1]))])
-                held, size, batch = [], 0, batch.slice(int(cut[-1]))
-            held.append(batch)
-            size += batch.num_rows
-        if held:
-            yield pairs(held)
-
-    dealt = named.select("shingle", *_COLUMNS).repartition("shingle").sortWithinPartitions("shingle")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _similar_sets(x: bytes, y: bytes) -> bool:
-    x, y = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
-    if len(x) > len(y):
-        x, y = y, x
-    overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return 100 * overlap >= PERCENT * (len(x) + len(y) - overlap)
-
-
-def in_cells(pairs: DataFrame, facts: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) that pass ``test`` of (n, fact) of both; ``facts`` has (doc_id, n, fact).
-
-    Cells are squares of hashed ids, so many that each holds about CELL_PAIRS pairs: a document's fact goes
-    to the cells of its pairs, of which a large group of copies needs far fewer than it has pairs.
-    """
-    side = max(1, math.ceil(math.sqrt(pairs.count() / CELL_PAIRS)))
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(side))
-    dealt = pairs.withColumn("cell", cell("a") * side + cell("b"))
-    needs = dealt.select(F.col("cell").alias("of"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(facts, "doc_id")
 
-    def run(key, own, there):
-        at = {d: k for k, d in enumerate(there.column("doc_id").to_pylist())}
-        n, fact = there.column("n").to_pylist(), there.column("fact").to_pylist()
-        keep = []
-        for k, (a, b) in enumerate(zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True)):
-            i, j = at.get(a), at.get(b)
-            if i is not None and j is not None and test(fact[i], fact[j], n[i], n[j]):
-                keep.append(k)
-        return own.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+def _extent() -> list:
+    """Of rows of one shingle: the sizes they span, and the most shingles that any has from this one on."""
+    return [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("rest")]
 
-    return common.keep(dealt.groupBy("cell").cogroup(needs.groupBy("of")).applyInArrow(run, "a long, b long"))
 
+def _may() -> str:
+    """Whether a row may be one of the first SHARED of a link with one of others with this extent: sizes are alike,
+    and enough follows the shingle, with those before it."""
+    return f"{PERCENT} * n <= 100 * hi AND {PERCENT} * lo <= 100 * n AND (least(n - at, rest) + {SHARED - 1}) * {100 + PERCENT} >= {PERCENT} * (n + greatest(lo, {PERCENT} * n DIV 100))"
 
-def all_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every pair (a < b) of documents whose sets are similar, whatever component they are in."""
-    sizes = rows.groupBy("shingle").agg(F.count("*").alias("docs"))
-    named = common.keep(rows.select("shingle", "doc_id", "n", "at", F.col("doc_id").alias("component_id")).join(sizes, "shingle"))
-    pairs = common.keep(small_group_pairs(named.where(f"docs <= {TILE}")).unionByName(banded_candidates(named.where(f"docs > {TILE}"))).distinct())
-    pairs = in_cells(pairs, sets.select("doc_id", "n", F.col("signature").alias("fact")), may_be_similar)
-    return in_cells(pairs, sets.select("doc_id", "n", F.col("members").alias("fact")), lambda x, y, n, m: _similar_sets(x, y))
 
+def routes(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(doc_id, a, b, side): the pairs (a <= b) of tiles in which a document is compared.
 
-def similar_documents(documents: DataFrame) -> DataFrame:
-    """similar_components() with n_links: how many different sets are similar to the document's own."""
-    sized, rows, sets = _prepared(documents)
-    links = all_links(rows, sets)
-    linked = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    return _named(sized, links).join(linked, "class_id", "left").select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    Tiles are paired where a prefix shingle stands in both, and sizes and places permit a link; only those
+    documents of theirs go there that have the shingle and may be similar to one of the other tile.
+    """
+    placed = common.keep(rows.join(tiles, "doc_id").select("shingle", "tile", "doc_id", "n", "at"))
+    met = common.keep(placed.groupBy("shingle", "tile").agg(*_extent(), F.count("*").alias("docs")))
+    sides = [met.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in met.columns[1:])) for x in "ab"]
+    fits = f"{PERCENT} * lo_a <= 100 * hi_b AND {PERCENT} * lo_b <= 100 * hi_a AND (least(rest_a, rest_b) + {SHARED - 1}) * {100 + PERCENT} >= {PERCENT} * (lo_a + lo_b)"
+    both = sides[0].join(sides[1], "shingle").where(f"(tile_a < tile_b OR tile_a = tile_b AND docs_a + docs_b > 2) AND {fits}")
+    side = lambda k, own, other: F.struct(F.lit(k).alias("side"), F.col(f"tile_{own}").alias("tile"), *(F.col(f"{c}_{other}").alias(c) for c in ("lo", "hi", "rest")))
+    ends = F.when(F.col("tile_a") == F.col("tile_b"), F.array(side(0, "a", "b"))).otherwise(F.array(side(0, "a", "b"), side(1, "b", "a")))
+    wanted = both.select("shingle", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"), F.explode(ends).alias("e")).select("shingle", "a", "b", "e.*")
+    met = placed.join(wanted, ["shingle", "tile"]).where(_may()).groupBy("doc_id", "n", "a", "b", "side").agg(F.count("*").alias("shared"))
+    return common.keep(met.where(f"shared >= {_ENOUGH.format(shared=SHARED)}").select("doc_id", "a", "b", "side"))
+
+
+def linked(routes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(doc_id, root, n): the links that a task has found in its pairs of tiles."""
+    # Sets are never broadcast, whatever their size, so that what moves is in proportion to the input.
+    filled = sets.join(routes.hint("merge"), "doc_id").select("a", "b", "side", "doc_id", "n", "signature", "members")
+
+    def run(batches):
+        forest, now, held = Forest(), None, ({}, {})
+
+        def compare():
+            tiles = [Tile(*zip(*side.values(), strict=True)) for side in held if side]
+            if len(tiles) == 2 or tiles and now[0] == now[1]:
+                forest.add(tiles[0], tiles[-1])
+
+        for batch in batches:
+            for a, b, side, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, b) != now:
+                    compare()
+                    now, held = (a, b), ({}, {})
+                    if len(forest.count) > HELD_DOCS:
+                        yield forest.rows()
+                        forest = Forest()
+                held[side][row[0], row[-1]] = row  # a repeated row counts once
+        compare()
+        yield forest.rows()
+
+    with common.batch_rows(sets.sparkSession, SET_ROWS):
+        return common.keep(filled.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(run, "doc_id long, root long, n long"))
 
 
-def _prepared(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with size and class, prefix rows that a shingle ties to others with its head, sets of these)."""
+def similar_documents(documents: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id
+    (smallest id that links reach), n_links (how many different sets are similar to its own)."""
     docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
     sized = common.keep(classes(docs))
-    least = sized.where("key1 IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    sized = sized.join(least, ["key1", "key2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    # Joins come after tables are written, so that a class with a large share of all rows can be split.
+    copies = common.keep(sized.where("key1 IS NOT NULL").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies"))
+    sized = sized.join(copies, ["key1", "key2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
     sized = common.keep(sized.distinct())
 
     # One document of each class goes on; a filter tells which, and may let copies through, at no harm.
-    spark = docs.sparkSession
     shown = spark.sparkContext.broadcast(sketch.bloom(sized.where("doc_id = class_id AND n_shingles > 0").select("doc_id"), ID_BITS))
     levels = spark.sparkContext.broadcast(shingle_counts(docs))
     # A document's row gives each of its shingles once, so a shingle counted twice is in two documents.
-    met = prefixes(docs, levels, shown).select("shingle").groupBy("shingle").count().where("count > 1")
-    wanted = spark.sparkContext.broadcast(sketch.bloom(met.select("shingle"), SHINGLE_BITS))
-    rows = common.keep(prefixes(docs, levels, shown, wanted).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").distinct())
-    heads = rows.groupBy("shingle").agg(F.min(F.struct("n", "doc_id", "at")).alias("head"), F.max(F.struct("n", "doc_id")).alias("tail")).where("head.doc_id != tail.doc_id")
-    rows = common.keep(rows.join(heads.select("shingle", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n"), F.col("head.at").alias("head_at")), "shingle"))
-    involved = spark.sparkContext.broadcast(sketch.bloom(rows.select("doc_id"), ID_BITS))
-    sets = common.keep(sets_and_marks(docs, involved).join(sized.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi"))
-    return sized, rows, sets
-
-
-def _named(sized: DataFrame, links: DataFrame) -> DataFrame:
-    comp = connected(links)
-    return sized.join(comp, sized["class_id"] == comp["node"], "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    met = common.keep(prefixes(docs, levels, shown).select("shingle").groupBy("shingle").count().where("count > 1").select("shingle"))
+    wanted = spark.sparkContext.broadcast(sketch.bloom(met, SHINGLE_BITS))
+    own = sized.where("doc_id = class_id").select("doc_id")
+    rows = common.keep(prefixes(docs, levels, shown, wanted).join(own, "doc_id", "left_semi").distinct())
+    shared = common.keep(rows.groupBy("shingle").agg(F.count("*").alias("docs"), *_extent()).where("docs > 1"))
+    rows = common.keep(rows.join(shared, "shingle").where(_may()).drop("lo", "hi", "rest"))
+    tiles = tiles_of(rows)
+    where = routes(rows, tiles)
+    involved = spark.sparkContext.broadcast(sketch.bloom(where.select("doc_id"), ID_BITS))
+    found = linked(where, sets_and_marks(docs, involved))
+    comp = connected(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("doc_id").agg(F.sum("n").alias("n_links"))
+    facts = common.keep(comp.join(counts, comp["node"] == counts["doc_id"]).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"), "n_links"))
+    return sized.join(facts, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def similar_components(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id."""
-    sized, rows, sets = _prepared(documents)
-    star = rows.where(f"doc_id != head AND least(n - at, head_n - head_at) * {100 + PERCENT} >= {PERCENT} * (n + head_n)").select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b")).distinct()
-    links = verified(star, sets)
-    # Shingles that still join several components: each round one of a shingle's documents is compared
-    # with those of other components, so that large groups of near copies grow together in few pairs.
-    rows = rows.drop("head", "head_n", "head_at")
-    for turn in range(ROUNDS):
-        rows = still_open(rows.select("shingle", "doc_id", "n", "at"), connected(links))
-        head = rows.groupBy("shingle").agg(F.min_by(F.struct("doc_id", "n", "at", "component_id"), F.xxhash64("doc_id", "shingle", F.lit(turn))).alias("h"))
-        near = F.least(F.col("n") - F.col("at"), F.col("h.n") - F.col("h.at")) * (100 + PERCENT) >= PERCENT * (F.col("n") + F.col("h.n"))
-        met = rows.join(head, "shingle").where((F.col("component_id") != F.col("h.component_id")) & near)
-        links = common.keep(links.unionByName(verified(met.select(F.least("doc_id", "h.doc_id").alias("a"), F.greatest("doc_id", "h.doc_id").alias("b")).distinct(), sets)))
-    # What is left is compared in full.
-    rows = still_open(rows.select("shingle", "doc_id", "n", "at"), connected(links))
-    more = small_group_pairs(rows.where(f"docs <= {TILE}")).unionByName(banded_candidates(rows.where(f"docs > {TILE}"))).distinct()
-    return _named(sized, common.keep(links.unionByName(verified(more, sets))))
-
-
-def still_open(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the shingles whose documents are in several components, with component and number of documents."""
-    named = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("shingle", "doc_id", "n", "at", F.coalesce("component", "doc_id").alias("component_id"))
-    open_ = named.groupBy("shingle").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("docs")).where("lo != hi").select("shingle", "docs")
-    return common.keep(named.join(open_, "shingle"))
-
-
-def banded_candidates(named: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) from the tiles of each shingle's documents.
-
-    Bands are a factor of 100 / PERCENT of size wide, so that similar documents lie in one band or in
-    neighbouring ones; a band of many documents is dealt into tiles of about TILE by their ids.
-    """
-    banded = named.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int"))
-    bands = common.keep(banded.groupBy("shingle", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")))
-    tiled = banded.join(bands, ["shingle", "band"]).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    above = bands.select("shingle", (F.col("band") - 1).alias("band"), F.col("tiles").alias("tiles_above"))
-    # A tile meets those of its own band from its own number on, and all of the band above.
-    own = bands.select("shingle", F.col("band").alias("b0"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("t0"), F.col("band").alias("b1"), "tiles")
-    own = own.withColumn("t1", F.explode(F.expr("sequence(t0, tiles - 1)"))).drop("tiles")
-    next_ = bands.join(above, ["shingle", "band"]).select("shingle", F.col("band").alias("b0"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("t0"), (F.col("band") + 1).alias("b1"), "tiles_above")
-    next_ = next_.withColumn("t1", F.explode(F.expr("sequence(0, tiles_above - 1)"))).drop("tiles_above")
-    pairs = own.unionByName(next_)
-    sides = pairs.withColumn("side", F.explode(F.expr("CASE WHEN b0 = b1 AND t0 = t1 THEN array(0) ELSE array(0, 1) END")))
-    sides = sides.withColumn("band", F.expr("if(side = 0, b0, b1)")).withColumn("tile", F.expr("if(side = 0, t0, t1)"))
-    filled = sides.join(tiled, ["shingle", "band", "tile"]).select("shingle", "b0", "t0", "b1", "t1", "side", *_COLUMNS)
-    return filled.groupBy("shingle", "b0", "t0", "b1", "t1").applyInArrow(tile_pairs, "a long, b long")
+    """similar_documents() without the numbers of links."""
+    return similar_documents(documents).drop("n_links")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""A Bloom filter of fixed size, built in the cluster: it says "maybe" or "surely not"."""
+"""A Bloom filter, built in the cluster: it says "maybe" or "surely not".
+
+Its size follows the number of keys between two bounds, so that it can be broadcast; beyond the upper one
+more keys pass by chance, which costs their readers time and no rightness.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,8 @@ from . import textops
 
 #: Blocks of the filter; a block is built by one task.
 BLOCKS = 64
+#: Bits for each key (one key in 40 passes by chance), and the most bits of a filter: 128 megabytes.
+BITS_EACH, MOST_BITS = 12, 1 << 30
 _U = np.uint64
 
 
@@ -36,8 +42,16 @@ class Filter:
         return out
 
 
-def bloom(keys: DataFrame, total_bits: int) -> Filter:
-    """The filter of the only column (long) of a table; 1/8 of ``total_bits`` bytes come to the driver, whatever the input."""
+def bloom(keys: DataFrame, least_bits: int) -> Filter:
+    """The filter of the only column (long) of a table that costs little to read twice.
+
+    It has ``least_bits``, or BITS_EACH for each key if that is more, MOST_BITS at most; both bounds hold
+    for what comes to the driver, whatever the input.
+    """
+    total_bits = least_bits
+    n = keys.count()
+    while total_bits < min(n * BITS_EACH, MOST_BITS):
+        total_bits *= 2
     bits = total_bits // BLOCKS
 
     def build(batches):
