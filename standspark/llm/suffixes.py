@@ -17,7 +17,7 @@ several documents are gathered:
 Strings are compared byte by byte; segments and texts as wholes by 128-bit hashes.
 
 Defined results: a null text is empty; rows without an id are left out; ids tell documents apart (rows
-that repeat an id are one document); documents under 50 bytes lose nothing.  Extra columns are not read.
+that repeat an id are one document, and a text of theirs loses what any of them loses at its place); documents under 50 bytes lose nothing.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ SPAN = LENGTH - ANCHOR + 1
 SHALLOW = 24
 #: Distinct segments of an anchor from which on its windows are dealt by themselves.
 HOT = 500
-#: Bits of the filters: 16 and 4 megabytes.
-ANCHOR_BITS, ID_BITS = 1 << 27, 1 << 25
+#: Least bits of the filters of anchors and places, and of ids: 2 and 1 megabytes.
+ANCHOR_BITS, ID_BITS = 1 << 24, 1 << 23
 #: Windows that a task sorts at once.
 SORT_WINDOWS = 400_000
 _U = np.uint64
@@ -333,14 +333,15 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, windows to remove as (start, number) pairs), (doc_id of copies, which lose all bytes))."""
     spark = docs.sparkSession
     whole = common.keep(_whole(docs).where(f"n_bytes >= {LENGTH}"))
-    least = whole.groupBy("k1", "k2", "n_bytes").agg(F.min("doc_id").alias("least"))
-    marked = common.keep(whole.join(least, ["k1", "k2", "n_bytes"]).select("doc_id", (F.col("doc_id") != F.col("least")).alias("copy")).distinct())
+    # Only texts in several rows are joined, and after they are written, so that a large group can be split.
+    least = common.keep(whole.groupBy("k1", "k2", "n_bytes").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    marked = common.keep(whole.join(least, ["k1", "k2", "n_bytes"], "left").select("doc_id", F.coalesce(F.col("doc_id") != F.col("least"), F.lit(False)).alias("copy")).distinct())
     copies = marked.where("copy").select("doc_id")
     shown = spark.sparkContext.broadcast(sketch.bloom(marked.where("NOT copy").select("doc_id"), ID_BITS))
 
     # A document's row gives each of its anchors once, so an anchor counted twice is in two documents
     # (or in a repeated row, which the next reading lets go).
-    several = _anchors(docs, shown).groupBy("anchor").count().where("count > 1").select("anchor")
+    several = common.keep(_anchors(docs, shown).groupBy("anchor").count().where("count > 1").select("anchor"))
     wanted = spark.sparkContext.broadcast(sketch.bloom(several, ANCHOR_BITS))
     found = common.keep(_segments(docs, shown, wanted))
 
