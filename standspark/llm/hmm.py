@@ -11,7 +11,9 @@ documents sends every one of its words once, with the places where it stands, so
 is one row per block and no dictionary of the corpus is held anywhere.
 
 Words are told apart by 64-bit hashes.  Defined results: a null or empty text is its end alone;
-without training documents all base scores are 0; rows with the same id are scored one by one.
+without training documents all base scores are 0; rows are scored and learnt from one by one, repeated ones
+and null ids too; of words equally frequent those with the smaller hash are top words; an empty table gives
+none; extra columns are not read.
 """
 
 from __future__ import annotations

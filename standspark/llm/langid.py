@@ -2,7 +2,8 @@
 
 A text's words are cut into byte n-grams, each hashed to a row of an embedding table; the mean of the
 rows goes through a linear softmax.  Table and softmax are trained together by stochastic gradient
-descent in numpy, on at most ROWS_PER_LANG labelled documents of each language (a bounded sample).
+descent in numpy, on at most ROWS_PER_LANG labelled documents of each language (a bounded sample, of texts of
+at most LONGEST_SAMPLED bytes).
 A temperature fitted on documents kept from training calibrates the scores; a document whose
 calibrated score, or whose share of n-grams known from training, lies below what documents of known
 language reach is rejected.
@@ -11,7 +12,9 @@ Since the model is linear behind the mean, each n-gram's logits are computed onc
 sum per distinct word, over the whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; so are
-all when nothing is labelled.  Words are cut at bytes of white space; extra columns are not read.
+all when nothing is labelled.  Rows are predicted one by one, repeated ones and null ids too; of languages with
+equal scores the first in their order counts; an empty table gives none.  Words are cut at bytes of white
+space; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common, textops
 
-#: Labelled documents of each language that training takes at most (in expectation).
-ROWS_PER_LANG = 300
+#: Labelled documents of each language that training takes at most (in expectation), and their longest text.
+ROWS_PER_LANG, LONGEST_SAMPLED = 300, 1 << 17
 BUCKETS = 1 << 16
 DIM = 16
 SIZES = (1, 2, 3, 4)
@@ -137,7 +140,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def labelled_sample(documents: DataFrame, usable) -> list:
     """About ROWS_PER_LANG labelled documents of each language: (text, lang); fewer where there are fewer."""
-    docs = documents.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    docs = documents.where(usable & F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST_SAMPLED))
     counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     keep = F.lit(False)
     for lang, n in sorted(counts.items()):

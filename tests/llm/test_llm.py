@@ -116,6 +116,24 @@ def test_bpe(spark, rows):
     assert bpe.round_trip(empty(spark), bpe.default_path()).count() == 0
 
 
+def test_bpe_in_small_pieces_with_a_small_table(monkeypatch):
+    """Long texts, long runs and a table that is emptied again and again give the library's tokens, piece by piece."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "PIECE", 500)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 30_000)
+    random.seed(21)
+    reference, encoder = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path())
+    bits = ["a", "don't", " ", "  ", "\n", "'re", "é☃", "12", ",.", "<|endoftext|>", "the", " word" * 9, "=" * 700, "xq" * 400]
+    texts = ["".join(random.choice(bits) for _ in range(random.choice([0, 3, 40, 400]))) for _ in range(60)] + ["", "z" * 9000, " " * 3000]
+    out: list[list[int]] = [[] for _ in texts]
+    for ids, spans in encoder.encode_many(texts):
+        assert ids.dtype == np.int32 and len(ids) < 4000 and encoder.bytes < 30_000 + 400_000
+        for i, lo, hi in spans:
+            out[i] += ids[lo:hi].tolist()
+    assert out == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_transducer_needs_its_lookahead_only():
     from tokenizers import Tokenizer
 
@@ -152,6 +170,90 @@ def test_language_id(spark, rows):
     assert langid.identify(empty(spark)).count() == 0
 
 
+def test_language_scores_equal_plain_sums():
+    """Logits of a trained model against means over n-grams, one by one."""
+    texts = [b"the of and to in is", b"der die das und", b"von zu im f\xc3\xbcr", b"x"]
+    model = langid.Model(["a", "b"])
+    model.train(texts, np.array([0, 1, 1, 0]))
+    mask = 2**64 - 1
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x ^= x >> 33
+            x = x * m & mask
+        return x ^ x >> 33
+
+    for text in (*texts, b"The die  and\nder unseen"):
+        rows = []
+        for word in text.lower().split():
+            padded = b"\0" + word + b"\1"
+            for n in langid.SIZES:
+                for end in range(n, len(padded) + 1):
+                    gram = sum(b << 8 * j for j, b in enumerate(reversed(padded[end - n : end])))
+                    rows.append(mix((gram * 8 + n) & mask) % langid.BUCKETS)
+        mean = model.table[rows].mean(0, dtype=np.float64)
+        logits, known = model.logits([text])
+        assert logits[0] == pytest.approx(mean @ model.out + model.bias, abs=1e-4)
+        assert known[0] == pytest.approx(np.mean(model.known[rows]))
+
+
+def test_toxicity_ratio_equals_plain_kneser_ney():
+    """Log-likelihood ratios against the formula on dictionaries, for seen grams, seen contexts and new ones."""
+    rng = random.Random(2)
+    counts = {}
+    for _ in range(400):
+        g = bytes(rng.choice(b"ab") for _ in range(5)) + bytes([rng.choice(b"abc")])
+        counts.setdefault(g, [0, 0])[rng.randrange(2)] += 1
+    grams = np.array([int.from_bytes(g, "big") for g in counts], dtype=np.uint64)
+    tables = [np.array([c[k] for c in counts.values()], dtype=float) for k in (0, 1)]
+    model = toxicity.KneserNey(grams, tables[0], tables[1])
+
+    def discount(values):
+        one, two = values.count(1), values.count(2)
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+    def shared(longer, n):
+        """{gram of n: probability of its last byte} from continuation counts of longer grams."""
+        if n == 0:
+            return None
+        kinds = [g[-n:] for g in longer]
+        number = {g: kinds.count(g) for g in set(kinds)}
+        lower, d, out = shared(sorted(number), n - 1), discount(list(number.values())), {}
+        for g in number:
+            same = [number[h] for h in number if h[:-1] == g[:-1]]
+            out[g] = max(number[g] - d, 0) / sum(same) + d * len(same) / sum(same) * (lower[g[1:]] if lower else 1 / 256)
+        return out
+
+    both = {g: sum(c) for g, c in counts.items()}
+    lower, d = shared(list(counts), 5), discount(list(both.values()))
+
+    def p(g, k):
+        own = {h: c for h, c in counts.items() if h[:-1] == g[:-1]}
+        total = sum(both[h] for h in own)
+        backoff = max(both[g] - d, 0) / total + d * len(own) / total * lower[g[1:]]
+        n = sum(c[k] for c in own.values())
+        taken = {h: min(c[k], toxicity.CLASS_DISCOUNT) for h, c in own.items()}
+        return (counts[g][k] - taken[g]) / n + sum(taken.values()) / n * backoff if n else backoff
+
+    at = {int(g): i for i, g in enumerate(model.grams)}
+    for g in counts:
+        assert model.gram_llr[at[int.from_bytes(g, "big")]] == pytest.approx(math.log(p(g, 0)) - math.log(p(g, 1)), abs=1e-4)
+
+
+def test_toxicity_of_repeated_rows_and_empty_labels(spark):
+    random.seed(7)
+    data = [(i, " ".join(random.choice(VOCAB["en"]) for _ in range(30)) + (" grawlix" * 4 if i % 3 == 0 else ""), "en") for i in range(90)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(0, 90, 2)] * 2, "doc_id long, quality int, toxic int")
+    got = toxicity.score(make(spark, data + data[:5] + [(None, "grawlix", "en")]), labels).collect()
+    assert len(got) == 96
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(s) == 1 for s in by.values())
+    assert np.mean([(min(by[i]) >= toxicity.THRESHOLD) == (i % 3 == 0) for i in range(1, 90, 2)]) > 0.9
+    assert {r["score"] for r in toxicity.score(make(spark, data), labels.limit(0)).collect()} == {0.0}
+
+
 def test_toxicity(spark):
     random.seed(3)
     data, labels = [], []
@@ -208,6 +310,35 @@ def test_decontamination_ignores_case_and_marks(spark):
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_decontamination_parts_order_and_repeated_rows(spark, rows, monkeypatch):
+    """Scores and pairs don't depend on the number of index parts; answers count in their order behind the question."""
+    random.seed(31)
+    word = lambda: "".join(random.choice("bdfgklmnprst") + random.choice("aeiou") for _ in range(random.randint(2, 4)))
+    ask = [" ".join(word() for _ in range(14)) for _ in range(12)]
+    told = [" ".join(word() for _ in range(9)) for _ in range(12)]
+    items = [(k, f"{a}? {t}") for k, (a, t) in enumerate(zip(ask, told))] + [(50, " ".join(word() for _ in range(70))), (3, f"{ask[3]}? {told[3]}"), (None, ask[0])]
+    mixed = " ".join(random.sample(told[1].split(), 9))
+    data = rows[:60] + [(400, f"so {items[0][1]} then", "en"), (401, f"so {ask[1]}? {mixed}", "en"), (402, f"{told[2]} and {ask[2]}? nothing", "en"), (403, f"{ask[3]}? {' '.join(word() for _ in range(300))} {told[3]}", "en"), (404, f"x {items[12][1]} y", "en"), (405, f"{ask[3]}? well, {told[3]}", "en"), (405, f"{ask[3]}? well, {told[3]}", "en"), (None, items[5][1], "en")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {}
+    for words in (400_000, 40):
+        monkeypatch.setattr(decontaminate, "INDEX_WORDS", words)
+        found[words] = sorted((r["doc_id"] or -1, r["item_id"], round(r["score"], 6)) for r in decontaminate.contaminated(make(spark, data), bench).collect())
+    assert found[40] == found[400_000]
+    assert [x[:2] for x in found[40]] == [(-1, 5), (400, 0), (404, 50), (405, 3), (405, 3), (405, 3), (405, 3)]
+
+
+def test_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert decontaminate.in_order(a, b) == table[-1][-1]
+
+
 def test_block_scores_equal_brute_force():
     random.seed(9)
     items = [(k, " ".join(random.choice("abcdefghij") * random.randint(1, 2) for _ in range(random.randint(3, 20)))) for k in range(60)]
@@ -363,6 +494,8 @@ def test_lm_scores(spark, rows):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, total)
         assert got[i]["base_score"] == pytest.approx(base, rel=1e-9)
         assert got[i]["score"] < 0
+    twice = hmm.score(make(spark, rows + rows[:3]).unionByName(make(spark, [(None, "the of", "en")])), train).collect()
+    assert len(twice) == len(rows) + 4 and len({(r["doc_id"], r["score"]) for r in twice}) == len(rows) + 1
     none = hmm.score(make(spark, rows), F.lit(False)).collect()
     assert {r["train_tokens"] for r in none} == {0} and all(r["base_score"] == pytest.approx(0) for r in none)
     assert hmm.score(empty(spark), train).count() == 0
@@ -474,6 +607,17 @@ def test_jaccard_counts_every_link(spark, rows, monkeypatch, tile):
     assert jaccard.similar_documents(empty(spark)).count() == 0
 
 
+def test_jaccard_large_group_of_near_copies(spark):
+    """3,000 near copies, each with one word of its own: links follow from the places of those words."""
+    n, words = 3000, [f"m{k}" for k in range(60)]
+    data = [(i, " ".join([*words[: i % 60], f"own{i}", *words[i % 60 + 1 :]]), "en") for i in range(n)]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.similar_documents(make(spark, data)).collect()}
+    cover = [{s for s in range(56) if s <= p < s + 5} for p in range(60)]
+    linked = [[q for q in range(60) if 100 * (c := 56 - len(cover[p] | cover[q])) >= 80 * (112 - c)] for p in range(60)]
+    # All links lead to document 0, by way of those that differ at an end.
+    assert got == {i: (0, n // 60 * len(linked[i % 60]) - 1) for i in range(n)}
+
+
 def test_signature_bound_is_above(spark):
     rng = np.random.default_rng(2)
     for n, m, c in ((50, 60, 45), (700, 650, 600), (3, 3, 3), (5000, 4500, 4400)):
@@ -513,3 +657,23 @@ def test_pipeline_stages(spark, rows, tmp_path):
     assert kept["near_copy"] == {i for i, (_, c) in groups.items() if i == c}
     assert kept["near_copy"] - kept["benchmark"] == {300} and kept["secrets"] == kept["bpe"] == kept["benchmark"]
     assert docs.count() == len(kept["bpe"])
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """No rows; null and repeated ids, one with two texts; extra columns whose names operators use."""
+    def stages(frame, folder):
+        frame.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        return corpus_pipeline.run(spark, str(folder)).collect()
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long, at int, tile long, rejected boolean"
+    (tmp_path / "none").mkdir()
+    assert stages(spark.createDataFrame([], columns), tmp_path / "none") == []
+    random.seed(19)
+    text = lambda: " ".join(random.choice(VOCAB["en"]) for _ in range(40))
+    data = [(i, text(), "en", "s", 9, 1, 2, True) for i in range(30)]
+    data += [data[3], data[3], (None, text(), "en", "s", 9, 1, 2, True), (7, "zz " + text(), "en", "s", 9, 1, 2, True), (40, None, None, None, None, None, None, None)]
+    (tmp_path / "odd").mkdir()
+    got = stages(spark.createDataFrame(data, columns), tmp_path / "odd")
+    ids = [r["doc_id"] for r in got]
+    assert sorted(ids) == sorted(set(ids)) and set(ids) <= set(range(30)) and len(ids) > 25
