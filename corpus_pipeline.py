@@ -7,7 +7,8 @@ secrets    secrets are replaced by their kind in brackets; n_chars follows
 bpe        whole texts become tokens; the ids, their digest and that of the decoded text are returned
 
 All stages but the last return the columns of ``documents``.  Null ids can't be told apart and go in
-the second stage; null texts have no letter and go in the first.  Extra columns are carried along.
+the second stage; null texts have no letter and go in the first.  An id that is repeated has one row from the
+second stage on.  Extra columns are carried along; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,9 +34,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies, one row of each document."""
     found = jaccard.similar_components(docs)
-    return _only(docs, found.where("doc_id = component_id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = _only(docs, found.where("doc_id = component_id"), "left_semi")
+    # Rows that repeat an id are one document; of different texts the least stays.
+    others = [c for c in docs.columns if c != "doc_id"]
+    first = kept.groupBy("doc_id").agg(F.min_by(F.struct(*others), F.struct("text", "lang", "source", "n_chars")).alias("_row"))
+    return first.select(*(F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
