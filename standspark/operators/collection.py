@@ -204,3 +204,14 @@ def harmonic(obs: DataFrame, pixel: Sequence[str], ts: str, band: str, dual: boo
         out |= {f"{band}_amplitude_{name}": B.amplitude(f"cos_{name}", f"sin_{name}"), f"{band}_phase_{name}": B.phase(f"cos_{name}", f"sin_{name}")}
     out |= ({f"{band}_trend": F.col("time")} if trend else {}) | {f"{band}_residual_variance": F.col("residual_variance"), f"{band}_obs_count": F.col("n")}
     return fit.select(*pixel, *(c.alias(n) for n, c in out.items()))
+
+
+def embedding(obs: DataFrame, pixel: Sequence[str], bands: Sequence[str], year: str, first: int, last: int, how: str = "mean") -> DataFrame:
+    """Bands of one year as they are, of several years their mean or median per pixel."""
+    used = obs.where(F.col(year).between(first, last))
+    return used.select(*pixel, *bands) if first == last else collapse_years(used, pixel, bands, how)
+
+
+def whole_rows(obs: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """Rows that have a value, and not NaN, in every band."""
+    return obs.dropna(subset=list(bands))

@@ -143,3 +143,14 @@ def plot_boxes(points: DataFrame, group: str, margin: float, x: str = "x", y: st
 def utm_span(lon: Sequence[float]) -> int:
     """Number of UTM zones that longitudes span."""
     return len({math.floor((v + 180) / 6) for v in lon})
+
+
+def left_out(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in another table; a null key is in none."""
+    return rows.join(others.select(key).distinct(), key, "left_anti")
+
+
+def remap(rows: DataFrame, column: str, name: str, old: Sequence, new: Sequence, default=None) -> DataFrame:
+    """A column's values by a list of old and new ones; the default elsewhere."""
+    table = F.create_map(*(F.lit(x) for pair in zip(old, new, strict=True) for x in pair))
+    return rows.withColumn(name, F.coalesce(F.element_at(table, F.col(column)), F.lit(default)))

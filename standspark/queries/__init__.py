@@ -1,4 +1,4 @@
 """All registered queries: importing the modules registers them."""
 
-from . import collections, comparison, spatial, stands  # noqa: F401
+from . import collections, comparison, files, spatial, stands  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401

@@ -44,7 +44,6 @@ def test_query_equals_sql(spark, duck, name):
 WITHOUT_SQL = {
     "harmonic_dual_trend": lambda t: len(t) > 0 and t["pixel"].is_unique and t.drop(columns="pixel").notna().any().any(),
     "leave_one_out_r2": lambda t: len(t) == 1 and t.iloc[0].dropna().between(-1e6, 1).any(),
-    "class_correspondence": lambda t: sorted(t["a"]) == sorted(t["b"]) and len(t) == 7 and all((3 * a + 2) % 7 == b for a, b in zip(t["a"], t["b"])),
     "null_draws": lambda t: t.groupby("draw")["plot"].nunique().eq(t["plot"].nunique()).all() and t["draw"].nunique() == 20,
     "permutation_tests": lambda t: len(t) == 1 and (t["p"].isna() | t["p"].between(0.01, 1)).all(),
     "bootstrap_groups": lambda t: t.groupby("rep")["slot"].nunique().eq(t["slot"].nunique()).all() and t["rep"].nunique() == 20,
