@@ -134,6 +134,18 @@ def pixel_area(lat: str, dlat: float, dlon: float, radius: float = 6371007.2) ->
     return F.lit(radius**2 * math.radians(dlon)) * F.abs(F.sin(upper) - F.sin(lower))
 
 
+def pixel_area_ellipsoid(lat: str, dlat: float, dlon: float, major: float = 6378137.0, flattening: float = 1 / 298.257223563) -> Column:
+    """The same on the WGS84 ellipsoid: the zone between two latitudes, in closed form."""
+    e2 = flattening * (2 - flattening)
+    e, minor2 = math.sqrt(e2), major**2 * (1 - e2)
+
+    def zone(degrees: Column) -> Column:
+        s = F.sin(F.radians(degrees))
+        return s / (1 - e2 * s * s) + F.log((1 + e * s) / (1 - e * s)) / (2 * e)
+
+    return F.lit(minor2 / 2 * math.radians(dlon)) * F.abs(zone(F.col(lat) + dlat / 2) - zone(F.col(lat) - dlat / 2))
+
+
 def rigid_move(x: str, y: str, cx: Column, cy: Column, angle: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
     """A point turned about (cx, cy) and then shifted."""
     u, v = F.col(x) - cx, F.col(y) - cy

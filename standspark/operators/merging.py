@@ -29,12 +29,17 @@ class Rules:
     max_sweeps: int = 60
     soft_ceiling: bool = False
     scale_m: float = 10.0
+    max_regions: int | None = None
 
     def pixels(self, hectares) -> int:
         """Whole pixels in an area, exactly from its decimal text."""
         return int(Fraction(str(hectares)) * 10000 / Fraction(str(self.scale_m)) ** 2)
 
 
+class TooManyRegions(ValueError):
+    """There are more regions than the rules allow."""
+
+
 @dataclass
 class Region:
     index: int
@@ -173,6 +178,8 @@ def merge_regions(regions: DataFrame, edges: DataFrame, rules: Rules) -> DataFra
     small a share of the stand's pixels is valid.
     """
     bands = list(rules.tolerances)
+    if rules.max_regions is not None and (n := regions.count()) > rules.max_regions:
+        raise TooManyRegions(f"{n} regions; the bound is {rules.max_regions}")
     part = connected(edges.select(F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b")))
     own = regions.join(part, F.col("i") == F.col("node"), "left").withColumn("part", F.coalesce("component", F.col("i").cast("long"))).drop("node", "component")
     links = edges.join(part, F.col("i") == F.col("node")).select(F.col("component").alias("part"), "i", "j", "n_shared")
@@ -193,14 +200,17 @@ def merge_regions(regions: DataFrame, edges: DataFrame, rules: Rules) -> DataFra
     return own.groupBy("part").cogroup(links.groupBy("part")).applyInPandas(solve, f"i long, stand long, n_pixels long, n_superpx long, n_pass1 long, n_relaxed long, n_fallback long, merge_kind int, below_why string, {fields}")
 
 
-def calibrate(regions: DataFrame, edges: DataFrame, rules: Rules, quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """Per band, quantiles of the differences across edges and the share of edges within its tolerance."""
+def calibrate(regions: DataFrame, edges: DataFrame, rules: Rules, quantiles: Sequence[float] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """Per band: its tolerance, the number of edges with a difference, the percent of them within the tolerance, and
+    the differences at places floor(q * n) of their order."""
+    from .stands import floor_quantiles
+
     bands = list(rules.tolerances)
     side = lambda s, k: regions.select(F.col("i").alias(k), *(F.col(b).alias(f"{b}_{s}") for b in bands))
     both = edges.join(side("i", "i"), "i").join(side("j", "j"), "j")
     long = both.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.abs(F.col(f"{b}_i") - F.col(f"{b}_j")).alias("d"), F.lit(float(t)).alias("tolerance")) for b, t in rules.tolerances.items()))).alias("e")).select("e.*").where("d IS NOT NULL")
-    q = F.percentile("d", F.array(*map(F.lit, quantiles)))
-    return long.groupBy("band").agg(F.count("*").alias("n_edges"), q.alias("q"), F.avg((F.col("d") <= F.col("tolerance")).cast("double")).alias("admitted")).select("band", "n_edges", "admitted", *(F.col("q")[i].alias(f"q{round(100 * p)}") for i, p in enumerate(quantiles)))
+    shares = long.groupBy("band").agg(F.first("tolerance").alias("tolerance"), F.round(100 * F.avg((F.col("d") <= F.col("tolerance")).cast("double")), 2).alias("percentile_of_tolerance"))
+    return shares.join(floor_quantiles(long, "band", "d", quantiles), "band")
 
 
 def change_of_rules(regions: DataFrame, edges: DataFrame, one: Rules, two: Rules) -> DataFrame:

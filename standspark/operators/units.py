@@ -152,11 +152,27 @@ def knee(points: DataFrame, k: str = "k", cost: str = "wcss") -> DataFrame:
     return out.withColumn("is_knee", (place == 1) & F.col("distance").isNotNull() & (F.count("*").over(w) >= 3))
 
 
+def kmeans_agreement(units: DataFrame, bands: Sequence[str], k: int, starts: int = 25, seed: int = 42) -> dict:
+    """The least cost of the starts, and how far their partitions agree: median and least adjusted Rand index."""
+    from .stands import starts_agreement
+
+    data, long, costs = vectors(units, bands).select("features").cache(), None, []
+    numbered = units.select(*bands).withColumn("unit", F.xxhash64(*bands)).dropDuplicates(["unit"])
+    for s in range(starts):
+        model = KMeans(k=k, seed=seed + s, initMode="k-means||").fit(data)
+        costs.append(float(model.summary.trainingCost))
+        own = nearest_centre(numbered, bands, [c.tolist() for c in model.clusterCenters()]).select("unit", F.lit(s).alias("start"), "cluster")
+        long = own if long is None else long.unionByName(own)
+    data.unpersist()
+    return {"wcss": min(costs)} | starts_agreement(long).first().asDict()
+
+
 def elbow(units: DataFrame, bands: Sequence[str], k_min: int = 2, k_max: int = 12, starts: int = 3, seed: int = 42) -> DataFrame:
-    """(k, wcss, distance, is_knee) of a sweep over numbers of clusters."""
+    """(k, wcss, ari_median, ari_min, distance, is_knee) of a sweep over numbers of clusters; units with equal bands agree as one."""
     n = units.count()
-    rows = [(k, float(min(kmeans_starts(units, bands, k, starts, seed)[1]))) for k in range(k_min, min(k_max, n - 1) + 1)]
-    return knee(units.sparkSession.createDataFrame(rows, "k int, wcss double"))
+    each = [(k, kmeans_agreement(units, bands, k, starts, seed)) for k in range(k_min, min(k_max, n - 1) + 1)]
+    rows = [(k, a["wcss"], a["ari_median"], a["ari_min"]) for k, a in each]
+    return knee(units.sparkSession.createDataFrame(rows, "k int, wcss double, ari_median double, ari_min double"))
 
 
 def cluster_sums(rows: DataFrame, cluster: str, bands: Sequence[str]) -> DataFrame:

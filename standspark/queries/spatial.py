@@ -101,7 +101,7 @@ def _(s, d):
     return M.merge_regions(*_graph(s, d), RULES)
 
 
-@query("merge_calibration", f"WITH {_ADJ}, u AS (SELECT label, avg(v) AS v, avg(m) AS m FROM raster GROUP BY label), e AS (SELECT abs(a.v - b.v) AS v, abs(a.m - b.m) AS m FROM adj JOIN u a ON a.label = label_i JOIN u b ON b.label = label_j), l AS (SELECT 'v' AS band, v AS d, 20000.0 AS t FROM e UNION ALL SELECT 'm', m, 1.5 FROM e) SELECT band, count(*) AS n_edges, avg(CASE WHEN d <= t THEN 1.0 ELSE 0 END) AS admitted, quantile_cont(d, 0.1) AS q10, quantile_cont(d, 0.25) AS q25, quantile_cont(d, 0.5) AS q50, quantile_cont(d, 0.75) AS q75, quantile_cont(d, 0.9) AS q90 FROM l GROUP BY band", "admitted q10 q25 q50 q75 q90", 4)
+@query("merge_calibration", f"WITH {_ADJ}, u AS (SELECT label, avg(v) AS v, avg(m) AS m FROM raster GROUP BY label), e AS (SELECT abs(a.v - b.v) AS v, abs(a.m - b.m) AS m FROM adj JOIN u a ON a.label = label_i JOIN u b ON b.label = label_j), l AS (SELECT 'v' AS band, v AS d, 20000.0 AS t FROM e UNION ALL SELECT 'm', m, 1.5 FROM e), o AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY band) AS n FROM l) SELECT band, CAST(max(t) AS DOUBLE) AS tolerance, n, round(100 * avg(CASE WHEN d <= t THEN 1.0 ELSE 0 END), 2) AS percentile_of_tolerance, " + ", ".join(f"max(CASE WHEN r = least(CAST(floor({q} * n) AS BIGINT), n - 1) THEN d END) AS p{round(100 * q)}" for q in (0.25, 0.5, 0.75, 0.9)) + " FROM o GROUP BY band, n", "tolerance percentile_of_tolerance p25 p50 p75 p90", 4)
 def _(s, d):
     return M.calibrate(*_graph(s, d), RULES)
 
@@ -265,3 +265,11 @@ def _(s, d):
 @query("pixel_area", "SELECT c_custkey, 6371007.2 ** 2 * radians(0.01) * abs(sin(radians(c_acctbal / 120 + 0.005)) - sin(radians(c_acctbal / 120 - 0.005))) AS area FROM customer", "area", 2)
 def _(s, d):
     return read(s, d, "customer").select("c_custkey", (F.col("c_acctbal") / 120).alias("lat")).select("c_custkey", B.pixel_area("lat", 0.01, 0.01).alias("area"))
+
+
+_ZONE = "(sin(radians({0})) / (1 - e2 * sin(radians({0})) ** 2) + ln((1 + sqrt(e2) * sin(radians({0}))) / (1 - sqrt(e2) * sin(radians({0})))) / (2 * sqrt(e2)))"
+
+
+@query("pixel_area_ellipsoid", f"WITH c AS (SELECT c_custkey, c_acctbal / 120 AS lat, (2 - 1 / 298.257223563) / 298.257223563 AS e2 FROM customer) SELECT c_custkey, 6378137.0 ** 2 * (1 - e2) / 2 * radians(0.01) * abs({_ZONE.format('(lat + 0.005)')} - {_ZONE.format('(lat - 0.005)')}) AS area FROM c", "area", 1)
+def _(s, d):
+    return read(s, d, "customer").select("c_custkey", (F.col("c_acctbal") / 120).alias("lat")).select("c_custkey", B.pixel_area_ellipsoid("lat", 0.01, 0.01).alias("area"))

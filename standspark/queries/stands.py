@@ -125,15 +125,6 @@ def _(s, d):
     return S.first_round(*_gaps(s, d), {"v": 20000.0, "m": 1.5}, 127)
 
 
-@query("merge_gap_quantiles", f"WITH {_GATE}, l AS (SELECT 'v' AS band, dv AS d FROM g UNION ALL SELECT 'm', dm FROM g), o AS (SELECT band, d, row_number() OVER (PARTITION BY band ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY band) AS n FROM l WHERE d IS NOT NULL) SELECT band, n, " + ", ".join(f"max(CASE WHEN r = least(CAST(floor({q} * n) AS BIGINT), n - 1) THEN d END) AS p{round(100 * q)}" for q in (0.25, 0.5, 0.75, 0.9)) + " FROM o GROUP BY band, n", "p25 p50 p75 p90", 5)
-def _(s, d):
-    units, edges = _gaps(s, d)
-    side = lambda k, e: units.select(F.col("i").alias(e), F.col("v").alias(f"v{k}"), F.col("m").alias(f"m{k}"))
-    both = edges.join(side(0, "i"), "i").join(side(1, "j"), "j")
-    gaps = both.select(F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.abs(F.col(f"{b}0") - F.col(f"{b}1")).alias("d")) for b in "vm"))).alias("e")).select("e.*")
-    return S.floor_quantiles(gaps, "band", "d", [0.25, 0.5, 0.75, 0.9])
-
-
 @query("merge_diagnostics")
 def _(s, d):
     return S.merge_diagnostics(M.merge_regions(*_graph(s, d), RULES), RULES.pixels(RULES.min_area_ha), list(RULES.tolerances))

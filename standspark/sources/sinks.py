@@ -30,7 +30,7 @@ def layers(pixels: DataFrame, path: str, labels: str, raw: Sequence[str], scaled
     return [parquet(frame, f"{path.rstrip('/')}/{name}") for name, frame in parts.items()]
 
 
-def rows_csv(frame: DataFrame, path: str) -> str:
+def one_csv(frame: DataFrame, path: str) -> str:
     """A small result as one CSV file on the driver, doubles with 17 digits."""
     with open(path, "w", newline="", encoding="utf-8") as f:
         writer = csv.writer(f)
@@ -47,16 +47,23 @@ def csv_parts(frame: DataFrame, path: str) -> str:
     return path
 
 
-#: Columns that the short-named vector format keeps.
-SHORT_COLUMNS = ("stand_lbl", "cluster_id", "area_ha", "perim_m", "n_pixels")
+#: Columns that the short-named vector format keeps: a fixed part of the format.
+SHORT_COLUMNS = ("stand_id", "stand_lbl", "cluster_id", "area_ha", "perim_m", "n_pixels")
+
+
+def short(frame: DataFrame, ring: str) -> DataFrame:
+    """The outline and those columns of the short format that the table has, whole names of at most ten letters."""
+    return frame.select(ring, *(c for c in SHORT_COLUMNS if c in frame.columns))
 
 
 def features(frame: DataFrame, ring: str, properties: Sequence[str], digits: int = 6) -> DataFrame:
-    """One JSON text per feature: a polygon with rounded coordinates, and its properties."""
+    """One JSON text per feature: a polygon with rounded coordinates, and its properties; NaN becomes null."""
+    kinds = dict(frame.dtypes)
+    clean = [F.nanvl(c, F.lit(None).cast("double")).alias(c) if kinds.get(c) in ("double", "float") else F.col(c) for c in properties]
     closed = F.concat(F.col(ring), F.slice(ring, 1, 1))
     coordinates = F.transform(closed, lambda p: F.array(F.round(p["x"], digits), F.round(p["y"], digits)))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(coordinates).alias("coordinates"))
-    return frame.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("value"))
+    return frame.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*clean).alias("properties"))).alias("value"))
 
 
 def geojson_lines(frame: DataFrame, ring: str, properties: Sequence[str], path: str, digits: int = 6) -> str:
@@ -76,7 +83,7 @@ def digest(path: str) -> str:
 def stage_files(folder: str, stage: str, tables: dict[str, DataFrame], metadata: dict) -> list[dict]:
     """Small tables as CSV and metadata as JSON, with their digests."""
     os.makedirs(folder, exist_ok=True)
-    paths = [rows_csv(t, os.path.join(folder, f"{stage}_{name}.csv")) for name, t in tables.items()]
+    paths = [one_csv(t, os.path.join(folder, f"{stage}_{name}.csv")) for name, t in tables.items()]
     paths.append(os.path.join(folder, f"{stage}.json"))
     with open(paths[-1], "w", encoding="utf-8") as f:
         json.dump(metadata, f, sort_keys=True, indent=1)
