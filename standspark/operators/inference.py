@@ -128,6 +128,16 @@ def permanova(pairs: DataFrame, distance: str, group: str) -> DataFrame:
     return t.select(F.try_divide((F.col("sst") - ssw) / (F.col("k") - 1), F.try_divide(ssw, F.col("n") - F.col("k"))).alias("pseudo_f"), (1 - F.try_divide(ssw, F.col("sst"))).alias("r2"))
 
 
+def permanova_fields(plots: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
+    """permanova() for Euclidean distances over columns, without pairs: half the mean squared distance within a set of
+    plots is its variance, so sums of squares come from means.  Plots that lack a column or the group are left out."""
+    used = plots.dropna(subset=[group, *columns]).select(F.col(group).alias("_g"), *columns)
+    squares = lambda: sum((F.var_pop(c) for c in columns), F.lit(0.0)) * F.count("*")
+    cells = used.groupBy("_g").agg(squares().alias("s")).agg(F.sum("s").alias("ssw"), F.count("*").alias("k"))
+    t = used.agg(squares().alias("sst"), F.count("*").alias("n")).crossJoin(cells)  # one row each
+    return t.select(F.try_divide((F.col("sst") - F.col("ssw")) / (F.col("k") - 1), F.try_divide(F.col("ssw"), F.col("n") - F.col("k"))).alias("pseudo_f"), (1 - F.try_divide("ssw", "sst")).alias("r2"))
+
+
 def bray_curtis(amounts: DataFrame, plot: str, species: str, amount: str) -> DataFrame:
     """(plot_a < plot_b, distance): sum |a - b| / sum (a + b) of all pairs.
 

@@ -179,11 +179,13 @@ _PERM = "pl AS (SELECT plot, grp, h FROM plots), gr AS (SELECT grp, count(*) AS
 
 @query("permanova", f"WITH {_PERM} SELECT ((t - w) / (k - 1)) / (w / (n - k)) AS pseudo_f, 1 - w / t AS r2 FROM al, (SELECT sum(w) AS w FROM gr)", "pseudo_f r2", 5)
 def _(s, d):
-    return _permanova(plots(s, d))
+    return I.permanova_fields(plots(s, d), ["h"], "grp")
 
 
-def _permanova(p):
-    return I.permanova(I.plot_pairs(p, "plot", ["h", "grp"]).withColumn("fd", I.field_distance(["h"])), "fd", "grp")
+@query("permanova_pairs", f"WITH {_PERM} SELECT ((t - w) / (k - 1)) / (w / (n - k)) AS pseudo_f, 1 - w / t AS r2 FROM al, (SELECT sum(w) AS w FROM gr)", "pseudo_f r2", 5)
+def _(s, d):
+    """The same from the distances of all pairs of a plot set, as other distances need it."""
+    return I.permanova(I.plot_pairs(plots(s, d), "plot", ["h", "grp"]).withColumn("fd", I.field_distance(["h"])), "fd", "grp")
 
 
 @query("bray_curtis", "WITH a AS (SELECT pixel, flag || ln AS sp, sum(qty) AS q FROM obs GROUP BY ALL), t AS (SELECT pixel, sum(q) AS t FROM a GROUP BY pixel), c AS (SELECT x.pixel AS plot_a, y.pixel AS plot_b, sum(least(x.q, y.q)) AS c FROM a x JOIN a y ON x.sp = y.sp AND x.pixel < y.pixel GROUP BY ALL) SELECT u.pixel AS plot_a, v.pixel AS plot_b, 1 - 2 * coalesce(c, 0) / (u.t + v.t) AS distance FROM t u JOIN t v ON u.pixel < v.pixel LEFT JOIN c ON c.plot_a = u.pixel AND c.plot_b = v.pixel", "distance")
