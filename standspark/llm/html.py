@@ -207,16 +207,17 @@ def kinds(page: Page) -> tuple[Counter, Counter]:
     """How often each kind of token and each feature stands inside and outside the marked article.
 
     Kinds count twice: with the side they stand on, and without, for pages that don't mark an article.
-    For a feature the mark alone decides, so that evidence can overrule PRIOR_OUT.
+    What is left out for its features says nothing about kinds; for a feature the mark alone decides, so that
+    evidence can overrule PRIOR_OUT.
     """
     inside, outside = Counter(), Counter()
     for kind, n, _, out, above in page.tokens:
         name, _, side = kind.partition("@")
-        to = inside if side == "in" and not out else outside
-        to[kind] += n or 1
-        to[name] += n or 1
+        to = inside if side == "in" else outside
+        if not out:
+            to[kind] += n or 1
+            to[name] += n or 1
         if n:
-            to = inside if side == "in" else outside
             for f in set(above):
                 to[f] += n
     return inside, outside
