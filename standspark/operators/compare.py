@@ -213,9 +213,11 @@ def assignment(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def correspondence(table: DataFrame) -> dict:
-    """One-to-one renumbering of a's classes to b's with the most common rows."""
-    rows = table.collect()  # k by k classes
+def correspondence(table: DataFrame, most: int = 1000) -> dict:
+    """One-to-one renumbering of a's classes to b's with the most common rows; raises over ``most`` classes a side."""
+    rows = table.limit(most * most + 1).collect()  # k by k classes
+    if max(len({r[c] for r in rows}) for c in "ab") > most if rows else False:
+        raise ValueError(f"more than {most} classes")
     a, b = sorted({r["a"] for r in rows}), sorted({r["b"] for r in rows})
     n = {(r["a"], r["b"]): r["n"] for r in rows}
     if len(a) > len(b):

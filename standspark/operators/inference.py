@@ -168,7 +168,7 @@ def null_draws(plots: DataFrame, key: str, columns: Sequence[str], n: int, seed:
 
 def torus_draws(plots: DataFrame, row: str, col: str, height: int, width: int, shifts: DataFrame) -> DataFrame:
     """(draw, plot columns): rows and columns after each cyclic shift (draw, dr, dc)."""
-    moved = plots.crossJoin(F.broadcast(shifts))
+    moved = plots.crossJoin(shifts)  # a stated set of plots and shifts
     return moved.withColumn(row, F.pmod(F.col(row) - F.col("dr"), F.lit(height))).withColumn(col, F.pmod(F.col(col) - F.col("dc"), F.lit(width))).drop("dr", "dc")
 
 

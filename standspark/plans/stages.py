@@ -184,5 +184,5 @@ def cost_by_stage(log: DataFrame, task: str, ts: str, cost: str, stages: DataFra
     from pyspark.sql import Window
 
     spans = stages.withColumn("_end", F.lead(start).over(Window.orderBy(start)))  # one row per stage of a run
-    met = log.join(F.broadcast(spans), (F.col(ts) >= F.col(start)) & (F.col("_end").isNull() | (F.col(ts) < F.col("_end"))), "left")
+    met = log.join(spans, (F.col(ts) >= F.col(start)) & (F.col("_end").isNull() | (F.col(ts) < F.col("_end"))), "left")
     return met.groupBy(stage).agg(F.count(task).alias("n_tasks"), F.sum(cost).alias("cost"))
