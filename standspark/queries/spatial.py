@@ -235,31 +235,41 @@ def _(s, d):
     return U.nearest_centre(u, ["v", "m"], [c.tolist() for c in model.clusterCenters()]).select("label", "cluster")
 
 
-_VEC = "e AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings)"
+#: All components of the vectors, as bands.
+_DIMS = [f"c{k}" for k in range(64)]
+_VEC = "e AS (SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS {c}" for k, c in enumerate(_DIMS)) + " FROM embeddings)"
 
 
 def _vec(s, d):
-    return read(s, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    return read(s, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(_DIMS)))
 
 
-@query("calinski_harabasz", f"WITH {_VEC}, t AS (SELECT *, avg(a) OVER (PARTITION BY label) AS ac, avg(b) OVER (PARTITION BY label) AS bc, avg(a) OVER () AS aa, avg(b) OVER () AS ba FROM e) SELECT (sum((ac - aa) ** 2 + (bc - ba) ** 2) / (count(DISTINCT label) - 1)) / (sum((a - ac) ** 2 + (b - bc) ** 2) / (count(*) - count(DISTINCT label))) AS calinski_harabasz FROM t", "calinski_harabasz")
+def _squares(one: str, other: str) -> str:
+    """SQL of the squared distance; {} stands for a component."""
+    return " + ".join(f"({one.format(c)} - {other.format(c)}) ** 2" for c in _DIMS)
+
+
+_MEANS = "t AS (SELECT *, " + ", ".join(f"avg({c}) OVER (PARTITION BY label) AS m{c}, avg({c}) OVER () AS a{c}" for c in _DIMS) + " FROM e)"
+
+
+@query("calinski_harabasz", f"WITH {_VEC}, {_MEANS} SELECT (sum({_squares('m{}', 'a{}')}) / (count(DISTINCT label) - 1)) / (sum({_squares('{}', 'm{}')}) / (count(*) - count(DISTINCT label))) AS calinski_harabasz FROM t", "calinski_harabasz")
 def _(s, d):
-    return U.calinski_harabasz(_vec(s, d), "label", ["a", "b"])
+    return U.calinski_harabasz(_vec(s, d), "label", _DIMS)
 
 
-@query("davies_bouldin", f"WITH {_VEC}, t AS (SELECT *, avg(a) OVER (PARTITION BY label) AS ac, avg(b) OVER (PARTITION BY label) AS bc FROM e), c AS (SELECT label, any_value(ac) AS x, any_value(bc) AS y, avg(sqrt((a - ac) ** 2 + (b - bc) ** 2)) AS s FROM t GROUP BY label), r AS (SELECT p.label, max((p.s + q.s) / sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS r FROM c p JOIN c q ON p.label <> q.label GROUP BY p.label) SELECT avg(r) AS davies_bouldin FROM r", "davies_bouldin", 4)
+@query("davies_bouldin", f"WITH {_VEC}, {_MEANS}, c AS (SELECT label, {', '.join(f'any_value(m{c}) AS {c}' for c in _DIMS)}, avg(sqrt({_squares('{}', 'm{}')})) AS s FROM t GROUP BY label), r AS (SELECT p.label, max((p.s + q.s) / sqrt({_squares('p.{}', 'q.{}')})) AS r FROM c p JOIN c q ON p.label <> q.label GROUP BY p.label) SELECT avg(r) AS davies_bouldin FROM r", "davies_bouldin", 4)
 def _(s, d):
-    return U.davies_bouldin(_vec(s, d), "label", ["a", "b"])
+    return U.davies_bouldin(_vec(s, d), "label", _DIMS)
 
 
-@query("silhouette", f"WITH {_VEC}, f AS (SELECT * FROM e), m AS (SELECT p.vec_id, p.label AS c, q.label AS o, avg(sqrt((p.a - q.a) ** 2 + (p.b - q.b) ** 2)) AS dd FROM f p JOIN f q ON p.vec_id <> q.vec_id GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN c = o THEN dd END) AS i, min(CASE WHEN c <> o THEN dd END) AS x FROM m GROUP BY vec_id) SELECT avg(CASE WHEN i IS NULL THEN 0 ELSE (x - i) / greatest(x, i) END) AS silhouette FROM s", "silhouette")
+@query("silhouette", f"WITH {_VEC}, m AS (SELECT p.vec_id, p.label AS c, q.label AS o, avg(sqrt({_squares('p.{}', 'q.{}')})) AS dd FROM e p JOIN e q ON p.vec_id <> q.vec_id GROUP BY ALL), s AS (SELECT vec_id, max(CASE WHEN c = o THEN dd END) AS i, min(CASE WHEN c <> o THEN dd END) AS x FROM m GROUP BY vec_id) SELECT avg(CASE WHEN i IS NULL THEN 0 ELSE (x - i) / greatest(x, i) END) AS silhouette FROM s", "silhouette")
 def _(s, d):
-    return U.silhouette(_vec(s, d), "vec_id", "label", ["a", "b"])
+    return U.silhouette(_vec(s, d), "vec_id", "label", _DIMS)
 
 
 @query("principal_components")
 def _(s, d):
-    return U.principal_components(_vec(s, d), ["a", "b"], 2).select("vec_id", F.round(F.abs(F.col("components")[0]), 5).alias("c0"))
+    return U.principal_components(_vec(s, d), _DIMS, 2).select("vec_id", F.round(F.abs(F.col("components")[0]), 5).alias("c0"))
 
 
 @query("pixel_area", "SELECT c_custkey, 6371007.2 ** 2 * radians(0.01) * abs(sin(radians(c_acctbal / 120 + 0.005)) - sin(radians(c_acctbal / 120 - 0.005))) AS area FROM customer", "area", 2)
