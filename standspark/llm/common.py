@@ -72,14 +72,14 @@ def release_others(owner: str) -> None:
         _HELD.pop(name)()
 
 
-def map_texts(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", setup: Callable[[], Callable] | None = None, owner: str = "") -> DataFrame:
-    """mapInArrow with batches cut to TEXT_BYTES.  ``setup`` runs once per task and gives the work."""
+def map_texts(frame: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", setup: Callable[[], Callable] | None = None, owner: str = "", limit: int = TEXT_BYTES) -> DataFrame:
+    """mapInArrow with batches cut to ``limit`` bytes of text.  ``setup`` runs once per task and gives the work."""
 
     def run(batches):
         release_others(owner)
         act = setup() if setup else work
         for batch in batches:
-            for piece in pieces(batch, text):
+            for piece in pieces(batch, text, limit):
                 out = act(piece)
                 if out is not None and out.num_rows:
                     yield out

@@ -40,8 +40,8 @@ SHALLOW = 24
 HOT = 500
 #: Least bits of the filters of anchors and places, and of ids: 2 and 1 megabytes.
 ANCHOR_BITS, ID_BITS = 1 << 24, 1 << 23
-#: Windows that a task sorts at once.
-SORT_WINDOWS = 400_000
+#: Windows that a task sorts at once, and bytes of text whose anchors it finds at once (some 50 bytes each).
+SORT_WINDOWS, ANCHOR_BYTES = 400_000, 1 << 20
 _U = np.uint64
 _CHUNK = 1 << 18
 
@@ -146,32 +146,50 @@ class BlindTrie:
         return out
 
 
+def multikey_quicksort(digits: np.ndarray, order: np.ndarray, cut: np.ndarray) -> None:
+    """Sort groups of ``order`` by rows of digits, in place; ``cut`` tells where a group begins, and is refined.
+
+    Every group has a pivot digit and is parted into smaller, equal and larger rows; equal ones go on with the
+    next digit.  The groups of a round are parted side by side.
+    """
+    first = np.flatnonzero(cut)
+    size = np.diff(np.concatenate([first, [len(order)]]))
+    depth = np.zeros(len(first), dtype=np.int64)
+    first, size, depth = first[size > 1], size[size > 1], depth[size > 1]
+    while len(first):
+        ends = np.cumsum(size)
+        begin = ends - size
+        group = np.repeat(np.arange(len(first)), size)
+        own = order[np.repeat(first - begin, size) + np.arange(ends[-1])]
+        digit = digits[own, depth[group]]
+        x, y, z = digit[begin], digit[begin + size // 2], digit[ends - 1]
+        pivot = np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))[group]
+        larger, equal = digit > pivot, digit == pivot
+        side = larger * 2 + equal  # 0 smaller, 1 equal, 2 larger
+        n = np.bincount(group * 3 + side, minlength=3 * len(first)).reshape(-1, 3)
+        start = first[:, None] + np.cumsum(n, axis=1) - n
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            # Rows of one side stay in their order: their places follow each other group by group.
+            before = np.cumsum(n[:, k]) - n[:, k]
+            order[(start[:, k] - before)[group[mine]] + np.arange(len(mine))] = own[mine]
+        cut[start[n > 0]] = True
+        on = np.column_stack([depth, depth + 1, depth])
+        left = (n > 1) & (on < digits.shape[1])
+        first, size, depth = start[left], n[left], on[left]
+
+
 def deep_shallow(windows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, class): windows (rows of LENGTH bytes) sorted within their groups; equal ones share a class.
 
-    Only windows that still tie with another go on to the next eight bytes, and only groups that tie
-    at the shallow depth, and are not all equal, to a blind trie.
+    Multikey quicksort takes eight bytes as a digit; only groups that tie at the shallow depth, and are not
+    all equal, go on to a blind trie.
     """
     n = len(windows)
     order = np.argsort(group, kind="stable")
-    label = group[order]
-    for depth in range(0, SHALLOW, 8):
-        cut = np.concatenate([[True], label[1:] != label[:-1]])
-        first = np.flatnonzero(cut)
-        size = np.diff(np.concatenate([first, [n]]))
-        label = np.cumsum(cut) - 1  # dense, in order
-        tied = np.flatnonzero(size[label] > 1)
-        if not len(tied):
-            return order, label
-        digit = np.ascontiguousarray(windows[order[tied], depth : depth + 8]).view(">u8").ravel().astype(np.uint64)
-        sort = np.lexsort((digit, label[tied]))
-        order[tied], digit = order[tied[sort]], digit[sort]
-        # A new label begins where the group or the digit changes.
-        cut = np.concatenate([[True], label[1:] != label[:-1]])
-        change = np.zeros(n, dtype=bool)
-        change[tied[1:]] = (digit[1:] != digit[:-1]) & (tied[1:] == tied[:-1] + 1)
-        label = np.cumsum(cut | change)
-    cut = np.concatenate([[True], label[1:] != label[:-1]])
+    cut = np.concatenate([[True], group[order[1:]] != group[order[:-1]]])[:n]
+    digits = np.column_stack([np.ascontiguousarray(windows[:, at : at + 8]).view(">u8").ravel().astype(np.uint64) for at in range(0, SHALLOW, 8)])
+    multikey_quicksort(digits, order, cut)
     first = np.flatnonzero(cut)
     size = np.diff(np.concatenate([first, [n]]))
     label = np.cumsum(cut) - 1
@@ -227,7 +245,7 @@ def _anchors(docs: DataFrame, shown) -> DataFrame:
         keys, _ = textops.distinct_by_row(seg.key, seg.row)
         return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(keys))], ["anchor"])
 
-    return common.map_texts(docs, work, "anchor long")
+    return common.map_texts(docs, work, "anchor long", limit=ANCHOR_BYTES)
 
 
 def _place(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -251,7 +269,7 @@ def _segments(docs: DataFrame, shown, wanted) -> DataFrame:
         content = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=8).digest() for p in seg.bytes(hit)), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(textops.as_signed(seg.key[hit])), pa.array(ids[seg.row[hit]]), pa.array(seg.start[hit].astype(np.int32)), pa.array(seg.windows[hit].astype(np.int32)), pa.array(content)], ["anchor", "doc_id", "start", "windows", "content"])
 
-    return common.map_texts(docs, work, "anchor long, doc_id long, start int, windows int, content long")
+    return common.map_texts(docs, work, "anchor long, doc_id long, start int, windows int, content long", limit=ANCHOR_BYTES)
 
 
 def _texts_of_segments(docs: DataFrame, shown, wanted, hot) -> DataFrame:
@@ -280,7 +298,7 @@ def _texts_of_segments(docs: DataFrame, shown, wanted, hot) -> DataFrame:
             out.append((keys, np.full(n, doc[i]), start[i] + np.arange(n), windows))
         return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([o[c] for o in out])) for c in range(3)), pa.array([w for o in out for w in o[3]], pa.binary())], ["key", "doc_id", "start", "bytes"])
 
-    return common.map_texts(docs, work, "key long, doc_id long, start long, bytes binary")
+    return common.map_texts(docs, work, "key long, doc_id long, start long, bytes binary", limit=ANCHOR_BYTES)
 
 
 def _sorted_windows(rows: DataFrame) -> DataFrame:
@@ -325,7 +343,7 @@ def _sorted_windows(rows: DataFrame) -> DataFrame:
         if held and (out := solve(held)) is not None:
             yield out
 
-    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * 4, "key").sortWithinPartitions("key")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "doc_id long, start long, windows long")
 
 
