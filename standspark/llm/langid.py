@@ -38,6 +38,8 @@ RATE = 0.5
 CALIBRATE = 0.25
 #: Share of correctly identified calibration documents that may lie below the rejection's bounds.
 REJECT_TAIL = 0.002
+#: Distinct words whose n-grams are looked up at once: some 20 megabytes.
+WORDS_AT_ONCE = 8192
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -103,9 +105,11 @@ class Model:
         """(mean logits of each whole text, share of its n-grams known from training)."""
         words = textops.Words(texts)
         at, kind = textops.unique_words(words)
-        bucket, first = word_buckets(words, at)
         each = np.concatenate([self.table @ self.out, self.known[:, None], np.ones((BUCKETS, 1))], axis=1)
-        by_word = textops.row_sums(each[bucket], first)
+        by_word = np.zeros((len(at), each.shape[1]))
+        for lo in range(0, len(at), WORDS_AT_ONCE):
+            bucket, first = word_buckets(words, at[lo : lo + WORDS_AT_ONCE])
+            by_word[lo : lo + WORDS_AT_ONCE] = textops.row_sums(each[bucket], first)
         total = textops.row_sums(by_word[kind], words.first)
         n = np.maximum(total[:, -1:], 1)
         return total[:, :-2] / n + self.bias, total[:, -2] / n[:, 0]
