@@ -59,7 +59,7 @@ def _(s, d):
     return tables.csv(s, path, "s_suppkey long, s_name string, s_acctbal double")
 
 
-@query("scan_points", "SELECT 'p' || s_suppkey AS id, s_suppkey * 0.37 % 180 AS lon, s_suppkey * 0.11 % 80 AS lat FROM supplier", "lon lat")
+@query("scan_points", "SELECT 'p' || s_suppkey AS id, CAST(s_suppkey AS DOUBLE) * 0.37 % 180 AS lon, CAST(s_suppkey AS DOUBLE) * 0.11 % 80 AS lat FROM supplier", "lon lat")
 def _(s, d):
     rows = read(s, d, "supplier").select(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")).alias("id"), (F.col("s_suppkey") * 0.37 % 180).alias("lon"), (F.col("s_suppkey") * 0.11 % 80).alias("lat"))
     return tables.points(s, sinks.csv_parts(rows, _place(s, "points")), "id", "lon", "lat")
@@ -205,7 +205,7 @@ def _(s, d):
     return s.createDataFrame(rows, "run string, pos int, stage string, n_cached int")
 
 
-@query("staged_result", "SELECT r.label, count(*) AS n_pixels, avg(v) AS v, count(v) AS v_valid FROM raster r WHERE kind < 3 GROUP BY r.label", "v", 4)
+@query("staged_result", "SELECT r.label, count(*) AS n_pixels, avg(v) AS v, count(v) AS v_valid FROM raster r WHERE kind < 3 GROUP BY r.label", "v", 2)
 def _(s, d):
     context, _ = stages.run(s, _registry(s, d), ["units"], config.build(config.Config, SETTINGS), cache=_place(s, "cache"))
     return context["units"].select("label", "n_pixels", "v", "v_valid")

@@ -54,7 +54,7 @@ def _(s, d):
     return K.patches(*_land(s, d), cap=16).select("node", "component", F.col("size").cast("long").alias("size"))
 
 
-@query("land_coverage", f"WITH RECURSIVE {_LAND_SQL}, sz AS (SELECT node, count(*) OVER (PARTITION BY component) AS size FROM cp), px AS (SELECT r.kind < 3 AS land, size, CASE WHEN (y + x) % 5 > 0 THEN label END AS l FROM raster r LEFT JOIN sz ON sz.node = r.y * 100 + r.x) SELECT round(count(CASE WHEN land AND size >= 20 THEN 1 END) * 0.01, 4) AS kept_ha, round(count(CASE WHEN land AND size < 20 THEN 1 END) * 0.01, 4) AS small_patches_ha, round(count(CASE WHEN land AND size >= 20 AND l IS NULL THEN 1 END) * 0.01, 4) AS kept_without_label_ha, round(count(CASE WHEN l IS NOT NULL AND NOT (land AND coalesce(size, 0) >= 20) THEN 1 END) * 0.01, 4) AS label_off_kept_ha FROM px", "kept_ha small_patches_ha kept_without_label_ha label_off_kept_ha")
+@query("land_coverage", f"WITH RECURSIVE {_LAND_SQL}, sz AS (SELECT node, count(*) OVER (PARTITION BY component) AS size FROM cp), px AS (SELECT r.kind < 3 AS land, size, CASE WHEN (y + x) % 5 > 0 THEN label END AS l FROM raster r LEFT JOIN sz ON sz.node = r.y * 100 + r.x) SELECT round(count(CASE WHEN land AND size >= 20 THEN 1 END) * CAST(0.01 AS DOUBLE), 4) AS kept_ha, round(count(CASE WHEN land AND size < 20 THEN 1 END) * CAST(0.01 AS DOUBLE), 4) AS small_patches_ha, round(count(CASE WHEN land AND size >= 20 AND l IS NULL THEN 1 END) * CAST(0.01 AS DOUBLE), 4) AS kept_without_label_ha, round(count(CASE WHEN l IS NOT NULL AND NOT (land AND coalesce(size, 0) >= 20) THEN 1 END) * CAST(0.01 AS DOUBLE), 4) AS label_off_kept_ha FROM px", "kept_ha small_patches_ha kept_without_label_ha label_off_kept_ha")
 def _(s, d):
     size = K.patches(*_land(s, d)).select("node", "size")
     px = raster(s, d).withColumn("node", _node()).join(size, "node", "left").withColumn("l", F.when((F.col("y") + F.col("x")) % 5 > 0, F.col("label")))
@@ -434,6 +434,6 @@ def _(s, d):
     return observations(s, d).groupBy("pixel").agg(F.avg(B.class_flag("flag", ["A", "R"])).alias("share"), F.count("qty").alias("n"))
 
 
-@query("robust_spread", "SELECT coalesce(nullif(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 0), nullif(stddev_samp(v), 0), 1) AS v, coalesce(nullif(quantile_cont(o, 0.75) - quantile_cont(o, 0.25), 0), nullif(stddev_samp(o), 0), 1) AS o, 1.0 AS flat FROM (SELECT v, CASE WHEN kind = 0 AND m < 3 THEN 1.0 ELSE 0 END AS o FROM raster)", "v o flat", 4)
+@query("robust_spread", "SELECT coalesce(nullif(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 0), nullif(stddev_samp(v), 0), 1) AS v, coalesce(nullif(quantile_cont(o, 0.75) - quantile_cont(o, 0.25), 0), nullif(stddev_samp(o), 0), 1) AS o, CAST(1 AS DOUBLE) AS flat FROM (SELECT v, CASE WHEN kind = 0 AND m < 3 THEN 1.0 ELSE 0 END AS o FROM raster)", "v o flat", 4)
 def _(s, d):
     return U.robust_spread(raster(s, d).select("v", F.when((F.col("kind") == 0) & (F.col("m") < 3), 1.0).otherwise(0.0).alias("o"), F.lit(3.0).alias("flat")), ["v", "o", "flat"])
