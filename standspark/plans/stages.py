@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import os
 import platform
 import subprocess
 import time
@@ -131,7 +133,30 @@ class Record:
     cached: list[str] = field(default_factory=list)
 
 
-def run(spark: SparkSession, registry: Registry, wanted: Iterable[str], config: Config, initial: Mapping[str, DataFrame] | None = None, cache: str | None = None, inputs: Mapping[str, str] | None = None) -> tuple[Context, dict]:
+#: Places of kept tables: all in one folder, or a folder for each stage.
+LAYOUTS = {"flat": "{cache}/{table}__s{key}", "by_stage": "{cache}/{stage}/{table}__s{key}"}
+
+
+def place_of(cache: str, stage: str, table: str, key: str, layout: str = "flat") -> str:
+    if layout not in LAYOUTS:
+        raise StageError(f"a layout is one of {', '.join(LAYOUTS)}, not {layout!r}")
+    return LAYOUTS[layout].format(cache=cache.rstrip("/"), stage=stage, table=table, key=key)
+
+
+def run_log(folder: str, run: str) -> logging.Logger:
+    """A logger of its own for a run, which writes to run.log in the run's folder on the driver."""
+    place = os.path.join(folder, run)
+    os.makedirs(place, exist_ok=True)
+    log = logging.getLogger(f"standspark.{run}")
+    if not log.handlers:
+        handler = logging.FileHandler(os.path.join(place, "run.log"), encoding="utf-8")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
+    return log
+
+
+def run(spark: SparkSession, registry: Registry, wanted: Iterable[str], config: Config, initial: Mapping[str, DataFrame] | None = None, cache: str | None = None, inputs: Mapping[str, str] | None = None, layout: str = "flat") -> tuple[Context, dict]:
     """Run the stages that the wanted tables need; (context, manifest).
 
     With a cache folder each table is kept under its stage's key.  A stage all of whose tables are
@@ -142,7 +167,7 @@ def run(spark: SparkSession, registry: Registry, wanted: Iterable[str], config:
     keys, records = step_keys(order, config, inputs), []
     for s in order:
         began = time.time()
-        place = {m: f"{cache.rstrip('/')}/{m}__s{keys[s.name]}" for m in s.makes} if cache else {}
+        place = {m: place_of(cache, s.name, m, keys[s.name], layout) for m in s.makes} if cache else {}
         hit = [m for m, p in place.items() if exists(spark, p)]
         made = {} if len(hit) == len(s.makes) and hit else s.run(spark, context, config)
         if made and set(made) != set(s.makes):

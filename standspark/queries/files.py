@@ -211,6 +211,42 @@ def _(s, d):
     return context["units"].select("label", "n_pixels", "v", "v_valid")
 
 
+@query("staged_layouts", "SELECT * FROM (VALUES ('by_stage', 1, TRUE), ('flat', 1, TRUE)) t(layout, n_cached, in_place)")
+def _(s, d):
+    """A table is found again where its layout puts it."""
+    c, r, rows = config.build(config.Config, SETTINGS), _registry(s, d), []
+    for layout in ("flat", "by_stage"):
+        cache = _place(s, layout)
+        stages.run(s, r, ["pixels"], c, cache=cache, layout=layout)
+        _, again = stages.run(s, r, ["pixels"], c, cache=cache, layout=layout)
+        key = stages.step_keys(r.closure(["pixels"]), c)["load"]
+        rows.append((layout, len(again["stages"][0]["cached"]), stages.exists(s, f"{cache}/load/pixels__s{key}" if layout == "by_stage" else f"{cache}/pixels__s{key}")))
+    return s.createDataFrame(rows, "layout string, n_cached int, in_place boolean")
+
+
+@query("harmonic_dual_normal", "SELECT pixel, count(*) AS n, TRUE AS solved FROM obs GROUP BY pixel HAVING count(*) >= 30")
+def _(s, d):
+    """The dual fit with a trend leaves residuals at right angles to each of its six regressors."""
+    o = observations(s, d)
+    terms = B.harmonic_terms(B.years_since("ts", "1995-01-01"), True, True)
+    fit = L.least_squares(o, ["pixel"], "discount", terms).select("pixel", *(F.col(k).alias(f"_{k}") for k in terms))
+    met = o.join(fit, "pixel").withColumns({f"x_{k}": c for k, c in terms.items()})
+    fitted = sum((F.col(f"_{k}") * F.col(f"x_{k}") for k in terms), F.lit(0.0))
+    met = met.withColumn("rest", F.col("discount") - fitted)
+    right = F.lit(True)
+    for k in terms:
+        right = right & (F.abs(F.sum(F.col("rest") * F.col(f"x_{k}"))) <= 1e-8 * F.sum(F.abs("discount") * F.greatest(F.abs(f"x_{k}"), F.lit(1.0))))
+    return met.groupBy("pixel").agg(F.count("*").alias("n"), right.alias("solved")).where("n >= 30")
+
+
+@query("feature_importances", "SELECT CAST(1 AS DOUBLE) AS total, 'a' AS first, TRUE AS clear", "total")
+def _(s, d):
+    """A class that one band decides: its importance is by far the largest."""
+    u = raster(s, d).select((F.col("v") > 100000).cast("int").alias("cls"), F.col("v").alias("a"), (F.col("x") % 7).cast("double").alias("b"))
+    found = U.feature_importances(u, ["a", "b"], "cls", 10)
+    return s.createDataFrame([(sum(i for _, i in found), found[0][0], found[0][1] > 0.8)], "total double, first string, clear boolean")
+
+
 @query("step_keys", "SELECT * FROM (VALUES ('dates', 'load,mask,means'), ('masking', 'mask,means'), ('segmentation', 'means'), ('export', '')) t(block, changed)")
 def _(s, d):
     """Stages whose keys change with a block of the configuration: those that read it, and those after them."""

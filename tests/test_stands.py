@@ -181,6 +181,17 @@ def test_overlay_and_class_flags(spark):
     assert [tuple(r) for r in got] == [(80, 0), (2, 0), (0, 1), (0, 0)]
 
 
+def test_run_logs_and_layouts(tmp_path):
+    from standspark.plans import stages
+
+    log = stages.run_log(str(tmp_path), "r1")
+    log.info("began")
+    assert stages.run_log(str(tmp_path), "r1") is log and "INFO began" in (tmp_path / "r1" / "run.log").read_text()
+    assert stages.place_of("s3a://b/c/", "load", "px", "k1") == "s3a://b/c/px__sk1" and stages.place_of("/c", "load", "px", "k1", "by_stage") == "/c/load/px__sk1"
+    with pytest.raises(stages.StageError, match="flat"):
+        stages.place_of("/c", "load", "px", "k1", "deep")
+
+
 def test_settings_and_rasters(spark, tmp_path):
     (tmp_path / ".env").write_text("# comment\nPLACE=here # why\nexport NAME=\"a # b\"\nEMPTY=\nbroken line\n")
     assert tables.settings(str(tmp_path / ".env"), {"PLACE": "there"}) == {"PLACE": "there", "NAME": "a # b", "EMPTY": ""}
