@@ -89,7 +89,8 @@ def _(s, d):
 def _(s, d):
     px = raster(s, d).withColumn("z", F.col("v") / 1000)
     a, b, c = (s.read.parquet(p) for p in sinks.layers(px, _place(s, "layers"), "label", ["v"], ["z"], "kind"))
-    return a.join(b, ["y", "x"]).join(c, ["y", "x"]).select("y", "x", "label", "v", "z", "kind")
+    # Layers of runs are small as files and large in memory: they aren't broadcast, whatever their files' size.
+    return a.join(b.hint("merge"), ["y", "x"]).join(c.hint("merge"), ["y", "x"]).select("y", "x", "label", "v", "z", "kind")
 
 
 @query("sink_full_precision", "SELECT count(*) AS n, CAST(0.0 AS DOUBLE) AS lost FROM lineitem", "lost", 12)
