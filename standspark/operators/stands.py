@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.storage import keep
 from . import compare, grid
 from .components import connected
 
@@ -302,19 +310,152 @@ def rotation_draws(plots: DataFrame, key: str, group: str, on_region, n: int, se
     return plots.select(group, key, x, y).groupBy(group).applyInPandas(solve, f"draw long, {group} {kind[group]}, {key} {kind[key]}, {x} double, {y} double")
 
 
-def shuffle_p(pairs: DataFrame, same: Column, value: str, by: Sequence[str], n: int, seed: int) -> DataFrame:
+#: Pairs of a group that one task may hold; larger groups are never gathered.
+GATHERED = 1 << 20
+#: Classes of a draw's hashes around the place where it should end, and half their width in standard deviations.
+CLASSES, REACH = 256, 8
+#: Rows that a pass takes at once.
+STEP = 1 << 15
+
+
+def _salts(seed: int, n: int) -> np.ndarray:
+    """A number of 64 bits for each draw."""
+    return np.frombuffer(b"".join(hashlib.blake2b(f"{seed} {draw}".encode(), digest_size=8).digest() for draw in range(n)), np.uint64)
+
+
+def _order(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """The place of each key in a draw, as a number of 64 bits: a bijection of hashed keys."""
+    h = (keys ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h
+
+
+def _window(ns: int, m: int) -> tuple[int, int]:
+    """The first of the classes and their width: the hash of place ns of m lies in them, but for once in some 10^14 draws."""
+    middle, spread = 2**64 * ns // m, int(2**64 * REACH * math.sqrt(ns / m * (1 - ns / m) / m)) + 1
+    low = max(middle - spread, 0)
+    return low, max((min(middle + spread, 2**64) - low) // CLASSES, 1)
+
+
+def _bounds(cls: int, low: int, width: int) -> tuple[int, int]:
+    """First and last hash of a class: 0 is below the window, CLASSES + 1 above it."""
+    if cls == 0:
+        return 0, low - 1
+    first = low + (cls - 1) * width
+    return first, first + width - 1 if cls <= CLASSES else 2**64 - 1
+
+
+def _chunks(batches):
+    """Arrays (group, key, value) of some STEP rows of one group."""
+    held, n = [], 0
+
+    def arrays():
+        g, k, v = (np.concatenate([b[i] for b in held]) for i in range(3))
+        for i in np.unique(g):
+            own = g == i
+            yield int(i), k[own].view(np.uint64), v[own]
+
+    for b in batches:
+        held.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("g", "k", "v")])
+        n += b.num_rows
+        if n >= STEP:
+            yield from arrays()
+            held, n = [], 0
+    if n:
+        yield from arrays()
+
+
+def _large_sums(used: DataFrame, sizes: Sequence[tuple[int, int]], n: int, seed: int) -> DataFrame:
+    """(g, draw, d) for the groups g of sizes (ns, m), from two passes over the pairs (g, k, v).
+
+    The first counts and sums each draw's hashes below a window and in classes of it; the class in which
+    place ns lies is then known, and the second passes on only the rows of that class.
+    """
+    windows = [_window(*s) for s in sizes]
+
+    def count(batches):
+        salts, state = _salts(seed, n), {}
+        for g, keys, v in _chunks(batches):
+            low, width = windows[g]
+            if g not in state:
+                state[g] = np.zeros((n, CLASSES + 2), np.int64), np.zeros((n, CLASSES + 2))
+            many, total = state[g]
+            top = min(low + CLASSES * width, 2**64 - 1)
+            finite = np.isfinite(v).all()
+            for draw in range(n):
+                h = _order(keys, salts[draw])
+                below = h < np.uint64(low)
+                many[draw, 0] += np.count_nonzero(below)
+                total[draw, 0] += below.astype(np.float64) @ v if finite else v[below].sum()
+                near = np.flatnonzero((h <= np.uint64(top)) ^ below)
+                cls = np.minimum((h[near] - np.uint64(low)) // np.uint64(width) + np.uint64(1), np.uint64(CLASSES + 1)).astype(np.int64)
+                many[draw] += np.bincount(cls, minlength=CLASSES + 2)
+                total[draw] += np.bincount(cls, v[near], CLASSES + 2)
+                many[draw, CLASSES + 1] += len(v) - np.count_nonzero(below) - len(near)
+        for g, (many, total) in state.items():
+            draw, cls = np.nonzero(many)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(draw), g, np.int32)), pa.array(draw), pa.array(cls), pa.array(many[draw, cls]), pa.array(total[draw, cls])], ["g", "draw", "cls", "c", "t"])
+
+    counted = keep(used.mapInArrow(count, "g int, draw long, cls long, c long, t double").groupBy("g", "draw", "cls").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
+    before = Window.partitionBy("g", "draw").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumns({"c0": F.coalesce(F.sum("c").over(before), F.lit(0)), "t0": F.coalesce(F.sum("t").over(before), F.lit(0.0))})
+    ns = F.element_at(F.array(*(F.lit(s[0]).cast("long") for s in sizes)), F.col("g") + 1)
+    met = keep(counted.where((F.col("c0") < ns) & (F.col("c0") + F.col("c") >= ns)).select("g", "draw", "cls", "t0", (ns - F.col("c0")).alias("left")))
+    ends = {(r["g"], r["draw"]): _bounds(r["cls"], *windows[r["g"]]) for r in met.select("g", "draw", "cls").toLocalIterator()}  # one row a group and draw
+
+    def pick(batches):
+        salts = _salts(seed, n)
+        for g, keys, v in _chunks(batches):
+            for draw in range(n):
+                first, last = ends[g, draw]
+                h = _order(keys, salts[draw])
+                own = np.flatnonzero((h >= np.uint64(first)) & (h <= np.uint64(last)))
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), g, np.int32)), pa.array(np.full(len(own), draw, np.int64)), pa.array((h[own] ^ np.uint64(1 << 63)).view(np.int64)), pa.array(v[own])], ["g", "draw", "h", "v"])
+
+    place = F.row_number().over(Window.partitionBy("g", "draw").orderBy("h", "v"))
+    last = used.mapInArrow(pick, "g int, draw long, h long, v double").withColumn("_p", place).join(F.broadcast(met), ["g", "draw"]).where(F.col("_p") <= F.col("left"))
+    return last.groupBy("g", "draw").agg((F.first("t0") + F.sum("v")).alias("d"))
+
+
+def shuffle_p(pairs: DataFrame, same: Column, value: str, by: Sequence[str], n: int, seed: int, key: Sequence[str] = ()) -> DataFrame:
     """Per group: difference of means of unlike and alike pairs, and its share among n dealings of the labels.
 
-    Labels are dealt among the pairs of a group; a group without both kinds has no p.  Only sums of
-    each (group, draw) meet: alike pairs are the first n_same of a hashed order.
+    Labels are dealt among the pairs of a group; a group without both kinds has no p.  Alike pairs of a draw are the
+    first n_same of an order of hashed keys: columns that tell pairs apart, else numbers given to the pairs, which are
+    then written once.  Large groups are counted where they are, in classes of hashes; others are gathered, one each.
     """
-    used = pairs.where(F.col(value).isNotNull() & same.isNotNull()).select(*by, F.col(value).alias("v"), same.cast("int").alias("s"), F.monotonically_increasing_id().alias("k"))
-    total = used.groupBy(*by).agg(F.sum("s").alias("ns"), F.count("*").alias("m"), F.sum("v").alias("t"), F.sum(F.col("v") * F.col("s")).alias("ts"))
+    number = F.xxhash64(*key) if key else F.xxhash64(F.monotonically_increasing_id())
+    used = pairs.where(F.col(value).isNotNull() & same.isNotNull()).select(*by, F.col(value).cast("double").alias("v"), same.cast("int").alias("s"), number.alias("k"))
+    used = used if key else keep(used)
+    total = keep(used.groupBy(*by).agg(F.sum("s").alias("ns"), F.count("*").alias("m"), F.sum("v").alias("t"), F.sum(F.col("v") * F.col("s")).alias("ts")))
     gap = lambda ts: (F.col("t") - ts) / (F.col("m") - F.col("ns")) - ts / F.col("ns")
     seen = total.where("ns > 0 AND ns < m").withColumn("observed", gap(F.col("ts")))
-    many = used.crossJoin(pairs.sparkSession.range(n).select(F.col("id").alias("draw")))  # n draws of a stated pair set
-    place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", "k"), "k"))
-    dealt = many.withColumn("_p", place).join(seen.select(*by, "ns"), list(by)).where(F.col("_p") <= F.col("ns")).groupBy(*by, "draw").agg(F.sum("v").alias("d"))
+
+    def deal(table):
+        keys, v, salts = table["k"].to_numpy().view(np.uint64), table["v"].to_numpy(), _salts(seed, n)
+        ns = int(table["s"].to_numpy().sum())
+        if not 0 < ns < len(v):
+            return shown.empty_table()
+        d = [v[np.lexsort((v, _order(keys, salt)))[:ns]].sum() for salt in salts]
+        return pa.table([pa.concat_arrays([table[c].combine_chunks()[:1]] * n) for c in by] + [pa.array(range(n), pa.int64()), pa.array(d, pa.float64())], shown.names)
+
+    large = seen.where(F.col("m") > GATHERED).select(*by, "ns", "m").orderBy(*by).collect()  # one in 2^20 pairs at most
+    known = F.lit(True)
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    parts = []
+    if large:
+        groups = pairs.sparkSession.createDataFrame([(*r[: len(by)], i) for i, r in enumerate(large)], T.StructType([*(used.schema[c] for c in by), T.StructField("g", T.IntegerType())]))
+        mine = used.join(F.broadcast(groups), list(by)).select("g", "k", "v")
+        parts.append(_large_sums(mine, [(r["ns"], r["m"]) for r in large], n, seed).join(F.broadcast(groups), "g").select(*by, "draw", "d"))
+        used = used.join(F.broadcast(groups), list(by), "left_anti")
+    if not large or not seen.where(F.col("m") <= GATHERED).isEmpty():
+        schema = T.StructType([*(used.schema[c] for c in by), T.StructField("draw", T.LongType()), T.StructField("d", T.DoubleType())])
+        shown = to_arrow_schema(schema)
+        parts.append(used.where(known).groupBy(*by).applyInArrow(deal, schema))
+    dealt = reduce(DataFrame.unionByName, parts)
     hit = dealt.join(seen, list(by)).withColumn("_g", gap(F.col("d"))).groupBy(*by).agg(F.count_if(F.col("_g") >= F.col("observed") - 1e-12).alias("hits"))
     return total.join(seen.select(*by, "observed"), list(by), "left").join(hit, list(by), "left").select(*by, F.col("m").alias("n_pairs"), "observed", ((1 + F.col("hits")) / (n + 1)).alias("p"))
 
